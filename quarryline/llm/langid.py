@@ -8,6 +8,7 @@ as the likelihood gained exceeds the penalty (half the logarithm of the number o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,9 @@ from .common import id_crc32, small_batches
 MAX_PER_LANGUAGE = 3000
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4)
-STEPS = 12
+STEPS = 8
 PENALTY = 2.0
-CACHE = 300_000
+CACHE = 800_000
 
 _WORD = regex.compile(r"\p{L}+")
 _ASCII = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -41,11 +42,12 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def gram_buckets(words: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word number) of all n-grams of the words, each with a mark at both ends."""
+def grams(words: list[str], orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the buckets of all n-grams of the words (each with a mark at both ends), word by word; where each
+    word's begin; and the numbers of the words, as words too short have none."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
-    out, who = [], []
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # characters from here to the word's end
     for n in orders:
         if n > len(codes):
             break
@@ -53,21 +55,21 @@ def gram_buckets(words: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np
         for i in range(n):
             h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        ok = owner[: len(h)] == owner[n - 1 :]
-        out.append((h[ok] % np.uint64(BUCKETS)).astype(np.int64))
-        who.append(owner[: len(h)][ok])
-    return np.concatenate(out), np.concatenate(who)
+        have = np.flatnonzero(size >= n)
+        starts = np.r_[0, np.cumsum(size[have] - n + 1)[:-1]]
+        yield (h[left[: len(h)] >= n] % np.uint64(BUCKETS)).astype(np.int64), starts, have
 
 
 @dataclass
 class Model:
     langs: list[str]
-    log_p: np.ndarray  # languages x buckets
+    log_p: np.ndarray  # buckets x languages
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Mean log-likelihood per order of each word in each language, times its length in letters."""
-        bucket, who = gram_buckets(words)
-        out = np.stack([np.bincount(who, row[bucket], len(words)) for row in self.log_p], axis=1)
+        """Log-likelihood of each word in each language: the sum over its n-grams, over the number of orders."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        for bucket, starts, have in grams(words):
+            out[have] += np.add.reduceat(self.log_p[bucket], starts, axis=0)
         return out / len(ORDERS)
 
 
@@ -80,7 +82,7 @@ def train(docs: DataFrame, bound: int = MAX_PER_LANGUAGE) -> Model:
     rows = docs.select("doc_id", "text", "lang").where((id_crc32() % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not have:
-        return Model([], np.zeros((0, BUCKETS)))
+        return Model([], np.zeros((BUCKETS, 0), np.float32))
     limit = F.create_map(*[x for k, n in have.items() for x in (F.lit(k), F.lit(int(min(1.0, bound / n) * (1 << 30))))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30))
     sample = rows.where(draw < limit[F.col("lang")]).select("text", "lang")
@@ -92,7 +94,7 @@ def train(docs: DataFrame, bound: int = MAX_PER_LANGUAGE) -> Model:
                 counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for a in range(0, len(texts), 100):
                     if words := [w for t in texts[a : a + 100] for w in words_of(t)]:
-                        counts[lang] += np.bincount(gram_buckets(words)[0], minlength=BUCKETS)
+                        counts[lang] += np.bincount(np.concatenate([g for g, _, _ in grams(words)]), minlength=BUCKETS)
         for lang, c in counts.items():
             yield pd.DataFrame({"lang": lang, "bucket": np.flatnonzero(c), "n": c[c > 0]})
 
@@ -102,62 +104,82 @@ def train(docs: DataFrame, bound: int = MAX_PER_LANGUAGE) -> Model:
     at = {k: i for i, k in enumerate(langs)}
     table[sums["lang"].map(at).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
     table += 0.5
-    return Model(langs, np.log(table / table.sum(axis=1, keepdims=True)))
+    return Model(langs, np.ascontiguousarray(np.log(table / table.sum(axis=1, keepdims=True)).T, np.float32))
 
 
-def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(x, starts, axis=0)
+def _em(p: np.ndarray, n: np.ndarray, sizes: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (languages x documents) after some steps and, by document, the log-likelihood beside the scale of p.
 
-
-def _em(p: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of each document and, by document, its log-likelihood (beside the scale of p)."""
-    total = _sums(n, starts)[:, None]
-    for _ in range(steps):
-        r = p * pi[doc]
-        r *= (n / np.maximum(r.sum(axis=1), 1e-300))[:, None]
-        pi = _sums(r, starts) / total
-    mix = np.maximum((p * pi[doc]).sum(axis=1), 1e-300)
-    return pi, _sums(n * np.log(mix), starts)
-
-
-def mixtures(log_p: np.ndarray, n: np.ndarray, starts: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
-    """Proportions (documents x languages) of the selected sets; documents are runs of rows that begin at starts.
-
-    log_p: log-likelihood of each word in each language; n: how often the document has it.
+    p: languages x words, document by document; n: how often the word occurs; sizes: words of each document.
+    """
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    total = np.add.reduceat(n, starts)
+    for step in range(steps + 1):
+        r = p * np.repeat(pi, sizes, axis=1)
+        mix = np.maximum(r.sum(axis=0), np.float32(1e-30))
+        if step < steps:
+            r *= n / mix
+            pi = np.add.reduceat(r, starts, axis=1) / total
+    return pi, np.add.reduceat(n * np.log(mix), starts)
+
+
+def mixtures(log_p: np.ndarray, n: np.ndarray, sizes: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
+    """Proportions (documents x languages) of the selected sets.
+
+    log_p: log-likelihood of each word in each language (words x languages), document by document; n: how often the
+    document has the word; sizes: the number of words of each document, at least 1.
     """
-    docs, langs = len(starts), log_p.shape[1]
-    sizes = np.diff(np.r_[starts, len(n)])
-    doc = np.repeat(np.arange(docs), sizes)
-    top = log_p.max(axis=1, keepdims=True)
-    p = np.exp(log_p - top)
-    full, _ = _em(p, n, doc, starts, np.full((docs, langs), 1 / langs), steps)
-    alone = _sums((log_p - top) * n[:, None], starts)
-    order = np.argsort(-full - 1e-12 * np.argsort(np.argsort(alone, axis=1), axis=1), axis=1, kind="stable")
+    docs, langs = len(sizes), log_p.shape[1]
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    n = n.astype(np.float32)
+    scaled = np.ascontiguousarray((log_p - log_p.max(axis=1, keepdims=True)).T, np.float32)
+    p = np.exp(scaled)
+    alone = np.add.reduceat((scaled * n).astype(np.float64), starts, axis=1).T
+    full = _em(p, n, sizes, np.full((langs, docs), 1 / langs, np.float32), steps)[0].T
+    words = np.add.reduceat(n, starts)
+    first = alone.argmax(axis=1)
     best = np.zeros((docs, langs))
-    first = alone.argmax(axis=1)  # of single languages, the likeliest
     best[np.arange(docs), first] = 1
     value = alone.max(axis=1)
-    words = _sums(n, starts)
-    active = np.arange(docs)
+    order = np.argsort(-full, axis=1, kind="stable")
+    # A second language whose share isn't a word's worth cannot pay for itself.
+    active = np.flatnonzero(-np.sort(-full, axis=1)[:, 1] * words >= 1) if langs > 1 else np.zeros(0, int)
     for k in range(2, langs + 1):
         if not len(active):
             break
-        pick = np.zeros((docs, langs), bool)
-        np.put_along_axis(pick, order[:, :k], True, axis=1)
-        rows = np.flatnonzero(np.isin(doc, active)) if len(active) < docs else np.arange(len(n))
-        size = sizes[active]
-        at = np.r_[0, np.cumsum(size)[:-1]]
-        start = np.where(pick[active], np.maximum(full[active], 1e-3), 0)
+        rows = np.repeat(np.isin(np.arange(docs), active), sizes)
+        pick = np.zeros((len(active), langs), bool)
+        np.put_along_axis(pick, order[active, :k], True, axis=1)
+        start = np.where(pick, np.maximum(full[active], 1e-3), 0).astype(np.float32)
         start /= start.sum(axis=1, keepdims=True)
-        pi, got = _em(p[rows], n[rows], np.repeat(np.arange(len(active)), size), at, start, steps // 2)
+        pi, got = _em(np.ascontiguousarray(p[:, rows]), n[rows], sizes[active], np.ascontiguousarray(start.T), steps)
         got = got - penalty * (k - 1) * 0.5 * np.log(words[active] + 1)
         better = got > value[active]
-        best[active[better]] = pi[better]
+        best[active[better]] = pi.T[better]
         value[active[better]] = got[better]
         active = active[better]
     return best
 
 
+#: What a worker remembers of the words it has met: by model, their numbers and likelihoods.
+_KNOWN: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
+
+
+def _known(model: Model, mark: str, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
+    if mark not in _KNOWN or len(_KNOWN[mark][0]) > CACHE:
+        _KNOWN.clear()
+        _KNOWN[mark] = {}, [np.zeros((0, len(model.langs)), np.float32)]
+    known, parts = _KNOWN[mark]
+    new = [w for w in words if w not in known]
+    for a in range(0, len(new), 50_000):
+        part = new[a : a + 50_000]
+        parts.append(model.words(part))
+        known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+    if len(parts) > 1:
+        parts[:] = [np.concatenate(parts)]
+    return known, parts[0]
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns keep of docs, and lang_pred, score, proportions (map of the selected languages).
 
@@ -167,32 +189,22 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     schema = src.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.create_map(F.lit(""), F.lit(0.0)).alias("proportions")).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, mark = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(own.langs)), np.float32)
         for b in batches:
-            found = [words_of(t.as_py()) for t in b.column(b.num_columns - 1)] if own.langs else [[]] * b.num_rows
-            if len(known) > CACHE:
-                known, table = {}, table[:0]
-            new = list(dict.fromkeys(w for ws in found for w in ws if w not in known))
-            for a in range(0, len(new), 50_000):
-                part = new[a : a + 50_000]
-                table = np.concatenate([table, own.words(part).astype(np.float32)])
-                known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
             pred, score, props = ["und"] * b.num_rows, np.zeros(b.num_rows), [[] for _ in range(b.num_rows)]
+            found = [words_of(t.as_py()) for t in b.column(b.num_columns - 1)] if own.langs else []
             have = [i for i, ws in enumerate(found) if ws]
-            ids, counts, starts, at = [], [], [], 0
-            for i in have:
-                u, c = np.unique(np.fromiter(map(known.__getitem__, found[i]), np.int64, len(found[i])), return_counts=True)
-                ids.append(u)
-                counts.append(c)
-                starts.append(at)
-                at += len(u)
             if have:
-                pi = mixtures(table[np.concatenate(ids)].astype(np.float64), np.concatenate(counts).astype(np.float64), np.array(starts))
+                known, table = _known(own, mark, set().union(*found))
+                ids, counts = [], []
+                for i in have:
+                    u, c = np.unique(np.fromiter(map(known.__getitem__, found[i]), np.int32, len(found[i])), return_counts=True)
+                    ids.append(u)
+                    counts.append(c)
+                pi = mixtures(table[np.concatenate(ids)], np.concatenate(counts), np.fromiter(map(len, ids), np.int64))
                 for j, i in enumerate(have):
                     k = int(pi[j].argmax())
                     pred[i], score[i] = own.langs[k], min(1.0, float(pi[j, k]))

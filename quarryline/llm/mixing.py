@@ -15,7 +15,7 @@ from .common import written
 DIMENSIONS = ("source", "lang", "topic")
 #: Share of the targets: observed share to this power, normalised. Below 1 it evens out; 1 holds the margin as it is.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
-ROUNDS = 12
+ROUNDS = 6
 
 #: Patterns of the derived topic, first match wins; 'general' otherwise.
 TOPICS = (
@@ -60,7 +60,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         for d in DIMENSIONS:
             margin = fitted.groupBy(d).agg(F.sum("w").alias("m")).join(targets[d], d).select(d, (F.col("share") / F.col("m")).alias("f"))
             fitted = fitted.join(margin, d).select(*DIMENSIONS, "n", (F.col("w") * F.col("f")).alias("w"))
-        if i % 2:
+        if i % 2 == 1:
             fitted = written(fitted, "rake")  # ends the growth of the plan
     return written(fitted, "rake")
 

@@ -13,11 +13,13 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -176,54 +178,83 @@ class Reader:
         return out
 
 
-#: Pieces of white space that every tokenizer pattern below separates too, and that no normalisation joins.
+#: Pieces between the white space that the tokenizer's normaliser and pattern treat as such beyond doubt.
 _PIECE = re.compile(r"[^ \n\t\r]+")
-#: How an ASCII piece falls into pretokens; the same alternatives as in the tokenizer's file.
-_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Other white space: a text that has some is split as above, not by str.split().
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Characters that normalisation C leaves alone and that every library lower-cases alike.
+_LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+#: How a piece falls into pretokens: the pattern in the tokenizer's file.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def byte_characters() -> list[str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = iter(range(256, 512))
+    return [chr(b if b in plain else next(odd)) for b in range(256)]
 
 
 class Encoder:
     """Encodes with the tokenizers library; what it gives for a piece between white space is remembered.
 
     The tokenizer splits at white space before its merges and its normaliser works on each piece alone, so the ids
-    of a text are those of its pieces in a row. A text that holds a special token's opening mark goes whole.
+    of a text are those of its pieces in a row. New pieces of Latin letters go to the library's model pretoken by
+    pretoken; all others, and texts that hold a special token, go through the whole of the library.
     """
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, pieces: int = 600_000, pretokens: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
+        self.code = "H" if self.width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache_size = cache
+        self.limits = pieces, pretokens
         self.pieces: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.characters = byte_characters()
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pretoken(self, word: str) -> bytes:
+        ids = self.pretokens.get(word)
+        if ids is None:
+            shown = "".join(map(self.characters.__getitem__, word.encode()))
+            ids = self.pretokens[word] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _learn(self, missed: list[str]) -> None:
+        rest = []
+        for p in missed:
+            if _LATIN.fullmatch(p):
+                self.pieces[p] = b"".join(map(self._pretoken, _PRETOKEN.findall(p.lower())))
+            else:
+                rest.append(p)
+        self.pieces.update(zip(rest, self.direct(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.width bytes."""
-        if len(self.pieces) > self.cache_size:
-            self.pieces = {}
-        if len(self.pretokens) > self.cache_size:
-            self.pretokens = {}
-        whole = [any(s in t for s in self.special) for t in texts]
-        split = [None if w else (t.lower() if t.isascii() else t).split() if t.isascii() and not _ODD.search(t) else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
-        pieces, pretokens = self.pieces, self.pretokens
-        missed = {p for ps in split if ps for p in ps if p not in pieces}
-        parts = {p: _PRETOKEN.findall(p.lower()) if p.isascii() and not _ODD.search(p) else [p] for p in missed}
-        new = list({x for xs in parts.values() for x in xs if x not in pretokens})
-        pretokens.update(zip(new, self._direct(new), strict=True))
-        pieces.update((p, b"".join([pretokens[x] for x in xs])) for p, xs in parts.items())
-        get = pieces.__getitem__
-        return [self._direct([t])[0] if w else b"".join(map(get, ps)) for t, w, ps in zip(texts, whole, split, strict=True)]
-
-
-#: White space of ASCII that str.split() takes and the pieces above don't.
-_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f]")
+        if len(self.pieces) > self.limits[0]:
+            self.pieces.clear()
+        if len(self.pretokens) > self.limits[1]:
+            self.pretokens.clear()
+        out = []
+        get = self.pieces.__getitem__
+        for t in texts:
+            if any(s in t for s in self.special):
+                out += self.direct([t])
+                continue
+            words = _PIECE.findall(t) if _ODD.search(t) else t.split()
+            try:
+                out.append(b"".join(map(get, words)))
+            except KeyError:
+                self._learn([w for w in dict.fromkeys(words) if w not in self.pieces])
+                out.append(b"".join(map(get, words)))
+        return out
 
 
 def default_tokenizer() -> str:
@@ -256,7 +287,7 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Encoder], end
                     fs.create_dir(where, recursive=True)
                     out = fs.open_output_stream(name)
                     writer = Writer(out, coder.width)
-                    last = np.array([end], coder.kind).tobytes()
+                    last = array(coder.code, [end]).tobytes()
                 own = b.column(0).to_pylist()
                 for i, v in zip(own, coder.encode(b.column(1).to_pylist()), strict=True):
                     writer.add(key_of(i), v + last)
