@@ -56,13 +56,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """
     total = cells.agg(F.sum("n")).first()[0] or 1
     fitted = cells.select(*DIMENSIONS, "n", (F.col("n") / F.lit(float(total))).alias("w"))
-    for i in range(rounds):
+    for _ in range(rounds):
         for d in DIMENSIONS:
             margin = fitted.groupBy(d).agg(F.sum("w").alias("m")).join(targets[d], d).select(d, (F.col("share") / F.col("m")).alias("f"))
-            fitted = fitted.join(margin, d).select(*DIMENSIONS, "n", (F.col("w") * F.col("f")).alias("w"))
-        if i % 2 == 1:
-            fitted = written(fitted, "rake")  # ends the growth of the plan
-    return written(fitted, "rake")
+            # Written each time: fitted enters its successor twice, so an unwritten plan would double with each step.
+            fitted = written(fitted.join(margin, d).select(*DIMENSIONS, "n", (F.col("w") * F.col("f")).alias("w")), "rake")
+    return fitted
 
 
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
