@@ -40,7 +40,8 @@ class DigestIndex:
 
     def add(self, members: DataFrame) -> DataFrame:
         """Appends the digests of members (doc_id, digest) that the index lacks, with their largest id. Returns them."""
-        batch = members.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # Written, as Spark would otherwise move the join below the aggregate and shuffle a digest's every row.
+        batch = written(members.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "batch-digests")
         fresh = written(batch.join(self.rows().hint("merge"), "digest", "left_anti"), "fresh-digests")
         self._write(fresh.repartition(self.buckets, "digest"))
         self.spark.catalog.refreshTable(self.name)
