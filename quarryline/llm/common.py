@@ -68,3 +68,10 @@ def file_system(path: str):
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path)
+
+
+def keeping(docs: DataFrame, needed: tuple[str, ...], stage) -> DataFrame:
+    """stage(docs, columns) with every column that it doesn't need under a name that can't clash with its own."""
+    inner = [c if c in needed else f"__own{i}" for i, c in enumerate(docs.columns)]
+    out = stage(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)]), inner)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner, strict=True)])

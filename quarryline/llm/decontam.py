@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import keeping, small_batches
 
 WINDOW = 10
 #: Bytes of benchmark text that are matched in one pass; more items take more passes.
@@ -201,5 +201,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window occurs, with all their columns."""
-    own = docs.columns
-    return with_matches(docs, benchmark, own).where(F.size("hits") == 0).select(*[F.col(f"`{c}`") for c in own])
+    return keeping(docs, ("doc_id", "text"), lambda d, own: with_matches(d, benchmark, own).where(F.size("hits") == 0).select(*own))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keeping, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Share of the targets: observed share to this power, normalised. Below 1 it evens out; 1 holds the margin as it is.
@@ -102,7 +102,9 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     """The documents that the draw of :func:`mix` keeps, with all their columns; texts are not shuffled for it."""
     small = written(marks(docs), "mix-marks")
     cells = rates(small, targets, rounds).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("prob").alias("_prob"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumns(_row_marks())
-    out = out.join(cells, [f"_{d}" for d in DIMENSIONS], "left")
-    return out.where((F.col("_n_tokens") == 0) | (F.col("_u") < F.col("_prob"))).select(*own)
+
+    def draw(d: DataFrame, own: list[str]) -> DataFrame:
+        out = d.withColumns(_row_marks()).join(cells, [f"_{x}" for x in DIMENSIONS], "left")
+        return out.where((F.col("_n_tokens") == 0) | (F.col("_u") < F.col("_prob"))).select(*own)
+
+    return keeping(docs, ("doc_id", "text", "source", "lang"), draw)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import keeping, small_batches, written
 
 SEED = 42
 SHINGLE = 3
@@ -207,14 +207,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component with all its columns: the one with the smallest doc_id (a null id comes last); of
     rows that share that id, one. Components of null ids only keep one row each."""
-    own = docs.columns
+    return keeping(docs, ("doc_id", "text"), _first_of_each)
+
+
+def _first_of_each(docs: DataFrame, own: list[str]) -> DataFrame:
     rows = written(with_fingerprint(docs, own).withColumn("__rid", F.monotonically_increasing_id()), "printed-docs")
     small = rows.select("__rid", "doc_id", "fp")
     fps = written(small.groupBy("fp").agg(F.min(_order()).alias("first")), "first-rows")
     roots = written(components(links(fps.select("fp"))), "roots")
     firsts = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = firsts.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.c").alias("__rid"))
-    return rows.join(kept, "__rid", "left_semi").select(*[F.col(f"`{c}`") for c in own])
+    return rows.join(kept, "__rid", "left_semi").select(*own)
 
 
 def _order():

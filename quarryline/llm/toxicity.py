@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, small_batches, written
+from .common import id_crc32, keeping, small_batches, written
 
 #: Bounds of the training sample, in documents; expected sizes of samples drawn by a hash of the id.
 MAX_POSITIVE = 4000
@@ -186,5 +186,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score under 0.5, with all their columns."""
-    own = docs.columns
-    return score(docs.withColumnRenamed("score", "__score") if "score" in own else docs, train(docs, labels), ["__score" if c == "score" else c for c in own]).where("score < 0.5").select(*[F.col(f"`{'__score' if c == 'score' else c}`").alias(c) for c in own])
+    model = train(docs, labels)
+    return keeping(docs, ("doc_id", "text"), lambda d, own: score(d, model, own).where("score < 0.5").select(*own))
