@@ -1 +1,3 @@
-"""Registered queries over the driver's tables and the SQL that checks them."""
+"""Queries with SQL; importing the package registers all of them."""
+
+from . import project, queries  # noqa: F401

@@ -266,16 +266,17 @@ def remove_node_prefix(spark, sf):
     return G.remove_prefix(_edges(spark, sf), "supplier:")
 
 
-# Index maintenance: the manifest is the documents with an id not divisible by 7, some with another hash
+# Index maintenance: labelled documents were indexed, those of poor quality with another text, and so were the pages,
+# which are gone
 
-_OLD = "m AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE coalesce(text, '') END) AS hash FROM documents WHERE doc_id % 7 <> 0), c AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 5 <> 0)"
+_OLD = "m AS (SELECT doc_id AS path, sha256(CASE WHEN quality = 1 THEN coalesce(text, '') ELSE 'old' END) AS hash FROM labels JOIN documents USING (doc_id) UNION ALL SELECT -1 - page_id, sha256(coalesce(url, '')) FROM pages), c AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS hash FROM documents)"
 
 
 def _manifest(spark, sf):
-    d = t(spark, sf, "documents")
-    text = F.coalesce("text", F.lit(""))
-    old = d.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 11 == 0, "old").otherwise(text), 256).alias("hash"))
-    return old, d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.sha2(text, 256).alias("hash"))
+    text, path = F.coalesce("text", F.lit("")), F.col("doc_id").alias("path")
+    old = t(spark, sf, "labels").join(t(spark, sf, "documents"), "doc_id").select(path, F.sha2(F.when(F.col("quality") == 1, text).otherwise("old"), 256).alias("hash"))
+    gone = t(spark, sf, "pages").select((-1 - F.col("page_id")).alias("path"), F.sha2(F.coalesce("url", F.lit("")), 256).alias("hash"))
+    return old.unionByName(gone), t(spark, sf, "documents").select(path, F.sha2(text, 256).alias("hash"))
 
 
 _CH = f"WITH {_OLD}, x AS (SELECT coalesce(m.path, c.path) AS path, CASE WHEN m.hash IS NULL THEN 'new' WHEN c.hash IS NULL THEN 'deleted' WHEN m.hash <> c.hash THEN 'modified' END AS change FROM m FULL JOIN c ON m.path = c.path)"
