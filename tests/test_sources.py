@@ -1,7 +1,7 @@
 from oracle import SF
 
 from quarryline.operators.retrieve import retrieve
-from quarryline.sources import code, markdown
+from quarryline.sources import code, markdown, outline
 from quarryline.streaming import events as S
 
 PY = '''import os
@@ -47,3 +47,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     want = S.latest(batch, ["user_id", "event_type"], ["ts", "event_id"], "event_id").collect()
     assert sorted(spark.table("latest_events").collect()) == sorted(want)
+
+
+def test_outlines(spark):
+    tree = "root/\n├── src/\n│   ├── a b.py\n│   └── sub/\n│       └── c.py\n└── d.md\n"
+    rows = [(1, tree), (2, '{"x": {"y.py": null, "z": {}}, "w.md": 1}'), (3, None), (4, "{bad")]
+    got = outline.outline_paths(spark.createDataFrame(rows, "id int, text string")).orderBy("id", "position").collect()
+    assert [(r.id, r.path) for r in got] == [("1", "src/ab.py"), ("1", "src/sub/c.py"), ("1", "d.md"), ("2", "x/y.py"), ("2", "w.md")]
+
+
+def test_symbols_by_pattern(spark):
+    files = [("a.py", "class A:\n    def m(self):\n        pass\ndef f(x, y):\n    pass\n\ndef g(): pass\n"), ("b.py", None)]
+    got = outline.pattern_symbols(spark.createDataFrame(files, "path string, content string")).collect()
+    assert [(r.name, r.kind, r.line, r.signature) for r in got] == [("A", "class", 1, ""), ("m", "method", 2, "(self)"), ("f", "function", 4, "(x, y)"), ("g", "method", 6, "()")]
