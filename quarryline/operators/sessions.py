@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 def since_last(events: DataFrame, session: str, order: list[str], start: Column) -> DataFrame:
     """Events after the last start of their session; sessions without one keep all."""
-    last = events.groupBy(session).agg(F.max(F.when(start, F.struct(*order))).alias("_last"))  # partial sums, no sort of a hot session
-    own = events.join(last, session)
-    return own.where(F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))).drop("_last")
+    last = events.groupBy(F.col(session).alias("_session")).agg(F.max(F.when(start, F.struct(*order))).alias("_last"))  # partial sums, no sort of a hot session
+    own = events.join(last, F.col(session).eqNullSafe(F.col("_session")))
+    return own.where(F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))).drop("_last", "_session")
 
 
 def milestone_states(events: DataFrame, session: str, order: list[str], milestone: str, status: str) -> DataFrame:

@@ -117,3 +117,9 @@ def test_tree_is_read(spark, tmp_path):
     assert got == {"d/a.txt": ("ok \ufffd", 4, True), "d/__init__.py": ("", 0, True), ".env": ("K=1", 3, True)}
     (tmp_path / "none").mkdir()
     assert tree.read_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_events_without_a_session_are_kept(spark):
+    e = spark.createDataFrame([("s", 1, "go"), ("s", 2, "x"), (None, 1, "x"), (None, 2, "go"), (None, 3, "y"), ("t", 1, "x")], "s string, seq int, k string")
+    got = S.since_last(e, "s", ["seq"], F.col("k") == "go").collect()
+    assert {(r.s, r.seq) for r in got} == {("s", 2), (None, 3), ("t", 1)}
