@@ -43,6 +43,11 @@ KEY_FILES = (
     "src/main.tsx src/index.ts app.py main.py __init__.py"
 ).split()
 
+# Stems of entry points, and extensions that count more.
+ENTRY_POINTS = "main app index server cli __init__".split()
+CODE_BONUS = ".py .js .ts .tsx .jsx".split()
+DATA_BONUS = ".json .yaml .yml .toml".split()
+
 # Language by extension.
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "tsx", ".jsx": "jsx", ".json": "json", ".yaml": "yaml",

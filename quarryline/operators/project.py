@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import lines
+from ..functions.text import KEYWORD_STOP_WORDS, lines
 
 MAX_READ = 100 * 1024
 
@@ -78,6 +79,48 @@ def collect_files(files: DataFrame, instruction: str, max_files: int = 10, max_c
     return first.agg(rows.alias("r")).select(F.posexplode(F.aggregate("r", start, step)["kept"]).alias("position", "f")).select("position", "f.path", "f.content")
 
 
+def relevance(path: Column, instruction: str) -> Column:
+    """How well a path suits an instruction: named in it 100; for each keyword 10 in the path, 20 in the name, 50 as the
+    stem; 5 for entry points; 2 or 1 by extension."""
+    said = F.lit(instruction.lower())
+    keywords = [w for w in re.findall(r"\w+", instruction.lower()) if len(w) > 2 and w not in KEYWORD_STOP_WORDS]
+    whole, name, stem, ext = F.lower(path), F.lower(P.name(path)), F.lower(P.stem(path)), F.lower(P.suffix(path))
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    score = points(said.contains(name) | said.contains(stem), 100) + points(stem.isin(*P.ENTRY_POINTS), 5)
+    score = score + points(ext.isin(*P.CODE_BONUS), 2) + points(ext.isin(*P.DATA_BONUS), 1)
+    if keywords:
+        each = lambda a, k: a + points(whole.contains(k), 10) + points(name.contains(k), 20) + points(stem == k, 50)
+        score = score + F.aggregate(F.array(*map(F.lit, keywords)), F.lit(0), each)
+    return score
+
+
+def relevant_files(files: DataFrame, instruction: str, limit: int = 15) -> DataFrame:
+    """The files with the highest relevance above 0, with score; ties by path."""
+    return files.withColumn("score", relevance(F.col("path"), instruction)).where("score > 0").orderBy(F.desc("score"), "path").limit(limit)
+
+
+def collect_context(files: DataFrame, instruction: str, limit: int = 15, small: int = 10) -> DataFrame:
+    """(position, path, content, lines): the root's configuration files, then relevant files that aren't among them, up to
+    limit in all; one relevant file counts even where configuration takes all places. In a project of up to ``small``
+    files of which under three are relevant, every file counts as relevant.
+
+    No more than the 500 paths of a scan and the root's files meet in one task.
+    """
+    scan = context_scan(files)
+    scored = relevant_files(scan, instruction, limit)
+    counts = scan.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if counts <= small and relevant_files(scan, instruction, 3).count() < 3:
+        scored = scan.withColumn("score", F.lit(0))
+    config = root_config(files).withColumn("kind", F.lit(0)).withColumn("score", F.lit(0))
+    read = bounded_read(scored).where("content <> ''").join(scored.select("path", "score"), "path").join(config.select("path"), "path", "left_anti").withColumn("kind", F.lit(1))
+    both = config.where("content <> ''").unionByName(read)
+    own = Window.partitionBy("kind").orderBy(F.desc("score"), "path")
+    room = F.greatest(F.lit(limit) - F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(Window.partitionBy(F.lit(0))), F.lit(1))
+    kept = both.withColumn("r", F.row_number().over(own)).withColumn("room", room).where((F.col("kind") == 0) | (F.col("r") <= F.col("room")))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("kind", "r")) - 1
+    return kept.select(place.alias("position"), "path", "content", "lines")
+
+
 def module_chunks(files: DataFrame, max_lines: int = 200) -> DataFrame:
     """(id, name, content, line_end): each file up to 100 KB as one chunk of its first lines."""
     text = F.coalesce("content", F.lit(""))

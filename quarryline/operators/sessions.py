@@ -68,34 +68,61 @@ def recent(turns: DataFrame, session: str, order: list[str], role: str, text: st
 TRACKED = "session string, phase int, name string, status string, current boolean, tools long"
 
 
+def phase_state() -> dict:
+    return {"names": [], "states": [], "at": 0, "tools": 0}
+
+
+def advance(state: dict, kind: str, name: str | None, index: float | None, status: str | None) -> None:
+    """One event's effect on the phases of its session; see :func:`track_phases`."""
+    names, states, at = state["names"], state["states"], state["at"]
+    if kind == "plan" and not names:
+        state["names"] = [n for n in (name or "").split("\n") if n]
+        state["states"] = ["pending"] * len(state["names"])
+    elif kind == "phase":
+        i = int(index) if pd.notna(index) else -1
+        if not 0 <= i < len(names):
+            i = next((i for i, n in enumerate(names) if n == name or i == at), -1)
+        if i >= 0:
+            states[i], state["at"] = status, i
+    elif kind in ("worker_start", "worker_done"):
+        state["tools"] = 0
+        if at < len(names):
+            states[at] = "running" if kind == "worker_start" else "completed"
+            state["at"] = at + (kind == "worker_done")
+    elif kind == "tool":
+        state["tools"] += 1
+
+
+def phase_rows(session: str, state: dict) -> pd.DataFrame:
+    out = [(session, i, n, s, i == state["at"], state["tools"]) for i, (n, s) in enumerate(zip(state["names"], state["states"], strict=True))]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
+
+
+def phase_events(events: DataFrame) -> DataFrame:
+    return events.select(F.col("session").cast("string"), "seq", "type", "name", F.col("index").cast("double"), "status")
+
+
 def track_phases(events: DataFrame) -> DataFrame:
     """events (session, seq, type, name, index, status) to the phases of each session and their states.
 
     plan: name holds the phases, separated by line breaks; a later plan is ignored. phase: a phase gets a
     status; without an index in range the first phase that has the name or is current changes. worker_start
     and worker_done run and end the current phase; both set the count of tools to 0; tool adds 1. An empty session, or one
-    without a plan, gives no rows. One session's events meet in one task.
+    without a plan, gives no rows. Tool events, the bulk of a session, meet as counts between two other events; the rest of
+    one session's events meets in one task.
     """
+    own = phase_events(events).where(F.col("type").isin("plan", "phase", "worker_start", "worker_done", "tool"))
+    marks = own.where("type <> 'tool'")
+    reset = marks.where("type <> 'plan' and type <> 'phase'").groupBy(F.col("session").alias("_s")).agg(F.max("seq").alias("_reset"))
+    since = own.where("type = 'tool'").join(reset, F.col("session").eqNullSafe(F.col("_s")), "left").where("_reset is null or seq > _reset")
+    tools = since.groupBy(F.col("session").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
 
     def fold(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        names, states, at, tools = [], [], 0, 0
+        state = phase_state()
         for e in g.sort_values("seq", kind="stable").itertuples(index=False):
-            if e.type == "plan" and not names:
-                names = [n for n in (e.name or "").split("\n") if n]
-                states = ["pending"] * len(names)
-            elif e.type == "phase":
-                i = int(e.index) if pd.notna(e.index) else -1
-                if not 0 <= i < len(names):
-                    i = next((i for i, n in enumerate(names) if n == e.name or i == at), -1)
-                if i >= 0:
-                    states[i], at = e.status, i
-            elif e.type in ("worker_start", "worker_done"):
-                tools = 0
-                if at < len(names):
-                    states[at] = "running" if e.type == "worker_start" else "completed"
-                    at += e.type == "worker_done"
-            elif e.type == "tool":
-                tools += 1
-        return pd.DataFrame([(key[0], i, n, s, i == at, tools) for i, (n, s) in enumerate(zip(names, states, strict=True))], columns=[c.split()[0] for c in TRACKED.split(", ")])
-
-    return events.select(F.col("session").cast("string"), "seq", "type", "name", F.col("index").cast("double"), "status").groupBy("session").applyInPandas(fold, TRACKED)
+            advance(state, e.type, e.name, e.index, e.status)
+        return phase_rows(key[0], state)
+
+    folded = marks.groupBy("session").applyInPandas(fold, TRACKED)
+    out = folded.join(tools, F.col("session").eqNullSafe(F.col("_s")), "left")
+    return out.select("session", "phase", "name", "status", "current", F.coalesce("_n", F.lit(0).cast("long")).alias("tools"))

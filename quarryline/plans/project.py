@@ -13,6 +13,7 @@ from ..functions import paths as P
 from ..functions import records as RC
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import knowledge as K
 from ..operators import project as PR
 from ..operators import ranking as R
 from ..operators import sessions as S
@@ -109,6 +110,41 @@ def apply_changes(spark, sf):
     return PR.apply_changes(own, changes)
 
 
+_SAID = "Fix src1 loader in 12.py and the src2 parser"
+
+
+@query(f"""WITH {_F}, g AS (SELECT path, lower(path) AS p, lower({_NAME}) AS n, lower(CASE WHEN {_SUFFIX} = '' THEN {_NAME} ELSE substr({_NAME}, 1, length({_NAME}) - length({_SUFFIX})) END) AS s, lower({_SUFFIX}) AS e FROM f),
+r AS (SELECT path, CASE WHEN contains('{_SAID.lower()}', n) OR contains('{_SAID.lower()}', s) THEN 100 ELSE 0 END + CASE WHEN e IN ('.py', '.js') THEN 2 ELSE 0 END
+  + list_sum(list_transform(['src1', 'loader', 'src2', 'parser'], lambda k: CASE WHEN contains(p, k) THEN 10 ELSE 0 END + CASE WHEN contains(n, k) THEN 20 ELSE 0 END + CASE WHEN s = k THEN 50 ELSE 0 END)) AS score FROM g)
+SELECT path, CAST(score AS INT) AS score FROM r WHERE score > 0 ORDER BY score DESC, path LIMIT 15""")
+def relevant_files(spark, sf):
+    return PR.relevant_files(files(spark, sf).where("path is not null"), _SAID).select("path", F.col("score").cast("int").alias("score"))
+
+
+# Knowledge base: a document's language and source are its tags, its lines the sections of a page
+
+
+@query("""WITH d AS (SELECT doc_id AS id, doc_id % 3 AS priority, length(coalesce(text, '')) AS n FROM documents WHERE lang = 'de' OR source = 'src3'),
+u AS (SELECT *, sum(n) OVER (ORDER BY priority DESC, id ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY priority DESC, id) AS r FROM d),
+o AS (SELECT r, upto - n AS before FROM u WHERE n > 0 AND upto > 30000 ORDER BY r LIMIT 1)
+SELECT id, priority FROM u WHERE r < coalesce((SELECT r FROM o), 1e18) OR (r = (SELECT r FROM o) AND 30000 - (SELECT before FROM o) > 500)""")
+def kb_by_tags(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("tags"), (F.col("doc_id") % 3).alias("priority"), F.coalesce("text", F.lit("")).alias("full_content"))
+    return K.by_tags(d, ["DE", "src3"], 30000).select("id", "priority")
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(lang, '') AS summary, '## ' || coalesce(source, '') AS head, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT doc_id, i, chr(10) || '### part' || chr(10) || l[i] AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+u AS (SELECT doc_id, i, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM s),
+h AS (SELECT doc_id, CASE WHEN summary = '' THEN head ELSE head || chr(10) || chr(10) || summary END AS head, length(head) + CASE WHEN summary = '' THEN 0 ELSE length(summary) + 1 END AS used FROM d),
+b AS (SELECT u.doc_id, string_agg(chr(10) || s, '' ORDER BY i) AS body FROM u JOIN h ON u.doc_id = h.doc_id WHERE used + upto <= 500 GROUP BY u.doc_id)
+SELECT h.doc_id, head || coalesce(body, '') AS block FROM h LEFT JOIN b ON h.doc_id = b.doc_id""")
+def kb_context_block(spark, sf):
+    none = F.array().cast("array<struct<language:string,code:string>>")
+    parts = F.transform(T.lines(F.col("text")), lambda x: F.struct(F.lit("part").alias("heading"), x.alias("content"), none.alias("code_blocks")))
+    return t(spark, sf, "documents").select("doc_id", K.context_block(F.coalesce("source", F.lit("")), F.col("lang"), parts, 500).alias("block"))
+
+
 # Messages
 
 _RAW = "r AS (SELECT event_id, '{\"type\":\"' || event_type || '\",\"call_id\":\"c' || event_id || '\"' || CASE WHEN value > 100 THEN '' ELSE ',\"data\":' || props END || '}' AS raw, event_type FROM events)"

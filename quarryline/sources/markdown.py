@@ -4,42 +4,93 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 SECTION = "path string, heading string, level int, content string, code_blocks array<string>, start_line int, priority int, tags array<string>"
+BLOCK = "struct<language: string, code: string>"
+PARSED = (
+    "path string, title string, fallback string, summary string, tags array<string>, priority int, full_content string, "
+    f"sections array<struct<heading: string, level: int, content: string, code_blocks: array<{BLOCK}>, start_line: int, end_line: int>>"
+)
 # Named priorities.
 PRIORITY = {"critical": 100, "high": 80, "medium": 50, "low": 20}
 
 
-def front_matter(text: str) -> tuple[dict[str, str], str]:
-    m = re.match(r"---\s*\n(.*?)\n---\s*\n", text, re.S)
+def _plain(value: str) -> str:
+    value = value.strip()
+    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+
+
+def front_matter(text: str) -> tuple[dict[str, str | list[str]], str]:
+    """Scalars and lists (in brackets, or an item a line) between two lines of dashes, and what follows them."""
+    m = re.match(r"---(.*?)\n---\s*\n", text, re.S)
     if not m:
         return {}, text
-    pairs = (line.partition(":") for line in m[1].split("\n") if ":" in line)
-    return {k.strip(): v.strip() for k, _, v in pairs}, text[m.end() :]
+    out: dict[str, str | list[str]] = {}
+    key = ""
+    for line in m[1].split("\n"):
+        if item := re.match(r"\s*-\s+(.+)$", line):
+            if key and out[key] in ("", []) or isinstance(out.get(key), list):
+                out[key] = [*(out[key] or []), _plain(item[1])]
+        elif ":" in line:
+            key, _, value = (x.strip() for x in line.partition(":"))
+            listed = value.startswith("[") and value.endswith("]")
+            out[key] = [_plain(v) for v in value[1:-1].split(",") if v.strip()] if listed else value
+    return out, text[m.end() :].strip()
 
 
-def sections_of(path: str, text: str | None) -> list[dict]:
-    """Text before the first heading is dropped; fenced code belongs to its section, apart from the content."""
+def parse(path: str, text: str | None) -> dict:
+    """A document as in PARSED, before what is inferred for it.
+
+    Text before the first heading is dropped; fenced code belongs to its section, apart from the content; an open fence
+    takes all that follows. Lines count from 1 in the body.
+    """
     meta, body = front_matter(text or "")
     given = meta.get("priority", "")
-    priority = PRIORITY.get(given.lower(), int(given) if given.isdigit() else 50)
-    tags = [x.strip().lower() for x in meta.get("tags", "").strip("[]").split(",") if x.strip()]
-    out, fence = [], None
-    for i, line in enumerate(body.split("\n"), 1):
+    given = given if isinstance(given, str) else ""
+    priority = int(given) if re.fullmatch(r"-?\d{1,9}", given) else PRIORITY.get(_plain(given).lower(), 50)
+    tags = meta.get("tags", [])
+    found, fence, lines = [], None, body.split("\n")
+    for i, line in enumerate(lines, 1):
         if line.startswith("```"):
-            if fence is not None and out:
-                out[-1]["code_blocks"].append("\n".join(fence))
-            fence = [] if fence is None else None
+            if fence is not None and found:
+                found[-1]["code_blocks"].append({"language": fence[0], "code": "\n".join(fence[1:])})
+            fence = [line[3:].strip()] if fence is None else None
         elif fence is not None:
             fence.append(line)
         elif m := re.match(r"(#{1,6})\s+(.+)$", line):
-            out.append({"path": path, "heading": m[2].strip(), "level": len(m[1]), "content": [], "code_blocks": [], "start_line": i, "priority": priority, "tags": tags})
-        elif out:
-            out[-1]["content"].append(line)
-    return [s | {"content": "\n".join(s["content"]).strip()} for s in out]
+            if found:
+                found[-1]["end_line"] = i - 1
+            found.append({"heading": m[2].strip(), "level": len(m[1]), "content": [], "code_blocks": [], "start_line": i, "end_line": len(lines)})
+        elif found:
+            found[-1]["content"].append(line)
+    text_of = lambda k: _plain(v) if isinstance(v := meta.get(k, ""), str) else ""
+    return {
+        "path": path, "title": text_of("title"), "fallback": PurePosixPath(path or "").stem.replace("_", " ").title(), "summary": text_of("summary"),
+        "tags": tags if isinstance(tags, list) else [], "priority": priority, "full_content": body,
+        "sections": [s | {"content": "\n".join(s["content"]).strip()} for s in found],
+    }
+
+
+def sections_of(path: str, text: str | None) -> list[dict]:
+    """The sections of a document, each with the document's priority and tags."""
+    d = parse(path, text)
+    own = {"path": path, "priority": d["priority"], "tags": [t.lower() for t in d["tags"]]}
+    return [s | own | {"code_blocks": [c["code"] for c in s["code_blocks"]]} for s in d["sections"]]
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """files (path, content) to one row per document, as in PARSED."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PARSED.split(" array<struct")[0].split(", ")]
+        for b in batches:
+            yield pd.DataFrame([parse(p, c) for p, c in zip(b["path"], b["content"], strict=True)], columns=names)
+
+    return files.select("path", "content").mapInPandas(run, PARSED)
 
 
 def sections(files: DataFrame) -> DataFrame:
