@@ -2,8 +2,10 @@
 
 A page is a sequence of text runs and tags. Words score positive and tags negative; the weights are log odds learned
 from pages whose markup labels the article (exactly one <article> element). One linear scan finds the contiguous
-region with the highest score. The region stands for the element that encloses it; of that element's blocks, those in
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out.
+region with the highest score. The blocks that it touches are the main text, each whole, and with them those that lie
+next to them in the same element and are not links only. Blocks in menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments are left out. Elements that claim the main text and hold at least half of the page's plain
+words change scores: words beside them count against the region.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def _names(attrs: str) -> set[str]:
 
 
 class _Element:
-    __slots__ = ("tag", "names", "parent", "out", "main", "article")
+    __slots__ = ("tag", "names", "parent", "out", "main", "article", "marked", "named")
 
     def __init__(self, tag: str, names: set[str], parent: "_Element | None", attrs: str):
         self.tag, self.names, self.parent = tag, names, parent
@@ -58,6 +60,8 @@ class _Element:
         own = own or tag == "article" and bool(names & {"comment", "comments", "reply"}) or bool(attrs and _HIDDEN.search(attrs))
         self.out = own or parent is not None and parent.out
         self.main = not self.out and (tag in _MAIN_TAGS or bool(names & _MAIN_NAMES) and tag not in ("html", "body"))
+        self.marked = not self.out and tag in _MAIN_TAGS or parent is not None and parent.marked
+        self.named = self.main or parent is not None and parent.named
 
 
 def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
@@ -117,7 +121,7 @@ def _word_key(element: _Element, link: bool) -> str:
 
 
 def default_weights() -> dict[str, float]:
-    return {"word": 1.0, "link": -0.5, "out": -2.0, "tag": -1.0}
+    return {"word": 1.0, "link": -0.5, "out": -2.0, "tag": -1.0, "beside": -1.0}
 
 
 def count_tokens(html: str) -> Counter | None:
@@ -158,64 +162,70 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def _claim(tokens: list[tuple[str, str, _Element, bool]]) -> str | None:
+    """Which elements claim the main text: the first of article, marked, named that holds half of the plain words."""
+    plain = [(e, len(v.split())) for k, v, e, link in tokens if k == "text" and not e.out and not link]
+    half = sum(n for _, n in plain) / 2
+    for kind in ("article", "marked", "named"):
+        held = sum(n for e, n in plain if getattr(e, kind))
+        if held and held >= half:
+            return kind
+    return None
+
+
+def token_scores(tokens: list[tuple[str, str, _Element, bool]], weights: dict[str, float]) -> list[float]:
+    """The score of each token. In an <article> or <main> that claims the page, all words are text and tags cost nothing."""
+    claim = _claim(tokens)
+    out = []
+    for kind, value, e, link in tokens:
+        inside = claim is not None and getattr(e, claim)
+        if inside and e.out:
+            s = 0.0  # left out anyway; it must not part the text before it from the text after it
+        elif kind == "tag":
+            s = weights.get("tag:" + value.lstrip("/"), weights["tag"])
+            s = s if not inside else max(s, -0.2) if claim == "named" else 0.0
+        else:
+            key = _word_key(e, link)
+            key = key if claim is None else "word" if inside and claim != "named" else "beside" if not inside and key == "word" else key
+            s = weights[key] * len(value.split())
+        out.append(s)
+    return out
+
+
 def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text: blocks in page order, joined by two line breaks; empty where there is none."""
     weights = weights or default_weights()
     tokens = list(scan(html or ""))
-    other = weights["tag"]
-    scores = [weights.get("tag:" + v.lstrip("/"), other) if k == "tag" else weights[_word_key(e, link)] * len(v.split()) for k, v, e, link in tokens]
-    first, end = best_region(scores)
-    texts = [e for k, v, e, _ in tokens[first:end] if k == "text" and not e.out and v.strip()]
-    if not texts:
-        return ""
-    chain = _path(texts[0])
-    for e in texts[1:]:
-        own = _path(e)
-        chain = [a for a, b in zip(chain, own, strict=False) if a is b]
-    root = chain[-1]
-    mains = [e for e in chain if e.main]
-    if articles := [e for e in mains if e.tag == "article"]:
-        root = articles[0]
-    elif mains:
-        root = mains[-1]
-    elif root.tag not in ("html", "body") and any(e.tag == "body" for e in chain):
-        root = next(e for e in chain if e.tag == "body")
+    first, end = best_region(token_scores(tokens, weights))
+    around = {id(e) for k, v, e, _ in tokens[first:end] if k == "text" and not e.out and not v.isspace() and e.tag not in ("html", "body")}
     blocks: list[str] = []
     parts: list[str] = []
+    touched = False
 
     def close() -> None:
+        nonlocal touched
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
-            if text:
+            if text and touched:
                 blocks.append(text)
+        touched = False
 
-    inside: dict[int, bool] = {}
-    for kind, value, e, _ in tokens:
+    for i, (kind, value, e, link) in enumerate(tokens):
         if kind == "tag":
             if value.lstrip("/") == "br":
                 parts.append(" ")
             elif value.lstrip("/") not in _INLINE:
                 close()
-            continue
-        if id(e) not in inside:
-            inside[id(e)] = not e.out and any(x is root for x in _path(e))
-        if inside[id(e)]:
-            parts.append(value)
-        else:
+        elif e.out:
             close()
+        else:
+            parts.append(value)
+            touched = touched or not value.isspace() and (first <= i < end or not link and id(e) in around)
     close()
     return "\n\n".join(blocks)
 
 
-def _path(e: _Element) -> list[_Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.parent
-    return out[::-1]
-
-
 def train(pages: DataFrame, bound: int = MAX_LABELLED) -> dict[str, float]:
     """Weights from about ``bound`` pages at most, whole, drawn by a hash of the id; defaults if none is labelled."""
     small_batches(pages.sparkSession, 500)

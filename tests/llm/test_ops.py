@@ -232,6 +232,19 @@ def test_main_text():
     assert htmlmain.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4)
 
 
+def test_main_text_is_the_region_where_no_element_claims_it():
+    menu = "<div><ul>" + "".join(f"<li><a href=x>Menu {i}</a></li>" for i in range(8)) + "</ul></div>"
+    foot = "<div><ul><li><a href=x>Terms</a></li><li><a href=y>Imprint</a></li></ul><p>&copy; 2024 Foo</p></div>"
+    text = "<h1>A title of five words</h1><p>One two three four five six seven <a href=z>eight nine</a>.</p><p>Ten eleven twelve thirteen fourteen.</p>"
+    want = "A title of five words\n\nOne two three four five six seven eight nine.\n\nTen eleven twelve thirteen fourteen."
+    for page in (f"<body>{menu}<div>{text}</div>{foot}</body>", f"<body><div>{menu}{text}{foot}</div></body>", menu + text + foot):
+        assert htmlmain.extract(page) == want
+    claimed = f"<body><div>{menu}<main>{text}<aside>{'side ' * 90}</aside><p>End.</p></main><div><p>Ten plain words that stand beside it, not in it.</p></div>{foot}</div></body>"
+    assert htmlmain.extract(claimed) == want + "\n\nEnd."
+    teaser = f"<body><article><p>See this too</p></article>{menu}<div>{text}</div>{foot}</body>"
+    assert htmlmain.extract(teaser) == want
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in htmlmain.main_text(pages).collect()}
