@@ -27,8 +27,10 @@ from .common import small_batches
 MAX_LABELLED = 1000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_CLASS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)  # the attribute, once values are taken out
+_UNSEEN = re.compile(r"(?<![\w-])(?:aria-hidden\s*=\s*[\"']?true|hidden\s*=|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none)", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "object", "select", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
@@ -39,29 +41,100 @@ _OUT_NAMES = set(
     "masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist discussion replies reply disqus respond breadcrumb breadcrumbs pagination pager widget toolbar search complementary contentinfo".split()
 )
+#: Of these, the ones that hold reader comments: they may well have most of a page's words.
+_COMMENT_NAMES = set("comment comments commentlist discussion replies reply disqus respond".split())
+#: Beside a word of _OUT_NAMES these make a name of the same sense: site-header, comment-list, sidebar-left.
+_NEUTRAL = set(
+    "site page main global top bottom left right primary secondary container wrapper wrap inner outer box block area section list bar item items unit slot text link links form "
+    "posts articles stories news button buttons icon icons card cards label logo trail pills row col column panel group holder fixed sticky mobile desktop region module".split()
+)
+#: A name that begins so says what an element has or lacks, not what it is.
+_MODIFIERS = {"has", "no", "not", "non", "with", "without", "is"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _MAIN_TAGS = {"article", "main"}
 _MAIN_NAMES = {"article", "main", "content", "post", "entry", "story", "body-text", "articlebody", "post-content", "entry-content", "article-body", "main-content"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _names(attrs: str) -> set[str]:
-    return {n for m in _CLASS.finditer(attrs) for n in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if n} if attrs else set()
+def _names(attrs: str, ids: bool = True) -> list[list[str]]:
+    """The names in class, id and role, each as the words between its hyphens; names such as has-sidebar are left out."""
+    values = [(m[2] or m[3] or m[4] or "").lower() for m in _CLASS.finditer(attrs) if ids or m[1].lower() != "id"] if attrs else []
+    split = [[w for w in _SPLIT.split(n) if w] for v in values for n in v.split()]
+    return [n for n in split if n and (len(n) == 1 or n[0] not in _MODIFIERS)]
+
+
+def _out_names(names: list[list[str]], article: bool) -> set[str]:
+    """The words of _OUT_NAMES in names that as a whole say so; none if another name says main text."""
+    if any("-".join(n) in _MAIN_NAMES for n in names):
+        return set()
+    held = {w for n in names if all(w in _OUT_NAMES or w in _NEUTRAL or w[0].isdigit() or i and w in ("content", "body") for i, w in enumerate(n)) for w in n if w in _OUT_NAMES}
+    return held - {"header"} if article else held
+
+
+def _unseen(attrs: str) -> bool:
+    return bool(attrs) and bool(_UNSEEN.search(attrs) or "hidden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub("", attrs)))
 
 
 class _Element:
-    __slots__ = ("tag", "names", "parent", "out", "main", "article", "marked", "named")
+    """own: why it is out itself, if it is: 'tag', 'wrapper', 'name', 'comment' or 'unseen'. settle() sets the rest."""
+
+    __slots__ = ("tag", "names", "parent", "own", "out", "main", "article", "marked", "named", "within")
 
-    def __init__(self, tag: str, names: set[str], parent: "_Element | None", attrs: str):
+    def __init__(self, tag: str, names: list[list[str]], parent: "_Element | None", attrs: str):
         self.tag, self.names, self.parent = tag, names, parent
-        article = parent is not None and parent.article
-        self.article = article or tag == "article"
-        own = tag in _OUT_TAGS and not (tag == "header" and article) or tag not in ("html", "body", "article", "main") and bool(names & _OUT_NAMES)
-        own = own or tag == "article" and bool(names & {"comment", "comments", "reply"}) or bool(attrs and _HIDDEN.search(attrs))
-        self.out = own or parent is not None and parent.out
-        self.main = not self.out and (tag in _MAIN_TAGS or bool(names & _MAIN_NAMES) and tag not in ("html", "body"))
-        self.marked = not self.out and tag in _MAIN_TAGS or parent is not None and parent.marked
-        self.named = self.main or parent is not None and parent.named
+        self.within = tag == "article" or parent is not None and parent.within  # in an <article>, out or not
+        said = _out_names(names, self.within) if names and tag not in ("html", "body", "article", "main") else ()
+        self.own = (
+            "unseen" if _unseen(attrs)
+            else "comment" if said and said & _COMMENT_NAMES or tag == "article" and any(n[0] in ("comment", "comments", "reply") for n in names)
+            else "wrapper" if tag in ("form", "fieldset")
+            else "tag" if tag in _OUT_TAGS and not (tag == "header" and self.within)
+            else "name" if said else ""
+        )
+        self.settle()
+
+    def settle(self) -> None:
+        up = self.parent
+        self.out = bool(self.own) or up is not None and up.out
+        self.article = up is not None and up.article or self.tag == "article"
+        self.main = not self.out and (self.tag in _MAIN_TAGS or self.tag not in ("html", "body") and any(w in _MAIN_NAMES for n in self.names for w in [*n, "-".join(n)]))
+        self.marked = not self.out and self.tag in _MAIN_TAGS or up is not None and up.marked
+        self.named = self.main or up is not None and up.named
+
+
+def page_tokens(html: str) -> list[tuple[str, str, _Element, bool]]:
+    """The tokens of scan, once forms and elements that are out by name are taken in again where they wrap the main text:
+    where every <article> and <main> would be out, those around the one with the most words; where there is none to hold,
+    those with more than half of the page's plain words, unless they are comments."""
+    tokens = list(scan(html))
+    elements = list({id(e): e for _, _, e, _ in tokens}.values())  # parents before children
+    wraps = {id(e) for e in elements if e.own in ("wrapper", "name", "comment") and e.tag not in _LEAF and e.tag != "article"}
+    if not wraps or any(e.tag in _MAIN_TAGS and not e.out for e in elements):
+        return tokens
+    words: Counter = Counter()
+    for kind, value, e, link in tokens:
+        if kind == "text" and not link:
+            words[id(e)] += len(value.split())
+    for e in reversed(elements):
+        if e.parent is not None:
+            words[id(e.parent)] += words[id(e)]
+    shut = set()  # elements that stay out
+    for e in elements:
+        if e.own and id(e) not in wraps or e.parent is not None and id(e.parent) in shut:
+            shut.add(id(e))
+    if mains := [e for e in elements if e.tag in _MAIN_TAGS and id(e) not in shut]:
+        x = max(mains, key=lambda e: words[id(e)])
+        while x is not None:
+            x.own, x = "", x.parent
+    else:
+        half = max(words.values(), default=0) / 2
+        for e in elements:
+            if id(e) in wraps and e.own != "comment" and words[id(e)] > half:
+                e.own = ""
+    for e in elements:
+        e.settle()
+    return tokens
 
 
 def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
@@ -69,7 +142,7 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
 
     Elements that form the page's structure nest; leaf blocks and inline tags only pass by, closed or not.
     """
-    at, top = 0, _Element("html", set(), None, "")
+    at, top = 0, _Element("html", [], None, "")
     here, link, n = top, False, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -93,8 +166,8 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
         elif tag in _INLINE or tag in _VOID or tag in _LEAF:
             if tag in _LEAF:
                 link = False
-            names = _names(m[3]) if tag in _LEAF and m[3] and not closing else None
-            if names and names & _OUT_NAMES:  # a leaf block that is a notice or the like, up to its end
+            names = _names(m[3], tag not in _HEADINGS) if tag in _LEAF and m[3] and not closing else None
+            if names and _out_names(names, here.within):  # a leaf block that is a notice or the like, up to its end
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 stop = end.start() if end else n
                 inner = _Element(tag, names, here, m[3])
@@ -126,7 +199,7 @@ def default_weights() -> dict[str, float]:
 
 def count_tokens(html: str) -> Counter | None:
     """(key, inside the article) counts of a page with exactly one <article>; None for others."""
-    tokens = list(scan(html or ""))
+    tokens = page_tokens(html or "")
     articles = sum(kind == "tag" and value == "article" for kind, value, _, _ in tokens)
     if articles != 1:
         return None
@@ -195,7 +268,7 @@ def token_scores(tokens: list[tuple[str, str, _Element, bool]], weights: dict[st
 def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text: blocks in page order, joined by two line breaks; empty where there is none."""
     weights = weights or default_weights()
-    tokens = list(scan(html or ""))
+    tokens = page_tokens(html or "")
     first, end = best_region(token_scores(tokens, weights))
     around = {id(e) for k, v, e, _ in tokens[first:end] if k == "text" and not e.out and not v.isspace() and e.tag not in ("html", "body")}
     blocks: list[str] = []

@@ -245,6 +245,22 @@ def test_main_text_is_the_region_where_no_element_claims_it():
     assert htmlmain.extract(teaser) == want
 
 
+def test_main_text_is_not_dropped_with_a_wrapper_or_a_loose_name():
+    body = "<h2>Title words here</h2><p>One two three four five six.</p><p>Seven eight nine ten eleven.</p>"
+    want = "Title words here\n\nOne two three four five six.\n\nSeven eight nine ten eleven."
+    for a, b in (
+        ('<div class="content has-sidebar">', "</div>"), ('<div class="wrapper no-sidebar"><article>', "</article></div>"), ('<section class="story social">', "</section>"),
+        ('<form id="aspnetForm"><div>', "</div></form>"), ('<div class="sidebar"><main>', "</main></div>"), ('<div class="page a hidden-xs b"><article>', "</article></div>"),
+        ('<article class="x hidden y">', "</article>"), ('<div data-id="comments"><div>', "</div></div>"), ('<div class="nav-open"><div>', "</div></div>"),
+    ):
+        assert htmlmain.extract(f"<body>{a}{body}{b}<div class='sidebar'><p>Some side words</p></div></body>") == want, a
+    for h in ('<h2 id="discussion">Title words here</h2>', '<h2 id="related-work">Title words here</h2>', '<div class="post-header"><h2>Title words here</h2></div>', "<header><h2>Title words here</h2></header>"):
+        assert htmlmain.extract(f"<body><article>{h}{body[body.index('<p>'):]}</article></body>") == want, h
+    rest = f"<body><article>{body}</article>"
+    for out in ('<div class="related-posts"><article><p>Teaser words one two</p></article></div>', '<div id="comments"><article class="comment-body"><p>Reader words one two</p></article></div>', "<div hidden><p>Not seen</p></div>", '<div style="color:red; display: none"><p>Not seen</p></div>', '<div class="site-header"><p>Some site words</p></div>', "<form><p>Sign up now for more</p></form>"):
+        assert htmlmain.extract(rest.replace("<article>", out + "<article>", 1)) == htmlmain.extract(rest + out) == want, out
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in htmlmain.main_text(pages).collect()}
