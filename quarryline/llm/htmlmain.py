@@ -33,6 +33,8 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)  # the attribute, once v
 _UNSEEN = re.compile(r"(?<![\w-])(?:aria-hidden\s*=\s*[\"']?true|hidden\s*=|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none)", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "object", "select", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Of _RAW, those that hold text only, up to their literal end tag.
+_TEXT_ONLY = {"script", "style", "textarea", "title", "iframe", "noframes", "xmp"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
 _LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "td", "th", "tr", "hr", "figcaption", "caption", "summary", "address", "option"}
 _OUT_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "head"}
@@ -41,6 +43,16 @@ _OUT_NAMES = set(
     "masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist discussion replies reply disqus respond breadcrumb breadcrumbs pagination pager widget toolbar search complementary contentinfo".split()
 )
+#: Start tags that end a leaf block whose own end tag may be left out, and elements inside it in which they don't.
+_CLOSED_BY = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option", "optgroup"}, set()),
+    "td": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}), "th": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}),
+    "tr": ({"tr", "tbody", "thead", "tfoot"}, {"table"}), "select": ({"select", "input", "textarea"}, set()),
+}
+#: Start tags that end an <svg> or <math> left open, outside of these elements.
+_BREAK_OUT = set("p div h1 h2 h3 h4 h5 h6 ul ol li dl dd dt table pre blockquote section article main nav header footer aside form body".split())
+_FOREIGN = {"foreignobject", "annotation-xml", "desc", "mtext"}
+_HOLDERS = {"li", "dt", "dd", "td", "th", "tr", "figcaption", "caption", "address", "summary"}
 #: Of these, the ones that hold reader comments: they may well have most of a page's words.
 _COMMENT_NAMES = set("comment comments commentlist discussion replies reply disqus respond".split())
 #: Beside a word of _OUT_NAMES these make a name of the same sense: site-header, comment-list, sidebar-left.
@@ -137,6 +149,52 @@ def page_tokens(html: str) -> list[tuple[str, str, _Element, bool]]:
     return tokens
 
 
+def _end_of(html: str, at: int, tag: str, here: _Element) -> int:
+    """Where the leaf block or raw element ``tag`` that begins before ``at`` ends: at its end tag, at a tag that closes it
+    without one, or at its parent's end. One that must have an end tag but has none ends at the next block."""
+    if tag in _TEXT_ONLY:
+        end = re.compile(rf"</{tag}(?![\w-])[^>]*>", re.I).search(html, at)
+        return end.start() if end else len(html)
+    above = {"body", "html"}
+    x = here
+    while x is not None:
+        above.add(x.tag)
+        x = x.parent
+    closers, shields = _CLOSED_BY.get(tag, (set(), set()))
+    if tag in ("svg", "math"):
+        closers, shields = _BREAK_OUT, _FOREIGN
+    lenient = tag == "p" or tag in _CLOSED_BY or tag in _RAW
+    opened: Counter = Counter()
+    block = stop = None
+    while stop is None and (m := _TOKEN.search(html, at)):
+        at = m.end()
+        if not m[2]:
+            continue
+        name, closing = m[2].lower(), bool(m[1])
+        if closing:
+            if opened[name]:
+                opened[name] -= 1
+            elif name == tag:
+                return m.start()
+            elif name in above or name in _HOLDERS or name == "p" and tag in _RAW:
+                stop = m.start()
+        elif name in _TEXT_ONLY:
+            end = re.compile(rf"</{name}[^>]*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+        elif name not in _VOID and name not in _INLINE or name == "hr":
+            drawn = opened["svg"] or opened["math"]
+            if tag == "p" and (name in _BREAK_OUT or not drawn and name not in _RAW) or name in closers and not any(opened[s] for s in shields):
+                return m.start()
+            if block is None and name not in _RAW:
+                block = m.start()
+            if name == tag and not lenient:
+                stop = m.start()
+            elif name != "hr" and not m[3].endswith("/"):
+                opened[name] += 1
+    stop = len(html) if stop is None else stop
+    return stop if lenient or block is None else block
+
+
 def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
     """(kind, value, element, link) in page order. kind 'text': value is raw text; 'tag': its name ('/' before an end).
 
@@ -157,8 +215,9 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _RAW and not closing:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                at = _end_of(html, at, tag, here)
+                own = re.compile(rf"</{tag}(?![\w-])[^>]*>", re.I).match(html, at)
+                at = own.end() if own else at
             yield "tag", tag, here, link
             continue
         if tag == "a":
@@ -167,9 +226,8 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
             if tag in _LEAF:
                 link = False
             names = _names(m[3], tag not in _HEADINGS) if tag in _LEAF and m[3] and not closing else None
-            if names and _out_names(names, here.within):  # a leaf block that is a notice or the like, up to its end
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                stop = end.start() if end else n
+            if names and tag != "hr" and _out_names(names, here.within):  # a leaf block that is a notice or the like, up to its end
+                stop = _end_of(html, at, tag, here)
                 inner = _Element(tag, names, here, m[3])
                 yield "tag", tag, inner, link
                 yield "text", re.sub(r"<[^>]*>", " ", html[at:stop]), inner, link

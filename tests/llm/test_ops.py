@@ -261,6 +261,19 @@ def test_main_text_is_not_dropped_with_a_wrapper_or_a_loose_name():
         assert htmlmain.extract(rest.replace("<article>", out + "<article>", 1)) == htmlmain.extract(rest + out) == want, out
 
 
+def test_main_text_goes_on_after_a_block_left_open():
+    text, want = "<p>Para one is here.<p>Para two is here.", "Para one is here.\n\nPara two is here."
+    for out in (
+        '<p class="promo">Ad', '<p class="notice">Ad <b>words</b>', '<ul><li class="ad">Ad</ul>', '<ul><li class="ad">Ad<ul><li>inner</ul></ul>', '<table><tr><td class="ad">Ad</table>', '<table><tr class="ad"><td>Ad<td>b</table>',
+        '<dl><dt class="promo">Ad</dl>', '<hr class="ad">', '<h3 class="ad">Ad', '<div><select><option>a</div>', "<div><svg><path d=x></div>", "<svg><path d=x>", "<div><object>fallback</div>", "<div><canvas></div>", "<div><math><mi>x</div>",
+        '<svg><title>T</title><a href="</p>"><g></svg>', "<select><option>a</select>", "<noscript><p>Off</p></noscript>", '<p class="ad">Ad<script>"<p>"</script> more</p>', "<object><object>in</object>out</object>", "<p class='ad'>Ad <svg><g></svg> more</p>",
+    ):
+        assert htmlmain.extract(f"<body><article>{out}{text}</article></body>") == want, out
+    assert htmlmain.extract(f'<body><article><ul><li class="ad">Ad<li>Kept words in a list</ul>{text}</article>') == "Kept words in a list\n\n" + want
+    assert htmlmain.extract(f'<body><article><figcaption class="ad"><p>Ad</p>more</figcaption>{text}</article>') == want
+    assert htmlmain.extract("<article><p>Text is here.<script>never closed <p>x") == "Text is here."
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in htmlmain.main_text(pages).collect()}
