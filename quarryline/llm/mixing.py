@@ -2,11 +2,15 @@
 
 Token counts of the cells (source, language, topic) are raked until their shares by source, by language and by topic
 all meet the targets. The ratio of a cell's fitted share to its observed share is its sampling rate; rates are scaled
-so that the largest is 1, hence no rate is cut off and the expected shares of the sample are the fitted ones.
+so that the largest is 1, hence no rate is cut off and the expected shares of the sample are the fitted ones. So the
+smallest cell can set the rate of all; with a number of tokens asked for, rates meet that number instead, and a rate
+above 1 gives whole copies and a drawn one for the rest.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Share of the targets: observed share to this power, normalised. Below 1 it evens out; 1 holds the margin as it is.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 ROUNDS = 6
+#: A margin further than this from its target, relatively, is warned of.
+TOLERANCE = 0.02
 
 #: Patterns of the derived topic, first match wins; 'general' otherwise.
 TOPICS = (
@@ -71,14 +77,26 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return written(sums.select(dim, (F.col("p") / F.lit(everything)).alias("share")), "targets")
 
 
-def rates(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, weight, prob) of the cells in rows (as from marks)."""
+def margin_gap(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest relative distance of a fitted margin from its target."""
+    gaps = None
+    for d in DIMENSIONS:
+        margin = fitted.groupBy(d).agg(F.sum("w").alias("m")).join(targets[d], d).where("share > 0").select(F.abs(F.col("m") / F.col("share") - 1).alias("g"))
+        gaps = margin if gaps is None else gaps.unionAll(margin)
+    return gaps.agg(F.max("g")).first()[0] or 0.0
+
+
+def rates(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tokens: int | None = None) -> DataFrame:
+    """(source, lang, topic, weight, prob) of the cells in rows (as from marks). prob is at most 1, or, with tokens, the
+    mean number of copies that gives so many tokens. Targets that the rounds don't meet are warned of."""
     cells = written(rows.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "mix-cells")
     targets = targets or {d: tempered(cells, d, TEMPER[d]) for d in DIMENSIONS}
     fitted = rake(cells, targets, rounds)
+    if (gap := margin_gap(fitted, targets)) > TOLERANCE:
+        warnings.warn(f"mixing: after {rounds} rounds a margin is {gap:.1%} off its target", stacklevel=2)
     total = fitted.agg(F.sum("n")).first()[0] or 1
     ratio = fitted.select(*DIMENSIONS, (F.col("w") / (F.col("n") / F.lit(float(total)))).alias("weight"))
-    top = ratio.agg(F.max("weight")).first()[0] or 1.0
+    top = total / tokens if tokens else ratio.agg(F.max("weight")).first()[0] or 1.0
     return written(ratio.select(*DIMENSIONS, "weight", (F.col("weight") / F.lit(top)).alias("prob")), "mix-rates")
 
 
@@ -98,13 +116,21 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: in
     )
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The documents that the draw of :func:`mix` keeps, with all their columns; texts are not shuffled for it."""
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tokens: int | None = None) -> DataFrame:
+    """The documents that the draw of :func:`mix` keeps, with all their columns; texts are not shuffled for it.
+
+    With tokens, a sample of about so many: a document comes as often as the whole part of its rate says, and once more
+    if its draw is below the rest. Documents without words come once.
+    """
     small = written(marks(docs), "mix-marks")
-    cells = rates(small, targets, rounds).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("prob").alias("_prob"))
+    cells = rates(small, targets, rounds, tokens).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("prob").alias("_prob"))
 
     def draw(d: DataFrame, own: list[str]) -> DataFrame:
         out = d.withColumns(_row_marks()).join(cells, [f"_{x}" for x in DIMENSIONS], "left")
-        return out.where((F.col("_n_tokens") == 0) | (F.col("_u") < F.col("_prob"))).select(*own)
+        if tokens is None:
+            return out.where((F.col("_n_tokens") == 0) | (F.col("_u") < F.col("_prob"))).select(*own)
+        rate = F.when(F.col("_n_tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("_prob", F.lit(0.0)))
+        copies = (F.floor(rate) + (F.col("_u") < rate - F.floor(rate)).cast("int")).cast("int")
+        return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*own)
 
     return keeping(docs, ("doc_id", "text", "source", "lang"), draw)

@@ -294,6 +294,25 @@ def test_mixing_meets_targets(spark, docs):
         assert all(abs(got[k] - want[k]) < 0.02 * want[k] for k in want)
 
 
+def test_mixing_to_a_number_of_tokens_is_not_set_by_one_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = docs.unionAll(spark.createDataFrame([(10**9, "one two three four five", "en", "a source of its own"), (10**9 + 1, None, None, "s")], docs.schema))
+    n = lambda df: df.select(mixing.n_tokens(df.text).alias("n")).agg({"n": "sum"}).first()[0]
+    total = n(docs)
+    assert n(mixing.mixed(docs)) < 0.2 * total  # one document sets the rate of all
+    for part in (1.0, 2.5):
+        out = mixing.mixed(docs, tokens=int(part * total))
+        assert abs(n(out) / total - part) < 0.05 * part and out.columns == docs.columns
+        assert out.where("doc_id = 1000000001").count() == 1 < out.where("doc_id = 1000000000").count()
+
+
+def test_mixing_warns_of_margins_that_are_not_met(spark):
+    rows_ = [(i, "a b c d " * 9, "en", "s") for i in range(40)] + [(90, "a b", "xx", "t")]  # t and xx stand for one cell, in unlike shares
+    docs = spark.createDataFrame([*rows_, *[(i, "a b c d " * 9, "de", "s") for i in range(50, 80)]], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.mixed(docs)
+
+
 def test_pipeline_stages_compose(spark):
     import corpus_pipeline
 
