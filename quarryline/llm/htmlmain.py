@@ -36,6 +36,11 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 #: Of _RAW, those that hold text only, up to their literal end tag.
 _TEXT_ONLY = {"script", "style", "textarea", "title", "iframe", "noframes", "xmp"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
+#: Names with weights of their own; all others count as one, "other".
+_KNOWN = _RAW | _VOID | _INLINE | set(
+    "html head body div main article section nav aside header footer hgroup search form fieldset legend label button dialog menu details summary figure figcaption blockquote center "
+    "p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd pre address table caption colgroup thead tbody tfoot tr td th optgroup option datalist output progress meter audio video picture map slot font dir frame frameset".split()
+)
 _LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "td", "th", "tr", "hr", "figcaption", "caption", "summary", "address", "option"}
 _OUT_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "head"}
 _OUT_NAMES = set(
@@ -247,6 +252,11 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
         yield "tag", "/" + tag if closing else tag, here, link
 
 
+def _tag_key(value: str) -> str:
+    name = value.lstrip("/")
+    return "tag:" + (name if name in _KNOWN else "other")
+
+
 def _word_key(element: _Element, link: bool) -> str:
     return "out" if element.out else "link" if link else "word"
 
@@ -263,7 +273,7 @@ def count_tokens(html: str) -> Counter | None:
         return None
     out: Counter = Counter()
     for kind, value, element, link in tokens:
-        key = "tag:" + value.lstrip("/") if kind == "tag" else _word_key(element, link)
+        key = _tag_key(value) if kind == "tag" else _word_key(element, link)
         out[key, element.article] += 1 if kind == "tag" else len(value.split())
     return out
 
@@ -313,7 +323,7 @@ def token_scores(tokens: list[tuple[str, str, _Element, bool]], weights: dict[st
         if inside and e.out:
             s = 0.0  # left out anyway; it must not part the text before it from the text after it
         elif kind == "tag":
-            s = weights.get("tag:" + value.lstrip("/"), weights["tag"])
+            s = weights.get(_tag_key(value), weights["tag"])
             s = s if not inside else max(s, -0.2) if claim == "named" else 0.0
         else:
             key = _word_key(e, link)
@@ -372,8 +382,7 @@ def train(pages: DataFrame, bound: int = MAX_LABELLED) -> dict[str, float]:
         yield pd.DataFrame(rows, columns=["key", "inside", "n"])
 
     sums = sample.mapInPandas(run, "key string, inside boolean, n long").groupBy("key", "inside").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "key", "inside").limit(1000).collect()  # tag names; pages may invent any number
-    return learn({(r["key"], r["inside"]): r["n"] for r in top})
+    return learn({(r["key"], r["inside"]): r["n"] for r in sums.collect()})  # at most two rows for each key of a fixed set
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -274,6 +274,14 @@ def test_main_text_goes_on_after_a_block_left_open():
     assert htmlmain.extract("<article><p>Text is here.<script>never closed <p>x") == "Text is here."
 
 
+def test_main_text_weights_count_every_tag(spark):
+    odd = [f"<body><x-menu{i}><x-item{i}>Go</x-item{i}></x-menu{i}><article><p>One two three.</p></article></body>" for i in range(800)]
+    rare = ["<body><blockquote>Q</blockquote><article><p>One two three.</p></article></body>"]
+    weights = htmlmain.train(spark.createDataFrame(list(enumerate(odd + rare)), "page_id long, html string"), bound=10**6)
+    counts = sum(map(htmlmain.count_tokens, odd + rare), htmlmain.Counter())
+    assert weights == htmlmain.learn(counts) and {"tag:blockquote", "tag:other"} <= set(weights) and len(counts) < 20
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in htmlmain.main_text(pages).collect()}
