@@ -10,25 +10,25 @@ empty key and comes first. The value is the document's token ids, two or four by
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import file_system, shared_path, small_batches, task_name, written
+from .encoder import Encoder
 
 MAGIC = b"QLSST001"
 BLOCK_BYTES = 1 << 18
+#: A shard file holds about so much text at most.
+SHARD_BYTES = 1 << 29
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 #: offsets and sizes of index and filter, entries, ids, bytes of an id, hashes, magic
@@ -178,85 +178,6 @@ class Reader:
         return out
 
 
-#: Pieces between the white space that the tokenizer's normaliser and pattern treat as such beyond doubt.
-_PIECE = re.compile(r"[^ \n\t\r]+")
-#: Other white space: a text that has some is split as above, not by str.split().
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Characters that normalisation C leaves alone and that every library lower-cases alike.
-_LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
-#: How a piece falls into pretokens: the pattern in the tokenizer's file.
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-
-def byte_characters() -> list[str]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    odd = iter(range(256, 512))
-    return [chr(b if b in plain else next(odd)) for b in range(256)]
-
-
-class Encoder:
-    """Encodes with the tokenizers library; what it gives for a piece between white space is remembered.
-
-    The tokenizer splits at white space before its merges and its normaliser works on each piece alone, so the ids
-    of a text are those of its pieces in a row. New pieces of Latin letters go to the library's model pretoken by
-    pretoken; all others, and texts that hold a special token, go through the whole of the library.
-    """
-
-    def __init__(self, path: str, pieces: int = 600_000, pretokens: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.code = "H" if self.width == 2 else "I"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limits = pieces, pretokens
-        self.pieces: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
-        self.characters = byte_characters()
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pretoken(self, word: str) -> bytes:
-        ids = self.pretokens.get(word)
-        if ids is None:
-            shown = "".join(map(self.characters.__getitem__, word.encode()))
-            ids = self.pretokens[word] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
-
-    def _learn(self, missed: list[str]) -> None:
-        rest = []
-        for p in missed:
-            if _LATIN.fullmatch(p):
-                self.pieces[p] = b"".join(map(self._pretoken, _PRETOKEN.findall(p.lower())))
-            else:
-                rest.append(p)
-        self.pieces.update(zip(rest, self.direct(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.width bytes."""
-        if len(self.pieces) > self.limits[0]:
-            self.pieces.clear()
-        if len(self.pretokens) > self.limits[1]:
-            self.pretokens.clear()
-        out = []
-        get = self.pieces.__getitem__
-        for t in texts:
-            if any(s in t for s in self.special):
-                out += self.direct([t])
-                continue
-            words = _PIECE.findall(t) if _ODD.search(t) else t.split()
-            try:
-                out.append(b"".join(map(get, words)))
-            except KeyError:
-                self._learn([w for w in dict.fromkeys(words) if w not in self.pieces])
-                out.append(b"".join(map(get, words)))
-        return out
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -267,13 +188,18 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Encoder], end
     """Writes the documents (doc_id, text) to shard files below path. Returns, written, one row for each file: path, bytes,
     first, last (ids), entries, ids.
 
-    Texts are dealt by ranges of doc_id and sorted within them. A task's file has a name of its own, so a task that is
-    run again leaves at most a file that no row names.
+    Texts are dealt by ranges of doc_id, and of a hash of the text where many rows share an id, and sorted within them:
+    into ``shards`` files or, if it is None, at least one for SHARD_BYTES of text. A task's file has a name of its own, so
+    a task that is run again leaves at most a file that no row names.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    dealt = rows.repartitionByRange(shards, "doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = writer = coder = None
@@ -287,7 +213,7 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Encoder], end
                     fs.create_dir(where, recursive=True)
                     out = fs.open_output_stream(name)
                     writer = Writer(out, coder.width)
-                    last = array(coder.code, [end]).tobytes()
+                    last = np.array([end], coder.dtype).tobytes()
                 own = b.column(0).to_pylist()
                 for i, v in zip(own, coder.encode(b.column(1).to_pylist()), strict=True):
                     writer.add(key_of(i), v + last)
@@ -300,7 +226,7 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Encoder], end
         if writer is not None:
             yield pa.RecordBatch.from_pylist([{"path": name, "bytes": fs.get_file_info(name).size, "first": ids[0], "last": ids[-1], "entries": writer.entries, "ids": writer.ids}], schema=_MANIFEST)
 
-    done = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, "path string, bytes long, first long, last long, entries long, ids long")
+    done = dealt.sortWithinPartitions("doc_id", "h", "text").mapInArrow(run, "path string, bytes long, first long, last long, entries long, ids long")
     return written(done, "sst-manifest")
 
 
@@ -356,8 +282,9 @@ def lookup(manifest: DataFrame, root: str, doc_ids: list[int]) -> dict[int, list
 def token_shards(docs: DataFrame, tokenizer: str | None = None, end: int = END, shards: int | None = None) -> DataFrame:
     """One row per document, read back from the shard files: doc_id, start, n_tokens, ids_crc32.
 
-    A null text is empty and has the end id only. Null ids come first. Rows that share an id are ordered by text and
-    stay rows of their own. An empty table writes no file and gives no rows. Other columns are not read.
+    A null text is empty and has the end id only. Null ids come first. Rows that share an id are ordered by a hash of the
+    text, then the text, and stay rows of their own. Texts of any length are encoded whole, in slices between white space.
+    An empty table writes no file and gives no rows. Other columns are not read.
     """
     path = shared_path(docs.sparkSession, "sst")
     vocabulary = tokenizer or default_tokenizer()

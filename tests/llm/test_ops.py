@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 import sys
 import zlib
@@ -13,7 +14,7 @@ import xxhash
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from oracle import SF, expected, rows  # noqa: E402
 
-from quarryline.llm import decontam, exactdedup, htmlmain, langid, mixing, queries, sharding, simhash, sstable, toxicity, warc  # noqa: E402
+from quarryline.llm import decontam, encoder, exactdedup, htmlmain, langid, mixing, queries, sharding, simhash, sstable, toxicity, warc  # noqa: E402
 
 LONG = "word salad " * 30000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, hits string, score string, u double, cell int"
@@ -186,6 +187,37 @@ def test_token_shards_round_trip(spark, docs):
     assert found[10**9] == [] and all(len(found[i]) == 1 and found[i][0][-1] == 2 for i in some[:3])
 
 
+def test_encoder_equals_the_library_on_random_texts(monkeypatch):
+    rng = random.Random(3)
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'D", "'", "''", "a", "B", "É", "ß", "\u0130", "\u0131", "\u017f", "\u212a", "ª", "²", "½", "1", "23", "!", "...", "—", "日本", "ж", "Σ", "ς", " ", "  ", "\n", "\t", "\x0b"]
+    parts += ["\x1c", "\x85", "\xa0", "\u2003", "\u0301", "e\u0301", "\xad", "\x00", "\x7f", "\u023a", "\u024f", "\u0250", "<|endoftext|>", "<|endof", "x" * 30, "the", "tion", "re", "ll", "s", "t"]
+    for entries, size in ((2000, 1 << 18), (50, 60)):  # a memory that is dropped often, texts that are cut
+        monkeypatch.setattr(encoder, "SLICE", size)
+        e = encoder.Encoder(sstable.default_tokenizer(), entries)
+        assert e.known
+        for _ in range(6):
+            texts = ["".join(rng.choices(parts, k=rng.randint(0, 120))) for _ in range(200)]
+            assert e.encode(texts) == e.direct(texts)
+
+
+def test_encoder_leaves_other_tokenizers_to_the_library():
+    import public_tokenizers
+
+    e = encoder.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Don't  do\nthat", "", "日本 ½", "x" * 1000]
+    assert not e.known and [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [r.ids for r in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_rows_that_share_an_id_go_to_many_files(spark):
+    d = spark.createDataFrame([(i % 2 * 7 or None, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/sst-shared-ids"
+    manifest = sstable.write_shards(d, path, lambda: encoder.Encoder(sstable.default_tokenizer()), shards=8)
+    assert manifest.count() == 8 and max(r.entries for r in manifest.collect()) < 1500
+    got = sorted((r.start, r.n_tokens) for r in sstable.read_shards(manifest, path).collect())
+    assert len(got) == 4000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+    assert len(sstable.lookup(manifest, path, [7])[7]) == 2000
+
+
 def test_encoder_equals_the_library():
     e = sstable.Encoder(sstable.default_tokenizer())
     odd = ["don't 'S it''s <|endoftext|> x", "a\x1cb\xa0c ÀÉ ΑΣ İx é ª² ½x", "日本語 テスト　x", "", " \n", "<|ENDOFTEXT|> A", "\x00\x01 a\x7fb", "naïve—dash…ok 'tis !'s", "é ́x"]
