@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Expected number of pages that weights are learned from, drawn by a hash of the id.
+#: Expected number of pages that weights are learned from, drawn by a hash of id and html.
 MAX_LABELLED = 1000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_CLASS = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)  # the attribute, once values are taken out
-_UNSEEN = re.compile(r"(?<![\w-])(?:aria-hidden\s*=\s*[\"']?true|hidden\s*=|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none)", re.I)
+# Both patterns take each character in one way only, so a match or a failure costs the length of what is left at most once.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+_PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
+_OPENS = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?", re.S)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*+display\s*+:\s*+none", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "object", "select", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Of _RAW, those that hold text only, up to their literal end tag.
@@ -74,9 +75,50 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+class _Page:
+    """The tokens of a page, found one after the other, in time linear in its length.
+
+    A quoted value may hold '>'. From the first tag on whose quotes don't let it end, tags end at the next '>'. A tag that
+    the page ends in is dropped with what is left, as browsers do.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.plain = len(html)  # from here on, quotes don't count
+        self.last = html.rfind(">")
+        self.comment = html.rfind("<!--")
+
+    def next(self, at: int):
+        """The first token at or after ``at``; None if there is none."""
+        while (m := _OPENS.search(self.html, at)) and (m.start() < self.last or m.start() <= self.comment):
+            start = m.start()
+            if start < self.plain:
+                if found := _TOKEN.match(self.html, start):
+                    return found
+                self.plain = min(self.plain, start)
+            if found := _PLAIN_TOKEN.match(self.html, start):
+                return found
+            at = start + 1
+        return None
+
+    def end(self, at: int) -> int:
+        """Where the text after the last token ends: at a tag that the page ends in, or at the page's end."""
+        m = _OPENS.search(self.html, at)
+        return m.start() if m else len(self.html)
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name, empty where there is none; the first of those that repeat."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 def _names(attrs: str, ids: bool = True) -> list[list[str]]:
     """The names in class, id and role, each as the words between its hyphens; names such as has-sidebar are left out."""
-    values = [(m[2] or m[3] or m[4] or "").lower() for m in _CLASS.finditer(attrs) if ids or m[1].lower() != "id"] if attrs else []
+    own = _attributes(attrs) if attrs else {}
+    values = [own[a].lower() for a in ("class", "id", "role") if a in own and (ids or a != "id")]
     split = [[w for w in _SPLIT.split(n) if w] for v in values for n in v.split()]
     return [n for n in split if n and (len(n) == 1 or n[0] not in _MODIFIERS)]
 
@@ -90,7 +132,8 @@ def _out_names(names: list[list[str]], article: bool) -> set[str]:
 
 
 def _unseen(attrs: str) -> bool:
-    return bool(attrs) and bool(_UNSEEN.search(attrs) or "hidden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub("", attrs)))
+    own = _attributes(attrs) if attrs else {}
+    return "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(own.get("style", "")))
 
 
 class _Element:
@@ -154,11 +197,12 @@ def page_tokens(html: str) -> list[tuple[str, str, _Element, bool]]:
     return tokens
 
 
-def _end_of(html: str, at: int, tag: str, here: _Element) -> int:
+def _end_of(page: _Page, at: int, tag: str, here: _Element) -> int:
     """Where the leaf block or raw element ``tag`` that begins before ``at`` ends: at its end tag, at a tag that closes it
     without one, or at its parent's end. One that must have an end tag but has none ends at the next block."""
+    html = page.html
     if tag in _TEXT_ONLY:
-        end = re.compile(rf"</{tag}(?![\w-])[^>]*>", re.I).search(html, at)
+        end = re.compile(rf"</{tag}(?![\w-])[^>]*+>", re.I).search(html, at)
         return end.start() if end else len(html)
     above = {"body", "html"}
     x = here
@@ -171,7 +215,7 @@ def _end_of(html: str, at: int, tag: str, here: _Element) -> int:
     lenient = tag == "p" or tag in _CLOSED_BY or tag in _RAW
     opened: Counter = Counter()
     block = stop = None
-    while stop is None and (m := _TOKEN.search(html, at)):
+    while stop is None and (m := page.next(at)):
         at = m.end()
         if not m[2]:
             continue
@@ -184,7 +228,7 @@ def _end_of(html: str, at: int, tag: str, here: _Element) -> int:
             elif name in above or name in _HOLDERS or name == "p" and tag in _RAW:
                 stop = m.start()
         elif name in _TEXT_ONLY:
-            end = re.compile(rf"</{name}[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{name}[^>]*+>", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif name not in _VOID and name not in _INLINE or name == "hr":
             drawn = opened["svg"] or opened["math"]
@@ -207,10 +251,11 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
     """
     at, top = 0, _Element("html", [], None, "")
     here, link, n = top, False, len(html)
+    page = _Page(html)
     while at < n:
-        m = _TOKEN.search(html, at)
+        m = page.next(at)
         if m is None:
-            yield "text", html[at:], here, link
+            yield "text", html[at : page.end(at)], here, link
             return
         if m.start() > at:
             yield "text", html[at : m.start()], here, link
@@ -220,8 +265,8 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _RAW and not closing:
             if not m[3].endswith("/"):
-                at = _end_of(html, at, tag, here)
-                own = re.compile(rf"</{tag}(?![\w-])[^>]*>", re.I).match(html, at)
+                at = _end_of(page, at, tag, here)
+                own = re.compile(rf"</{tag}(?![\w-])[^>]*+>", re.I).match(html, at)
                 at = own.end() if own else at
             yield "tag", tag, here, link
             continue
@@ -232,7 +277,7 @@ def scan(html: str) -> Iterator[tuple[str, str, _Element, bool]]:
                 link = False
             names = _names(m[3], tag not in _HEADINGS) if tag in _LEAF and m[3] and not closing else None
             if names and tag != "hr" and _out_names(names, here.within):  # a leaf block that is a notice or the like, up to its end
-                stop = _end_of(html, at, tag, here)
+                stop = _end_of(page, at, tag, here)
                 inner = _Element(tag, names, here, m[3])
                 yield "tag", tag, inner, link
                 yield "text", re.sub(r"<[^>]*>", " ", html[at:stop]), inner, link
@@ -368,10 +413,11 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
 
 
 def train(pages: DataFrame, bound: int = MAX_LABELLED) -> dict[str, float]:
-    """Weights from about ``bound`` pages at most, whole, drawn by a hash of the id; defaults if none is labelled."""
+    """Weights from about ``bound`` pages at most, whole, drawn by a hash of id and html; defaults if none is labelled. Only
+    counts for a fixed set of names reach the driver, however many equal pages are drawn."""
     small_batches(pages.sparkSession, 500)
     share = min(1.0, bound / max(1, pages.select("page_id").count()))
-    sample = pages.where("html is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
+    sample = pages.where("html is not null").where(F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -388,7 +434,8 @@ def train(pages: DataFrame, bound: int = MAX_LABELLED) -> dict[str, float]:
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Null or empty html has the empty text. Repeated rows stay rows of their own, null ids and urls are passed on, and
+    Null or empty html has the empty text. Malformed html is read as browsers do where a tag is left open, and a page of any
+    length is read whole, in time linear in it. Of regions with equal scores the first counts. Repeated rows stay rows of their own, null ids and urls are passed on, and
     an empty table gives no rows. Other columns are not read.
     """
     weights = train(pages)
