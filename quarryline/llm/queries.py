@@ -95,25 +95,42 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN ids ON d.doc_id = ids.do
 
 
 def _mixing_sql() -> str:
-    topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{t}'" for t, p in mixing.TOPICS) + " ELSE 'general' END"
+    """Raking unrolled, with weights that stay once a round has moved none by more than the tolerance; the calibrating
+    factor from running sums of the cells in descending order of weight: the first number of cells taken whole after which
+    the next needs no probability above 1."""
+    low = "lower(coalesce(text, ''))"
+    quoted = lambda x: "'" + x.replace("\t", "' || chr(9) || '") + "'"
+    hits = [" + ".join(f"CASE WHEN contains({low}, {quoted(x)}) THEN 1 ELSE 0 END" for x in terms) for terms in mixing.TOPICS.values()]
+    names = list(mixing.TOPICS)
+    first = " ".join(f"WHEN h{i} = greatest({', '.join(f'h{j}' for j in range(len(names)))}) THEN '{n}'" for i, n in enumerate(names))
+    none = " AND ".join(f"h{i} = 0" for i in range(len(names)))
+    white = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     out = [
-        f"""r AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, {topic} AS topic,
-  trim(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')) AS plain,
+        f"""r AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang, {', '.join(f'{h} AS h{i}' for i, h in enumerate(hits))},
+  len(list_filter(string_split(translate(coalesce(text, ''), {white}, '     '), ' '), lambda w: w <> '')) AS n_tokens,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM documents)""",
-        "rows_ AS (SELECT *, CASE WHEN plain = '' THEN 0 ELSE length(plain) - length(replace(plain, ' ', '')) + 1 END AS n_tokens FROM r)",
-        "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM rows_ WHERE n_tokens > 0 GROUP BY ALL)",
+        f"rows_ AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN {none} THEN 'general' {first} END AS topic, n_tokens, u FROM r)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM rows_ WHERE n_tokens > 0 GROUP BY ALL)",
     ]
     for d in mixing.DIMENSIONS:
         out.append(f"p_{d} AS (SELECT {d}, pow(sum(n), {mixing.TEMPER[d]}) AS p FROM cells GROUP BY {d})")
-        out.append(f"t_{d} AS (SELECT {d}, p / (SELECT sum(p) FROM p_{d}) AS share FROM p_{d})")
-    out.append("f0 AS MATERIALIZED (SELECT *, n / (SELECT sum(n) FROM cells) AS w FROM cells)")
+        out.append(f"t_{d} AS MATERIALIZED (SELECT {d}, p / (SELECT sum(p) FROM p_{d}) AS share FROM p_{d})")
+    out.append("f0 AS MATERIALIZED (SELECT *, n / (SELECT sum(n) FROM cells) AS w, 1.0::DOUBLE AS moved FROM cells)")
     k = 0
-    for _ in range(mixing.ROUNDS):
+    for r in range(mixing.ROUNDS):
+        out.append(f"s{r} AS MATERIALIZED (SELECT *, max(moved) OVER () <= {mixing.SETTLED} AS done FROM f{k})")
+        last = f"(SELECT * REPLACE (CASE WHEN done THEN moved ELSE 0 END AS moved) FROM s{r})"
         for d in mixing.DIMENSIONS:
-            out.append(f"f{k + 1} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, n, w * share / sum(w) OVER (PARTITION BY f.{d}) AS w FROM f{k} f JOIN t_{d} t ON f.{d} = t.{d})")
             k += 1
-    out.append(f"q AS (SELECT source, lang, topic, w / (n / (SELECT sum(n) FROM f{k})) AS weight FROM f{k})")
-    out.append("rate AS (SELECT *, weight / (SELECT max(weight) FROM q) AS prob FROM q)")
+            out.append(f"""f{k} AS MATERIALIZED (SELECT source, lang, topic, n, CASE WHEN done THEN w ELSE w * f END AS w, CASE WHEN done THEN moved ELSE greatest(moved, abs(f - 1)) END AS moved, done
+  FROM (SELECT x.*, share / sum(w) OVER (PARTITION BY x.{d}) AS f FROM {last} x JOIN t_{d} t ON x.{d} = t.{d}))""")
+            last = f"f{k}"
+        out[-1] = out[-1].replace(" AS moved, done\n", " AS moved\n")
+    out.append(f"q AS MATERIALIZED (SELECT source, lang, topic, n, w / (n / (SELECT sum(n) FROM f{k})) AS weight FROM f{k})")
+    out.append("""ranked AS (SELECT weight, sum(n) OVER a AS whole, sum(n * weight) OVER b AS rest FROM q
+  WINDOW a AS (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
+    out.append(f"factor AS (SELECT arg_max(c, weight) AS c FROM (SELECT ({mixing.KEEP} * (SELECT sum(n) FROM q) - coalesce(whole, 0)) / rest AS c, weight FROM ranked) WHERE c * weight <= 1)")
+    out.append("rate AS (SELECT source, lang, topic, weight, least(1.0, weight * coalesce(c, 1e300)) AS prob FROM q, factor)")
     out.append("z AS (SELECT rows_.*, weight, CASE WHEN n_tokens = 0 THEN 1.0 ELSE prob END AS prob FROM rows_ LEFT JOIN rate USING (source, lang, topic))")
     return "WITH " + ",\n".join(out) + "\nSELECT doc_id, source, lang, topic, n_tokens, CASE WHEN n_tokens > 0 THEN round(weight, 6) END AS weight, round(prob, 6) AS prob, u < prob AS kept FROM z"
 

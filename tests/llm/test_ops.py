@@ -5,6 +5,7 @@ import io
 import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -163,6 +164,40 @@ def test_toxicity_learns_from_positive_and_unlabelled():
     assert np.mean([z(d) > 0 for d in bad]) > 0.97 and np.mean([z(d) > 0 for d in clean]) < 0.03
 
 
+def test_risk_gradient_equals_finite_differences():
+    rng = np.random.default_rng(2)
+    for shift in (2.0, -6.0):  # the clean class's estimate above and below zero
+        z_p, z_u, prior, step = rng.normal(2, 1, 6), rng.normal(shift, 1, 9), 0.4, 1e-6
+        clean = lambda a, b: np.logaddexp(0, b).mean() - prior * np.logaddexp(0, a).mean()
+        whole = lambda a, b: prior * np.logaddexp(0, -a).mean() + clean(a, b)
+        g_p, g_u, risk = toxicity.risk_gradient(z_p, z_u, prior)
+        assert (clean(z_p, z_u) >= 0) == (shift > 0) and risk == pytest.approx(prior * np.logaddexp(0, -z_p).mean() + max(0.0, clean(z_p, z_u)))
+        follow = whole if shift > 0 else lambda a, b: -clean(a, b)
+        for g, z, at in ((g_p, z_p, 0), (g_u, z_u, 1)):
+            for i in range(len(z)):
+                up, down = z.copy(), z.copy()
+                up[i] += step
+                down[i] -= step
+                args = ((up, z_u), (down, z_u)) if at == 0 else ((z_p, up), (z_p, down))
+                assert g[i] == pytest.approx((follow(*args[0]) - follow(*args[1])) / (2 * step), abs=1e-6)
+
+
+def test_settings_are_chosen_on_folds():
+    rng = np.random.default_rng(5)
+    bad = [np.union1d(rng.integers(10, 400, 25), [1, 2]).astype(np.int32) for _ in range(120)]
+    rest = [np.unique(rng.integers(10, 400, 25)).astype(np.int32) for _ in range(600)]
+    best, errors = toxicity.cross_validated(bad, [*rest, *bad[:60]], 0.1, [{"rounds": 0}, {"rounds": 200}], folds=3)
+    assert best == {"rounds": 200} and errors[1] < errors[0]
+
+
+def test_training_sample_is_bounded(spark):
+    d = spark.createDataFrame([(1, f"bad words {i % 7}") for i in range(500)] + [(2, "clean words")] * 500, "doc_id long, text string")
+    drawn = toxicity.drawn(d, 50)
+    assert drawn.count() <= 100 and toxicity.drawn(d, 50, text_bytes=60).count() <= 100
+    spread = spark.range(4000).selectExpr("id as doc_id", "repeat('word ', 20) as text")
+    assert 300 < toxicity.drawn(spread, 400).count() < 500 and 100 < toxicity.drawn(spread, 400, text_bytes=20_000).count() < 300
+
+
 def test_risk_follows_only_the_overfitted_part():
     z_p, z_u = np.full(10, 5.0), np.full(10, -9.0)
     _, g_u, risk = toxicity.risk_gradient(z_p, z_u, 0.5)
@@ -314,6 +349,55 @@ def test_main_text_weights_count_every_tag(spark):
     assert weights == htmlmain.learn(counts) and {"tag:blockquote", "tag:other"} <= set(weights) and len(counts) < 20
 
 
+def test_best_region_equals_all_pairs():
+    rng = random.Random(7)
+    for _ in range(300):
+        scores = [rng.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randint(0, 25))]
+        first, end = htmlmain.best_region(scores)
+        sums = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        assert sum(scores[first:end]) == max([0, *sums])
+
+
+def test_region_and_weights_decide_without_an_article(monkeypatch):
+    menu, text = "<ul>" + "<li>Go here</li>" * 30 + "</ul>", "<p>One two three four five six seven eight nine ten eleven twelve.</p>" * 3
+    page = f"<body><div>{menu}</div><div>{text}</div><div>{menu}</div></body>"
+    got = htmlmain.extract(page)
+    assert got == "\n\n".join(["One two three four five six seven eight nine ten eleven twelve."] * 3)
+    assert htmlmain.extract(page, htmlmain.default_weights() | {"tag": 1.0}) != got
+    monkeypatch.setattr(htmlmain, "best_region", lambda scores: (0, len(scores)))
+    assert htmlmain.extract(page).count("Go here") == 60
+
+
+def test_main_text_of_pages_without_telling_names(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = htmlmain.train(pages)
+    full = close = 0
+    for r in pages.collect():
+        bare = re.sub(r"(</?)(?:article|main)\b[^>]*>", r"\1div>", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|\S+?(?=[\s>]))", "", r.html))
+        want, got = htmlmain.extract(r.html, weights).split("\n\n"), htmlmain.extract(bare, weights).split("\n\n")
+        full += set(want) <= set(got)
+        close += len("".join(got)) <= 1.5 * len("".join(want)) + 100
+    n = pages.count()
+    assert full >= 0.95 * n and close >= 0.9 * n
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", '<a "', "<a \"x>\"", "<!", "<!--", "<svg>", "<select>", "<p class=ad>", "<p class=ad", "<h3 class=ad><pre class=ad>", "< ", "</", "<p title=it's>", "<a b='\"", "<title>", "<div>", "<div style=\"", "\"'", "<a a a=a "])
+def test_main_text_takes_linear_time(unit):
+    took = []
+    for n in (1 << 16, 1 << 19):
+        page = "<article><p>One two three.</p></article>" + unit * (n // len(unit)) + "<p>tail</p>"
+        began = time.process_time()
+        assert htmlmain.extract(page).startswith("One two three.")
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 1, took  # eight times the length
+
+
+def test_tags_left_open():
+    assert htmlmain.extract("<article><p>Text is here.</p></article><a href='" + "\"'" * 100) == "Text is here."
+    assert htmlmain.extract("<article><p>Text is here.</p><p>a < b and c</p><a href=\"x") == "Text is here.\n\na < b and c"
+    assert htmlmain.extract("<article><p title='a > b'>Text is here.</p><p title=\"x>More words.</p></article>") == "Text is here.\n\nMore words."
+
+
 def test_main_text_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in htmlmain.main_text(pages).collect()}
@@ -323,34 +407,69 @@ def test_main_text_of_pages(spark):
         assert "".join(got[r.page_id].text.split()) == "".join("".join(blocks).split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
-def test_mixing_meets_targets(spark, docs):
-    rows_ = mixing.marks(docs)
-    cells = rows_.where("n_tokens > 0").groupBy(*mixing.DIMENSIONS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n")
-    targets = {d: mixing.tempered(cells, d, mixing.TEMPER[d]) for d in mixing.DIMENSIONS}
-    fitted = mixing.rake(cells, targets)
-    for d in mixing.DIMENSIONS:
-        want = dict(targets[d].collect())
-        got = dict(fitted.groupBy(d).sum("w").collect())
-        assert all(abs(got[k] - want[k]) < 0.02 * want[k] for k in want)
+def mix_cells(rows_):
+    return rows_.where("n_tokens > 0").groupBy(*mixing.DIMENSIONS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n")
 
 
-def test_mixing_to_a_number_of_tokens_is_not_set_by_one_document(spark):
+def test_mixing_meets_targets(spark, docs):
+    rng = random.Random(6)
+    dense = spark.createDataFrame([(f"s{i}", lang, t, rng.randint(1, 10**6)) for i in range(5) for lang in ("en", "de") for t in ("general", "legal", "data")], "source string, lang string, topic string, n long")
+    given = spark.createDataFrame([("general", 0.3), ("legal", 0.6), ("data", 0.1)], "topic string, share double")
+    for cells, topics in ((mix_cells(mixing.marks(docs)), {}), (dense, {"topic": given})):
+        targets = mixing.target_table(cells, topics)
+        fitted, settled = mixing.rake(cells, targets)
+        want = {(r.dim, r.value): r.share for r in targets.collect()}
+        got = {(d, r[d]): r.w for d in mixing.DIMENSIONS for r in fitted.groupBy(d).agg({"w": "sum"}).withColumnRenamed("sum(w)", "w").collect()}
+        assert settled and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.001 * want[k] for k in want)
+        assert mixing.margin_gap(fitted, targets) < 0.001
+
+
+def test_mixing_calibrates_probabilities(spark):
+    rng = random.Random(4)
+    for keep in (0.1, 0.7, 0.99):
+        rows_ = [("s", "l", str(i), rng.randint(1, 1000), rng.choice([0.1, 0.9, 1.0, 3.0, 80.0])) for i in range(40)]
+        c = mixing.calibrated(spark.createDataFrame(rows_, "source string, lang string, topic string, n long, weight double"), keep)
+        total = sum(r[3] for r in rows_)
+        assert abs(sum(r[3] * min(1, c * r[4]) for r in rows_) - keep * total) < 1e-6 * total
+
+
+def test_words_and_topics(spark):
+    texts = [None, "", " \n", "a  b", " a\t\tb\x0bc\r\n", "A licen\u017fe", "LICENSE and warranty, price", "x | y;; price", "mail me@x", "plain words"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(mixing.n_tokens(d.t), mixing.topic_of(d.t)).collect()
+    assert [r[0] for r in got] == [0, 0, 0, 2, 3, 2, 4, 4, 2, 2]
+    assert [r[1] for r in got] == ["general"] * 4 + ["data", "general", "legal", "data", "contact", "general"]
+
+
+def test_mixing_is_not_set_by_one_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     docs = docs.unionAll(spark.createDataFrame([(10**9, "one two three four five", "en", "a source of its own"), (10**9 + 1, None, None, "s")], docs.schema))
     n = lambda df: df.select(mixing.n_tokens(df.text).alias("n")).agg({"n": "sum"}).first()[0]
     total = n(docs)
-    assert n(mixing.mixed(docs)) < 0.2 * total  # one document sets the rate of all
-    for part in (1.0, 2.5):
-        out = mixing.mixed(docs, tokens=int(part * total))
-        assert abs(n(out) / total - part) < 0.05 * part and out.columns == docs.columns
-        assert out.where("doc_id = 1000000001").count() == 1 < out.where("doc_id = 1000000000").count()
+    kept = mixing.mixed(docs)
+    assert abs(n(kept) / total - mixing.KEEP) < 0.05 and kept.where("doc_id >= 1000000000").count() == 2
+    out = mixing.mixed(docs, tokens=int(2.5 * total))
+    assert abs(n(out) / total - 2.5) < 0.12 and out.columns == docs.columns
+    assert out.where("doc_id = 1000000001").count() == 1 < out.where("doc_id = 1000000000").count()
+
+
+def test_mixing_to_a_topic_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    given = spark.createDataFrame([("general", 0.8), ("legal", 0.2)], "topic string, share double")
+    out = mixing.mix(docs, {"topic": given}, keep=0.2).collect()
+    assert not [r for r in out if r.kept and r.topic not in ("general", "legal") and r.n_tokens]
+    flat = spark.createDataFrame([(s, 1.0) for s in ["x"]], "source string, share double")
+    one = mixing.mix(docs.selectExpr("doc_id", "text", "'en' as lang", "'x' as source"), {"topic": given, "source": flat}, keep=0.1).collect()
+    kept = [r for r in one if r.n_tokens]
+    mass = {t: sum(r.n_tokens * r.prob for r in kept if r.topic == t) for t in ("general", "legal")}
+    assert abs(mass["legal"] / sum(mass.values()) - 0.2) < 0.01
 
 
 def test_mixing_warns_of_margins_that_are_not_met(spark):
     rows_ = [(i, "a b c d " * 9, "en", "s") for i in range(40)] + [(90, "a b", "xx", "t")]  # t and xx stand for one cell, in unlike shares
     docs = spark.createDataFrame([*rows_, *[(i, "a b c d " * 9, "de", "s") for i in range(50, 80)]], "doc_id long, text string, lang string, source string")
     with pytest.warns(UserWarning, match="off its target"):
-        mixing.mixed(docs)
+        mixing.rates(mixing.marks(docs), rounds=3)
 
 
 def test_pipeline_stages_compose(spark):

@@ -45,34 +45,49 @@ def dirty(docs, items):
     return {i for i, t in docs.items() for w in [words(t)] if any(tuple(w[s : s + m]) in windows for m in sizes for s in range(len(w) - m + 1))}
 
 
+def topic(text):
+    """The topic with the most terms in the text; the first of those that tie."""
+    low = (text or "").lower()
+    hits = [(sum(t in low for t in terms), -i, name) for i, (name, terms) in enumerate(mixing.TOPICS.items())]
+    return max(hits)[2] if max(hits)[0] else "general"
+
+
 def draw(rows):
-    """The ids that the raked rates keep; rows: (doc_id, text, lang, source)."""
-    topic = lambda t: next((n for n, p in mixing.TOPICS if re.search(p, t or "")), "general")
+    """The ids that the raked and calibrated probabilities keep; rows: (doc_id, text, lang, source)."""
     cell = {i: (s or "(null)", la or "(null)", topic(t)) for i, t, la, s in rows}
-    size = {i: len(re.sub("[\t\n\x0b\x0c\r]", " ", t or "").strip(" ").split(" ")) if re.sub("[ \t\n\x0b\x0c\r]", "", t or "") else 0 for i, t, _, _ in rows}
+    size = {i: len([w for w in re.split("[ \t\n\x0b\x0c\r]", t or "") if w]) for i, t, _, _ in rows}
     n = {}
     for i, c in cell.items():
         if size[i]:
             n[c] = n.get(c, 0) + size[i]
     total = sum(n.values())
-    w = {c: x / total for c, x in n.items()}
+
+    def margin(x, k):
+        out = {}
+        for c, v in x.items():
+            out[c[k]] = out.get(c[k], 0) + v
+        return out
+
     share = []
     for k, d in enumerate(mixing.DIMENSIONS):
-        sums = {}
-        for c, x in n.items():
-            sums[c[k]] = sums.get(c[k], 0) + x
-        power = {v: x ** mixing.TEMPER[d] for v, x in sums.items()}
+        power = {v: x ** mixing.TEMPER[d] for v, x in margin(n, k).items()}
         share.append({v: x / sum(power.values()) for v, x in power.items()})
+    w = {c: x / total for c, x in n.items()}
     for _ in range(mixing.ROUNDS):
+        moved = 0
         for k in range(3):
-            sums = {}
-            for c, x in w.items():
-                sums[c[k]] = sums.get(c[k], 0) + x
-            w = {c: x * share[k][c[k]] / sums[c[k]] for c, x in w.items()}
-    rate = {c: w[c] / (n[c] / total) for c in n}
-    top = max(rate.values())
+            f = {v: share[k][v] / m for v, m in margin(w, k).items()}
+            moved = max([moved, *(abs(x - 1) for x in f.values())])
+            w = {c: x * f[c[k]] for c, x in w.items()}
+        if moved <= mixing.SETTLED:
+            break
+    weight = {c: w[c] / (n[c] / total) for c in n}
+    low, high = 0.0, 1e9  # the factor by bisection: the expected sample grows with it
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(x * min(1, c * weight[k]) for k, x in n.items()) < mixing.KEEP * total else (low, c)
     u = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32 for i in cell}
-    return {i for i in cell if not size[i] or u[i] < rate[cell[i]] / top}
+    return {i for i in cell if not size[i] or u[i] < min(1, high * weight[cell[i]])}
 
 
 def test_each_stage_equals_plain_python(spark):
