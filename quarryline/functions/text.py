@@ -24,9 +24,8 @@ KEYWORD_STOP_WORDS = [*QUERY_STOP_WORDS, "please", "help", "want", "like", "usin
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores, split at underscores."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return F.flatten(F.transform(runs, lambda w: F.split(w, "_")))
+    """Lower-case runs of letters and digits; an empty one may stand at either end."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def tokens(text: Column, stop: list[str] | tuple[str, ...] = tuple(CODE_STOP_WORDS)) -> Column:
@@ -48,9 +47,23 @@ def content_hash(text: Column) -> Column:
 
 
 def occurrences(text: Column, needle: str) -> Column:
+    """How often the needle occurs without overlap; an empty one before each character and at the end."""
+    if not needle:
+        return (F.length(text) + 1).cast("int")
     return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
+def edited(text: Column, search: Column, new: Column, every: bool = False) -> Column:
+    """struct(content, replacements, error): the first or every occurrence replaced. An edit that changes nothing but blanks
+    around the text is refused, as is one whose text doesn't occur or whose file isn't there; content is then as it was."""
+    at = F.position(search, text)
+    first = F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(search)))
+    n = F.when(F.length(search) == 0, F.length(text) + 1).otherwise(((F.length(text) - F.length(F.replace(text, search, F.lit("")))) / F.length(search)).cast("int"))
+    error = F.when(text.isNull(), "File not found").when(F.trim(search) == F.trim(new), "Edit changes nothing").when(at == 0, "Search text not found")
+    content = F.replace(text, search, new) if every else first
+    return F.struct(F.when(error.isNull(), content).otherwise(text).alias("content"), F.when(error.isNull(), n if every else F.lit(1)).otherwise(0).alias("replacements"), error.alias("error"))
+
+
 def replace_first(text: Column, needle: str, new: str) -> Column:
     at = F.instr(text, needle)
     return F.when(at == 0, text).otherwise(F.concat(F.substr(text, F.lit(1), at - 1), F.lit(new), F.substr(text, at + len(needle))))
@@ -61,14 +74,22 @@ def truncate_lines(text: Column, limit: int, marker: str = "\n... (truncated)")
     return F.when(F.size(own) > limit, F.concat(F.array_join(F.slice(own, 1, limit), "\n"), F.lit(marker))).otherwise(F.array_join(own, "\n"))
 
 
-def smart_truncate(text: Column, limit: int, marker: str = "\n... (output truncated)") -> Column:
+def smart_truncate(text: Column, limit: int | Column, marker: str = "\n... (truncated)") -> Column:
     """Cut at limit, back to the last line break where that lies beyond 80 % of it."""
-    head = F.substring(text, 1, limit)
-    last = F.lit(limit) - F.instr(F.reverse(head), "\n")  # characters before the break
-    cut = F.when((F.instr(head, "\n") > 0) & (last > int(limit * 0.8)), F.substr(head, F.lit(1), last)).otherwise(head)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    head = F.substr(text, F.lit(1), limit)
+    last = limit - F.instr(F.reverse(head), "\n")  # characters before the break
+    cut = F.when((F.instr(head, "\n") > 0) & (last > limit * 0.8), F.substr(head, F.lit(1), last)).otherwise(head)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit(marker)))
 
 
+def contains_all(text: Column, needles: list[str]) -> Column:
+    """struct(valid, found, missing): the needles that the text has and lacks; valid if it has all, null for a null text."""
+    wanted, own = F.array(*map(F.lit, needles)), F.coalesce(text, F.lit(""))
+    valid = F.when(text.isNotNull(), F.forall(wanted, lambda n: F.contains(own, n)))
+    return F.struct(valid.alias("valid"), F.filter(wanted, lambda n: F.contains(own, n)).alias("found"), F.filter(wanted, lambda n: ~F.contains(own, n)).alias("missing"))
+
+
 def path_of(url: Column) -> Column:
     """The path of a URL without query and fragment."""
     return F.regexp_extract(url, r"^[a-z]+://[^/]*(/[^?#]*)", 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import epoch_ms
+
 
 def until_terminal(events: DataFrame, session: str, order: list[str], terminal: Column) -> DataFrame:
     """Events up to the first terminal one of their session, that one included."""
@@ -25,12 +27,23 @@ def latest(events: DataFrame, keys: list[str], order: list[str], value: str) ->
     return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def pair_calls(events: DataFrame, session: str, call: Column, done: Column, order: list[str]) -> DataFrame:
-    """call_id, matched: the n-th call of a session with its n-th end."""
-    w = Window.partitionBy(session).orderBy(*order)
-    a = events.where(call).select(session, F.row_number().over(w).alias("n"), F.col(order[-1]).alias("call_id"))
-    b = events.where(done).select(session, F.row_number().over(w).alias("n"), F.col(order[-1]).alias("done_id"))
-    return a.join(b, [session, "n"], "left").select(session, "call_id", "done_id")
+def pair_calls(calls: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """calls (keys, at, and others) with their ends (keys, at, success): done_at, seconds (rounded to 2 digits; null while the
+    call is open) and success. A call's end is the one with its id; of several calls or ends with the same id the last."""
+    last = lambda df, cols: df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("at")).alias("r")).select(*keys, "r.*")
+    own = last(calls, [c for c in calls.columns if c not in keys])
+    done = last(ends, ["at", "success"]).withColumnRenamed("at", "done_at")
+    took = F.floor((epoch_ms(F.col("done_at")) - epoch_ms(F.col("at")) + 5) / 10) / 100
+    return own.join(done, keys, "left").withColumn("seconds", took)
+
+
+def open_calls(paired: DataFrame) -> DataFrame:
+    return paired.where("done_at is null").drop("done_at", "seconds", "success")
+
+
+def changed_files(paired: DataFrame, session: str, tool: str = "tool", path: str = "path", writers: tuple[str, ...] = ("write_file", "edit_file")) -> DataFrame:
+    """(session, path): files that a successful call wrote, each once."""
+    return paired.where(F.col(tool).isin(*writers) & F.col("success") & (F.col(path) != "")).select(session, path).distinct()
 
 
 def first_seen(events: DataFrame, session: str, value: str, order: list[str]) -> DataFrame:

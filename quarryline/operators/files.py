@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions.text import lines
 
 
@@ -13,18 +15,70 @@ def numbered(files: DataFrame, key: str, text: str) -> DataFrame:
     return files.select(key, F.posexplode(lines(F.col(text))).alias("p", "content")).select(key, (F.col("p") + 1).alias("line"), "content")
 
 
+def _holding(files: DataFrame, text: str, hit: str) -> DataFrame:
+    """Files with a matching line: anchors hold at each line's ends."""
+    return files.where(F.exists(lines(F.col(text)), lambda x: x.rlike(hit)))
+
+
 def grep(files: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """Lines that match, whatever the case. The text is tested first, so files without a match yield no lines."""
+    """Lines that match, whatever the case. Files without a match yield no lines."""
     hit = "(?i)" + pattern
-    return numbered(files.where(F.col(text).rlike(hit)), key, text).where(F.col("content").rlike(hit)).withColumn("content", F.trim("content"))
+    return numbered(_holding(files, text, hit), key, text).where(F.col("content").rlike(hit)).withColumn("content", F.trim("content"))
+
+
+def matches(text: Column, pattern: str, around: int = 2) -> Column:
+    """The lines that match as array of struct(line, content, context): context has the lines around, joined by line breaks."""
+    hit, own = "(?i)" + pattern, lines(text)
+    near = lambda i: F.array_join(F.slice(own, F.greatest(i + 1 - around, F.lit(1)), F.least(i, F.lit(around)) + around + 1), "\n")
+    found = F.transform(own, lambda x, i: F.when(x.rlike(hit), F.struct((i + 1).alias("line"), F.trim(x).alias("content"), near(i).alias("context"))))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def grep_context(files: DataFrame, key: str, text: str, pattern: str, around: int = 2) -> DataFrame:
-    """Matching lines with the lines around them joined by line breaks."""
-    hit = "(?i)" + pattern
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(-around, around)
-    near = numbered(files.where(F.col(text).rlike(hit)), key, text).withColumn("context", F.array_join(F.collect_list("content").over(w), "\n"))
-    return near.where(F.col("content").rlike(hit)).select(key, "line", "context")
+    """Matching lines with the lines around them. A line's neighbours are cut from its file's lines, so nothing is shuffled."""
+    return files.select(key, F.explode(matches(F.col(text), pattern, around)).alias("m")).select(key, "m.line", "m.context")
+
+
+# Extensions of the files that a project search reads.
+SEARCHED = (
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yaml", ".yml", ".md", ".txt", ".html", ".css", ".scss",
+    ".java", ".kt", ".go", ".rs", ".c", ".cpp", ".h", ".rb", ".php", ".swift", ".sql", ".sh", ".toml",
+)
+
+
+def valid_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Whether the JVM can compile the pattern."""
+    try:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+    except PySparkException:
+        return False
+    return True
+
+
+def search_files(files: DataFrame, pattern: str, name_glob: str | None = None, most: int = 100, max_bytes: int = 1 << 20) -> DataFrame:
+    """files (path, content) to the first ``most`` matches by path and line (path, line, content, context): no hidden names,
+    no files over max_bytes. ValueError for a pattern that can't be compiled."""
+    if not valid_pattern(files.sparkSession, "(?i)" + pattern):
+        raise ValueError(f"Invalid regex pattern: {pattern}")
+    name = P.name(F.col("path"))
+    own = files.where(~name.startswith(".") & (F.octet_length(F.coalesce("content", F.lit(""))) <= max_bytes))
+    own = own if name_glob is None else own.where(P.matches_any(name, [name_glob]))
+    return own.select("path", F.explode(matches(F.col("content"), pattern)).alias("m")).select("path", "m.*").orderBy("path", "line").limit(most)
+
+
+def search_project(files: DataFrame, pattern: str, name_glob: str | None = None, root: str = "", most: int = 100, cut: int = 200) -> DataFrame:
+    """files (path, content) to the first ``most`` matches by path and line (path, line, content up to ``cut`` characters): of
+    files with an extension of SEARCHED and no ignored part, below root if anything is. A pattern that can't be compiled is
+    searched literally."""
+    if not valid_pattern(files.sparkSession, "(?i)" + pattern):
+        pattern = "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    name = P.name(F.col("path"))
+    own = files.where(~P.ignored_any(F.col("path")) & F.lower(P.suffix(F.col("path"))).isin(*SEARCHED))
+    own = own if name_glob is None else own.where(P.matches_any(name, [name_glob]))
+    below = F.col("path").startswith(root.rstrip("/") + "/")
+    if root.strip("./") and not files.where(below).isEmpty():
+        own = own.where(below)
+    return grep(own, "path", "content", pattern).select("path", "line", F.substring("content", 1, cut).alias("content")).orderBy("path", "line").limit(most)
 
 
 def read_range(files: DataFrame, key: str, text: str, start: int, end: int) -> DataFrame:
@@ -39,3 +93,18 @@ def prefixes(files: DataFrame, path: str, depth: int = 3) -> DataFrame:
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     each = files.select(dirs.alias("d")).where("size(d) > 0").select("d", F.explode(F.sequence(F.lit(1), F.least(F.size("d"), F.lit(depth)))).alias("depth"))
     return each.select(F.array_join(F.expr("slice(d, 1, depth)"), "/").alias("prefix"), "depth").distinct()
+
+
+def read_batch(wanted: DataFrame, files: DataFrame, missing: str = "File not found") -> DataFrame:
+    """wanted (path) with content, lines, found and error of each file; a missing one has an error and no lines."""
+    own = files.select("path", "content").where("content is not null")
+    found = F.col("content").isNotNull()
+    return wanted.join(own, "path", "left").select(
+        "path", "content", F.when(found, F.size(lines(F.col("content")))).otherwise(0).alias("lines"), found.alias("found"), F.when(~found, F.lit(missing)).alias("error")
+    )
+
+
+def validate_structure(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, found) of the expected paths, each once."""
+    once, have = wanted.select("path").distinct(), files.select("path").distinct().withColumn("found", F.lit(True))
+    return once.join(have, "path", "left").select("path", F.coalesce("found", F.lit(False)).alias("found"))

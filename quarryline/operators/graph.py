@@ -1,10 +1,18 @@
-"""Typed edges in long form and expansion over them."""
+"""A typed symbol graph: nodes, edges in long form, and expansion over them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Edge types and their inverses. 'imports' names modules, not nodes, and is never followed.
+INVERSE = {"calls": "called_by", "inherits": "inherited_by", "references": "referenced_by", "defines": "defined_in"}
+FOLLOWED = (*INVERSE, *INVERSE.values())
+#: Relations that a context shows.
+SHOWN = ("calls", "called_by", "inherits", "references", "referenced_by")
+#: Chunk types whose imports are the objects they refer to.
+REFERRING = ("view", "procedure", "function", "trigger", "index")
+
 
 def with_inverse(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
     """edges (src, dst, edge_type) and their inverses under the inverse names."""
@@ -21,21 +29,86 @@ def resolve(calls: DataFrame, symbols: DataFrame, ordered: bool = True) -> DataF
     hit = calls.join(s, "name")
     if ordered:
         hit = hit.where("dst_seq <= seq")
-    same = (F.col("file") == F.col("dst_file")).cast("int")
-    best = F.max(same).over(Window.partitionBy("src", "name"))
-    return hit.withColumn("same", same).withColumn("best", best).where("same = best").select("src", "dst", F.lit("calls").alias("edge_type")).distinct()
+    # Partial maxima by call instead of a window: a common name's candidates don't meet in one task.
+    hit = hit.withColumn("same", (F.col("file") == F.col("dst_file")).cast("int"))
+    best = hit.groupBy("src", "name").agg(F.max("same").alias("best"))
+    return hit.join(best, ["src", "name"]).where("same = best").select("src", "dst", F.lit("calls").alias("edge_type")).distinct()
 
 
-def neighbors(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """(id, hop): nodes within hops of starts (column id), without them; each at its smallest distance."""
-    seen = starts.select("id", F.lit(0).alias("hop"))
-    front = starts.select("id")
+def nodes(chunks: DataFrame) -> DataFrame:
+    """(id, type, file, name, signature, line) of chunks, one for each id: of equal ids the one that begins last."""
+    last = F.max_by(F.struct("type", "file", "name", "signature", F.col("line_start").alias("line")), F.struct("line_start", "content"))
+    return chunks.groupBy("id").agg(last.alias("n")).select("id", "n.*")
+
+
+def edges(chunks: DataFrame) -> DataFrame:
+    """(src, dst, edge_type) of chunks (id, file, type, name, parent, calls, imports), both ways.
+
+    A call goes to the symbols that have its name, those of its own file if there are any; so do a class's bases
+    (inherits) and the objects that SQL statements refer to (references). A member is defined by its parent. A module's
+    imports are kept under the names that they import.
+    """
+    own = chunks.select("id", "file", "type", "name", "parent", "calls", "imports")
+    symbols = own.select("id", "file", "name", F.lit(0).alias("seq")).distinct()
+
+    def named(names: Column, kind: str) -> DataFrame:
+        wanted = own.select(F.col("id").alias("src"), "file", F.lit(0).alias("seq"), F.explode(names).alias("name")).distinct()
+        return resolve(wanted, symbols, ordered=False).withColumn("edge_type", F.lit(kind))
+
+    none = F.array().cast("array<string>")
+    out = named(F.col("calls"), "calls")
+    out = out.unionByName(named(F.when(F.col("type") == "class", F.col("imports")).otherwise(none), "inherits"))
+    out = out.unionByName(named(F.when(F.col("type").isin(*REFERRING), F.col("imports")).otherwise(none), "references"))
+    member = own.where("parent is not null").select(F.concat("file", F.lit(":"), "parent").alias("src"), F.col("id").alias("dst"), F.lit("defines").alias("edge_type"))
+    out = out.unionByName(member.join(symbols.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
+    modules = own.where("type = 'module'").select(F.col("id").alias("src"), F.explode("imports").alias("dst"), F.lit("imports").alias("edge_type"))
+    return with_inverse(out, INVERSE).unionByName(modules.distinct())
+
+
+def reachable(edges: DataFrame, starts: DataFrame, hops: int, edge_types: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(start, id, hop): for each start (column id) the nodes within hops of it, without itself, each at its smallest
+    distance. Follows edge_types, by default all but imports; with known (id), only nodes among them."""
+    own = edges.where(F.col("edge_type").isin(*(edge_types or FOLLOWED))).select("src", "dst") if "edge_type" in edges.columns else edges.select("src", "dst")
+    if known is not None:
+        own = own.join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    seen = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hop")).distinct()
+    front = seen.select("start", "id")
     for h in range(1, hops + 1):
-        front = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        seen = seen.unionByName(front.select("id", F.lit(h).alias("hop")))
+        step = front.join(own, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        front = step.join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        seen = seen.unionByName(front.withColumn("hop", F.lit(h)))
     return seen.where("hop > 0")
 
 
+def neighbors(edges: DataFrame, starts: DataFrame, hops: int, edge_types: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(id, hop): nodes within hops of starts (column id), without them; each at its smallest distance."""
+    near = reachable(edges, starts, hops, edge_types, known).groupBy("id").agg(F.min("hop").alias("hop"))
+    return near.join(starts.select("id").distinct(), "id", "left_anti")
+
+
 def remove_prefix(edges: DataFrame, prefix: str) -> DataFrame:
-    """Without edges that touch a node whose id starts with prefix."""
-    return edges.where(~F.col("src").startswith(prefix) & ~F.col("dst").startswith(prefix))
+    """Without edges that touch a node whose id starts with prefix; imports, which name modules, go by their source only."""
+    kept = ~F.col("dst").startswith(prefix)
+    return edges.where(~F.col("src").startswith(prefix) & (kept | (F.col("edge_type") == "imports") if "edge_type" in edges.columns else kept))
+
+
+def related(edges: DataFrame, known: DataFrame, ids: DataFrame, edge_type: str) -> DataFrame:
+    """The nodes (id, name and the other columns of known) that ids (id) have edges of a type to, with ``of``: whose they are.
+    Callers: called_by; callees: calls."""
+    own = edges.where(F.col("edge_type") == edge_type).join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    return own.select(F.col("src").alias("of"), F.col("dst").alias("id")).join(known, "id")
+
+
+def context(edges: DataFrame, known: DataFrame, ids: DataFrame, shown: tuple[str, ...] = SHOWN) -> DataFrame:
+    """(id, edge_type, names): for each of ids and each relation shown, the names of the related nodes, sorted; ids and
+    relations without any are left out. known: (id, name)."""
+    own = edges.where(F.col("edge_type").isin(*shown)).join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    named = own.join(known.select(F.col("id").alias("dst"), "name"), "dst")
+    return named.groupBy(F.col("src").alias("id"), "edge_type").agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def stats(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(kind, item, n): nodes in all and by type (known: id, type), and edges in the forward direction."""
+    forward = edges.where(F.col("edge_type").isin(*INVERSE)).agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), F.lit("forward").alias("item"), "n")
+    by = known.groupBy(F.col("type").alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("type").alias("kind"), "item", "n")
+    return known.agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("kind"), F.lit("all").alias("item"), "n").unionByName(forward).unionByName(by)

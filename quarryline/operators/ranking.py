@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, tokens
+from .shared import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -20,28 +21,41 @@ def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.size(tokens(F.col(text))).alias("dl"))
 
 
-def corpus(docs: DataFrame, text: str) -> DataFrame:
-    """One row: n, avgdl. Documents without tokens count."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+def corpus(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row: n, avgdl. Documents without tokens count; texts aren't read again, as a posting's tf are its tokens."""
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    return docs.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("n", (F.col("tokens") / F.nullif("n", F.lit(0))).alias("avgdl"))  # one row each
 
 
 def idf(posted: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, df, idf): negative values become EPSILON times the mean over all terms, taken before."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals))  # one row
+    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals.select("n")))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str) -> DataFrame:
-    """(query, key, score) over 0. Repeated query terms count as often as they occur."""
-    posted, totals = postings(docs, key, text), corpus(docs, text)
-    terms = queries.select(F.col(query_key).alias("query"), F.explode(query_tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qf"))
-    part = posted.join(idf(posted, totals).select("term", "idf"), "term").join(terms, "term").join(F.broadcast(totals))
+def query_terms(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    """(query, term, qf): repeated query terms count as often as they occur."""
+    return queries.select(F.col(query_key).alias("query"), F.explode(query_tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qf"))
+
+
+def scored(posted: DataFrame, totals: DataFrame, weights: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(query, key, score) over 0 from stored postings (key, term, tf, dl), totals (n, avgdl), weights (term, idf) and the
+    queries' terms. Postings of other terms are dropped before they are weighed."""
+    asked = terms.join(weights.select("term", "idf"), "term")
+    part = posted.join(asked, "term").join(F.broadcast(totals.select("avgdl")))  # one row
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     return part.groupBy("query", key).agg(F.sum(F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score")).where("score > 0")
 
 
+def scores(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str) -> DataFrame:
+    """(query, key, score) over 0 without an index: postings are written once and read for frequencies and scores."""
+    posted = written(postings(docs, key, text), "postings")
+    totals = written(corpus(docs, posted), "totals")
+    return scored(posted, totals, idf(posted, totals), query_terms(queries, query_key, query_text), key)
+
+
 def top(scored: DataFrame, key: str, k: int = 10) -> DataFrame:
     """The best k per query, ties by key; scores rounded to 6 digits before ranking."""
     r = scored.withColumn("score", F.round("score", 6))

@@ -1,19 +1,91 @@
-"""Retrieval: the best chunks, expanded over the graph to signatures that aren't among them."""
+"""Retrieval: the best chunks of a query, the symbols around them, and what relates them.
+
+Hits are at most a few dozen rows for each query; whatever is joined to them stays as large as the graph, and is met by
+joins that Spark may broadcast the hits in.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import neighbors
+from . import graph as G
+from . import knowledge as K
+from . import ranking as R
+
+#: What a search tool allows at most.
+TOOL_HOPS, TOOL_CHUNKS = 2, 20
+
+
+def around(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1, max_signatures: int | None = 20) -> DataFrame:
+    """(query, id, position, signature): the nodes around hits (query, id, rank), hit by hit in rank order, each hit's
+    nearest first, ties by id; each node once, none that is a hit; the first max_signatures of each query."""
+    if hops < 1:
+        return hits.select("query", "id", F.lit(0).alias("position"), F.lit("").alias("signature")).where("false")
+    near = G.reachable(edges, hits.select("id"), hops, known=nodes)
+    met = hits.select("query", F.col("id").alias("start"), "rank").join(near, "start").join(hits.select("query", "id"), ["query", "id"], "left_anti")
+    first = met.groupBy("query", "id").agg(F.min(F.struct("rank", "hop")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("at.rank", "at.hop", "id"))
+    out = first.withColumn("position", place).join(nodes.select("id", "signature"), "id").select("query", "id", "position", "signature")
+    return out if max_signatures is None else out.where(F.col("position") <= max_signatures)
+
+
+def retrieve(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1, max_signatures: int | None = 20) -> DataFrame:
+    """hits (query, id, rank) to (query, id, kind, position, signature, context): the hits as 'chunk' by rank, then what is
+    :func:`around` them as 'signature'; with each, the names that it is related to by relation, as a map. Hits without a
+    query are those of one; nodes without a name go by their id."""
+    hits = hits if "query" in hits.columns else hits.withColumn("query", F.lit(""))
+    nodes = nodes if "name" in nodes.columns else nodes.withColumn("name", F.col("id"))
+    more = around(hits, edges, nodes, hops, max_signatures)
+    own = hits.join(nodes.select("id", "signature"), "id", "left").select("query", "id", F.lit("chunk").alias("kind"), F.col("rank").alias("position"), "signature")
+    both = own.unionByName(more.withColumn("kind", F.lit("signature")))
+    shown = G.context(edges, nodes, both.select("id"))
+    shown = shown.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("edge_type", "names")))).alias("context"))
+    return both.join(shown, "id", "left").select("query", "id", "kind", "position", "signature", "context")
+
+
+def counts(found: DataFrame) -> DataFrame:
+    """(query, total_chunks, total_signatures) of a result of :func:`retrieve`."""
+    return found.groupBy("query").agg(F.count_if(F.col("kind") == "chunk").alias("total_chunks"), F.count_if(F.col("kind") == "signature").alias("total_signatures"))
+
+
+def exact_hits(hits: DataFrame, queries: DataFrame, best: int = 5, fallback: int = 3) -> DataFrame:
+    """Of hits (query, id, rank, name) the ``best`` whose name is the query's text (queries: query, text), whatever the case;
+    without any, the first ``fallback``."""
+    own = hits.where(F.col("rank") <= best).join(queries.select("query", F.lower(F.trim("text")).alias("wanted")), "query")
+    exact = F.coalesce(F.lower("name") == F.col("wanted"), F.lit(False))
+    found = F.max("exact").over(Window.partitionBy("query"))  # at most `best` rows of a query
+    return own.withColumn("exact", exact).withColumn("found", found).where(F.when(F.col("found"), F.col("exact")).otherwise(F.col("rank") <= fallback)).drop("exact", "found", "wanted")
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query, id, rank, score): the best k chunks (id, content) of each of queries (query, text)."""
+    return R.top(R.scores(chunks, queries, "id", "content", "query", "text"), "id", k).select("query", "id", "rank", "score")
+
+
+def retrieve_symbol(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1) -> DataFrame:
+    """As :func:`retrieve`, of the best five chunks those that are named as the query says, or the first three; all around."""
+    hits = search(chunks, queries, 5).join(chunks.select("id", "name"), "id")
+    return retrieve(exact_hits(hits, queries).select("query", "id", "rank"), edges, nodes, hops, None)
+
+
+def retrieve_for_file(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, file: str, hops: int = 1) -> DataFrame:
+    """As :func:`retrieve`, for all chunks of a file in the order of their lines, and all that is around them."""
+    own = chunks.where(F.col("file") == file).select("id", "line_start").distinct()
+    place = F.row_number().over(Window.partitionBy("query").orderBy("line_start", "id"))  # the chunks of one file
+    return retrieve(own.withColumn("query", F.lit(file)).withColumn("rank", place).select("query", "id", "rank"), edges, nodes, hops, None)
+
+
+def search_code(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1, k: int = 10) -> DataFrame:
+    """The search tool: :func:`retrieve` of the best k chunks, with hops and k cut to what the tool allows."""
+    return retrieve(search(chunks, queries, min(k, TOOL_CHUNKS)).select("query", "id", "rank"), edges, nodes, min(hops, TOOL_HOPS))
+
 
+def knowledge(docs: DataFrame, query: str, limit: int = 3, max_chars: int = 2000) -> DataFrame:
+    """One row (context): the best documents of the knowledge base for the query, laid out; empty without any."""
+    return K.format_context(K.search(docs, query, limit=limit), [F.desc("score"), "id"], max_chars)
 
-def retrieve(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1, max_signatures: int = 20) -> DataFrame:
-    """hits (id, rank), edges (src, dst, edge_type), nodes (id, signature) to (id, kind, position, signature).
 
-    Hits come first by rank, then existing nodes within hops of a hit, nearest first, each once.
-    """
-    known = hits.select("id", F.lit("chunk").alias("kind"), F.col("rank").alias("position"))
-    near = neighbors(edges, hits.select("id"), hops).join(nodes.select("id"), "id", "left_semi").orderBy("hop", "id").limit(max_signatures)
-    more = near.select("id", F.lit("signature").alias("kind"), F.col("hop").alias("position"))
-    return known.unionByName(more).join(nodes, "id", "left")
+def by_id(rows: DataFrame, value: str, column: str = "id") -> DataFrame:
+    """The rows of a chunk, node or edge table for an id or file."""
+    return rows.where(F.col(column) == value)

@@ -65,6 +65,29 @@ def recent(turns: DataFrame, session: str, order: list[str], role: str, text: st
     return s.select(session, F.when(F.length("t") > cut, F.concat(F.substring("t", 1, cut), F.lit("..."))).otherwise(F.col("t")).alias("instruction"), "turns")
 
 
+def project_sessions(sessions: DataFrame, project: str, limit: int = 10, order: str = "created_at") -> DataFrame:
+    """The newest sessions (session, project, and others) of a project, ties by session."""
+    return sessions.where(F.col("project") == project).orderBy(F.desc(order), "session").limit(limit)
+
+
+def session_events(events: DataFrame, session: str, value, order: list[str], limit: int = 100) -> DataFrame:
+    """The first events of a session, in order."""
+    return events.where(F.col(session) == F.lit(value)).orderBy(*order).limit(limit)
+
+
+def token_usage(usage: DataFrame, session: str, values: list[str]) -> DataFrame:
+    """Totals by session; null counts as none."""
+    return usage.groupBy(session).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values], F.count(F.lit(1)).alias("calls"))
+
+
+def progress(phases: DataFrame, session: str = "session", status: str = "status") -> DataFrame:
+    """(session, completed, running, total, shown) of tracked phases: which phase runs, or how many are done."""
+    n = phases.groupBy(session).agg(F.count_if(F.col(status) == "completed").alias("completed"), F.count_if(F.col(status) == "running").alias("running"), F.count(F.lit(1)).alias("total"))
+    text = lambda x: F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
+    now = F.concat(F.lit("Phase "), text(F.col("completed") + 1), F.lit("/"), text("total"), F.lit(" ("), text("completed"), F.lit(" completed)"))
+    return n.withColumn("shown", F.when(F.col("running") > 0, now).otherwise(F.concat(F.lit("Progress: "), text("completed"), F.lit("/"), text("total"), F.lit(" phases"))))
+
+
 TRACKED = "session string, phase int, name string, status string, current boolean, tools long"
 
 

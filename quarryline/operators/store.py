@@ -1,27 +1,34 @@
-"""A persistent index of files: chunks, postings and manifest as Parquet, built whole or updated by what changed."""
+"""A persistent index of files: chunks, postings, symbol graph and manifest as Parquet, built whole or updated by what changed."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.code import chunk_files
+from . import graph as G
 from . import index as I
 from . import ranking as R
 
-PARTS = ("chunks", "postings", "manifest")
+PARTS = ("chunks", "postings", "manifest", "nodes", "edges")
 
 
 def _manifest(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("hash"))
 
 
-def _save(spark: SparkSession, root: str, parts: dict[str, DataFrame]) -> None:
-    """Writes a new version, then the note that names it; readers see the old one until then."""
+def _save(spark: SparkSession, root: str, parts: Callable[[DataFrame], dict[str, DataFrame]], chunks: DataFrame) -> None:
+    """Writes a new version, then the note that names it; readers see the old one until then. Chunks are written first and
+    read back for the other parts, so that each file is parsed once. Nodes and edges follow from all chunks, as a name
+    may be resolved to another file's."""
     version = uuid.uuid4().hex
-    for name, df in parts.items():
+    chunks.write.parquet(f"{root}/{version}/chunks")
+    own = spark.read.schema(chunks.schema).parquet(f"{root}/{version}/chunks")
+    for name, df in (parts(own) | {"nodes": G.nodes(own), "edges": G.edges(own)}).items():
         df.write.parquet(f"{root}/{version}/{name}")
     # Last of all, so that a version counts only when all its parts are there.
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/versions")
@@ -33,33 +40,50 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {p: spark.read.parquet(f"{root}/{newest}/{p}") for p in PARTS}
 
 
-def _parts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = chunk_files(files)
-    return chunks, R.postings(chunks, "id", "content"), _manifest(files.join(chunks.select(F.col("file").alias("path")).distinct(), "path", "left_semi"))
+def searchable(chunks: DataFrame) -> DataFrame:
+    """Chunks with text; others only carry imports."""
+    return chunks.where("content is not null")
 
 
 def build(files: DataFrame, root: str) -> None:
     """files (path, content); those without chunks are left out of the manifest."""
-    chunks, _, _ = parts = _parts(files)
-    _save(chunks.sparkSession, root, dict(zip(PARTS, parts, strict=True)))
+
+    def parts(chunks: DataFrame) -> dict[str, DataFrame]:
+        known = chunks.select(F.col("file").alias("path")).distinct()
+        return {"postings": R.postings(searchable(chunks), "id", "content"), "manifest": _manifest(files.join(known, "path", "left_semi"))}
+
+    _save(files.sparkSession, root, parts, chunk_files(files))
 
 
 def update(files: DataFrame, root: str) -> None:
     """The index as build(files) would write it, parsing only files that are new or have another hash."""
-    spark = files.sparkSession
-    old = load(spark, root)
+    old = load(files.sparkSession, root)
     changes = I.detect_changes(old["manifest"], _manifest(files))
     gone, fresh = changes.where("change <> 'new'").select("path"), files.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
-    chunks, postings, manifest = _parts(fresh)
+    changed = changes.select(F.col("path").alias("file"))
     stale = old["chunks"].join(gone, F.col("file") == gone["path"], "left_semi").select("id").distinct()
-    new = (
-        old["chunks"].join(stale, "id", "left_anti").unionByName(chunks),
-        old["postings"].join(stale, "id", "left_anti").unionByName(postings),
-        old["manifest"].join(gone, "path", "left_anti").unionByName(manifest),
-    )
-    _save(spark, root, dict(zip(PARTS, new, strict=True)))
+
+    def parts(chunks: DataFrame) -> dict[str, DataFrame]:
+        new = chunks.join(changed, "file", "left_semi")
+        known = new.select(F.col("file").alias("path")).distinct()
+        return {
+            "postings": old["postings"].join(stale, "id", "left_anti").unionByName(R.postings(searchable(new), "id", "content")),
+            "manifest": old["manifest"].join(gone, "path", "left_anti").unionByName(_manifest(files.join(known, "path", "left_semi"))),
+        }
+
+    _save(files.sparkSession, root, parts, old["chunks"].join(stale, "id", "left_anti").unionByName(chunk_files(fresh)))
 
 
 def stats(root_parts: dict[str, DataFrame]) -> DataFrame:
     """(type, chunks, files) of a loaded index."""
-    return root_parts["chunks"].groupBy("type").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file").alias("files"))
+    return searchable(root_parts["chunks"]).groupBy("type").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file").alias("files"))
+
+
+def is_ready(spark: SparkSession, root: str) -> bool:
+    """Whether an index with chunks is there."""
+    try:
+        return not searchable(load(spark, root)["chunks"]).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise

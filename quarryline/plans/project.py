@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import paths as P
 from ..functions import records as RC
 from ..functions import text as T
+from ..operators import files as FI
 from ..operators import graph as G
 from ..operators import knowledge as K
 from ..operators import project as PR
 from ..operators import ranking as R
+from ..operators import retrieve as RT
 from ..operators import sessions as S
 from .queries import _BM25, _list, query, t
 
@@ -232,11 +235,10 @@ def recent_sessions(spark, sf):
 
 @query(f"WITH h AS ({_BM25.replace('@WHERE@', '')}), x AS (SELECT query AS item_id, h.doc_id, rank, coalesce(lang = 'en', false) AS exact FROM h JOIN documents USING (doc_id) WHERE rank <= 5), m AS (SELECT *, bool_or(exact) OVER (PARTITION BY item_id) AS found FROM x) SELECT item_id, doc_id, rank FROM m WHERE CASE WHEN found THEN exact ELSE rank <= 3 END")
 def exact_name_hits(spark, sf):
-    d = t(spark, sf, "documents")
-    top = R.top(R.scores(d, t(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text"), "doc_id", 5)
-    named = top.join(d.select("doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("exact")), "doc_id")
-    found = F.max("exact").over(Window.partitionBy("query"))
-    return named.withColumn("found", found).where(F.when(F.col("found"), F.col("exact")).otherwise(F.col("rank") <= 3)).select(F.col("query").alias("item_id"), "doc_id", "rank")
+    d, items = t(spark, sf, "documents"), t(spark, sf, "benchmark")
+    top = R.top(R.scores(d, items, "doc_id", "text", "item_id", "text"), "doc_id", 5)
+    named = top.join(d.select("doc_id", F.col("lang").alias("name")), "doc_id")
+    return RT.exact_hits(named, items.select(F.col("item_id").alias("query"), F.lit(" EN").alias("text"))).select(F.col("query").alias("item_id"), "doc_id", "rank")
 
 
 _DE = "e AS (SELECT 'doc:' || doc_id AS src, 'source:' || source AS dst FROM documents WHERE source IS NOT NULL UNION SELECT 'doc:' || doc_id, 'lang:' || lang FROM documents WHERE lang IS NOT NULL)"
@@ -244,11 +246,63 @@ _DE = "e AS (SELECT 'doc:' || doc_id AS src, 'source:' || source AS dst FROM doc
 
 @query(f"WITH {_DE}, h AS (SELECT 'doc:' || doc_id AS id FROM documents WHERE source = 'src3') SELECT id, 'chunk' AS kind FROM h UNION ALL SELECT DISTINCT dst, 'signature' FROM e JOIN h ON src = id")
 def retrieve_for_file(spark, sf):
+    edges, nodes = _doc_graph(spark, sf)
+    chunks = t(spark, sf, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.col("source").alias("file"), F.col("doc_id").alias("line_start"))
+    return RT.retrieve_for_file(chunks, edges, nodes, "src3").select("id", "kind")
+
+
+def _doc_graph(spark, sf):
+    """Documents refer to their source and language; a node's signature is its id."""
     d = t(spark, sf, "documents")
     own = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
-    edges = d.where("source is not null").select(own.alias("src"), F.concat(F.lit("source:"), "source").alias("dst")).union(d.where("lang is not null").select(own, F.concat(F.lit("lang:"), "lang"))).distinct()
-    hits = d.where("source = 'src3'").select(own.alias("id"))
-    return hits.select("id", F.lit("chunk").alias("kind")).union(G.neighbors(edges, hits, 1).select("id", F.lit("signature")))
+    one = lambda c: d.where(F.col(c).isNotNull()).select(own.alias("src"), F.concat(F.lit(f"{c}:"), c).alias("dst"), F.lit("references").alias("edge_type"))
+    both = G.with_inverse(one("source").unionAll(one("lang")), G.INVERSE)
+    ids = d.select(own.alias("id")).unionAll(both.select("src")).distinct()
+    return both, ids.select("id", F.col("id").alias("name"), F.col("id").alias("signature"))
+
+
+@query(f"""WITH h AS ({_BM25.replace('@WHERE@', '')}), {_DE}, hit AS (SELECT query, 'doc:' || doc_id AS id, rank FROM h),
+near AS (SELECT query, dst AS id, min(rank) AS rank FROM hit JOIN e ON hit.id = e.src GROUP BY ALL),
+sig AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY rank, id) AS position FROM near),
+r AS (SELECT query, id, 'chunk' AS kind, rank AS position FROM hit UNION ALL SELECT query, id, 'signature', position FROM sig WHERE position <= 20),
+n AS (SELECT id, count(*) AS related FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+SELECT query, r.id, kind, position, coalesce(related, 0) AS related FROM r LEFT JOIN n ON r.id = n.id""")
+def retrieve(spark, sf):
+    edges, nodes = _doc_graph(spark, sf)
+    d = t(spark, sf, "documents")
+    top = R.top(R.scores(d, t(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text"), "doc_id")
+    found = RT.retrieve(top.select("query", F.concat(F.lit("doc:"), "doc_id").alias("id"), "rank"), edges, nodes)
+    related = F.aggregate(F.map_values("context"), F.lit(0), lambda a, x: a + F.size(x))
+    return found.select("query", "id", "kind", "position", F.coalesce(related, F.lit(0)).alias("related"))
+
+
+@query(f"WITH {_F}, m AS (SELECT path, unnest({_NL}) AS l, generate_subscripts({_NL}, 1) AS line FROM f WHERE NOT starts_with({_NAME}, '.') AND ends_with({_NAME}, '.py') AND strlen({_CONTENT}) <= 1048576) SELECT path, line, trim(l, ' ') AS content FROM m WHERE regexp_matches(l, '(?i)^[^ ]+ the') ORDER BY path, line LIMIT 100")
+def search_files(spark, sf):
+    return FI.search_files(files(spark, sf).where("path is not null"), "^[^ ]+ the", "*.py").select("path", "line", "content")
+
+
+@query(f"WITH {_F}, m AS (SELECT path, unnest({_NL}) AS l, generate_subscripts({_NL}, 1) AS line FROM f WHERE lower({_SUFFIX}) IN {_list(FI.SEARCHED)}) SELECT path, line, substr(trim(l, ' '), 1, 200) AS content FROM m WHERE regexp_matches(l, '(?i)tion[.]$') ORDER BY path, line LIMIT 100")
+def search_project(spark, sf):
+    return FI.search_project(files(spark, sf).where("path is not null"), "tion[.]$")
+
+
+@query("SELECT user_id, sum(CASE WHEN event_type <> 'view' THEN event_id ELSE 0 END) AS input_tokens, coalesce(sum(CAST(props ->> '$.k' AS BIGINT)), 0) AS output_tokens, count(*) AS calls FROM events GROUP BY user_id")
+def token_usage(spark, sf):
+    e = t(spark, sf, "events").select("user_id", F.expr("case when event_type <> 'view' then event_id else 0 end").alias("input_tokens"), F.get_json_object("props", "$.k").cast("long").alias("output_tokens"))
+    return S.token_usage(e, "user_id", ["input_tokens", "output_tokens"])
+
+
+@query("""WITH n AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'view') AS running, count(*) AS total FROM events GROUP BY user_id)
+SELECT *, CASE WHEN running > 0 THEN 'Phase ' || (completed + 1) || '/' || total || ' (' || completed || ' completed)' ELSE 'Progress: ' || completed || '/' || total || ' phases' END AS shown FROM n""")
+def phase_progress(spark, sf):
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "view", "running").otherwise("pending")
+    return S.progress(t(spark, sf, "events").select("user_id", status.alias("status")), "user_id")
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%d %H:%M') AS shown, epoch_us(ts) % 1000 = 0 AS whole FROM events")
+def event_times(spark, sf):
+    ms = D.epoch_ms(F.col("ts"))
+    return t(spark, sf, "events").select("event_id", ms.alias("ms"), D.shown(F.col("ts")).alias("shown"), (F.col("ts").cast("timestamp") == D.from_epoch_ms(ms)).alias("whole"))
 
 
 @query(f"SELECT doc_id, {len(T.CODE_STOP_WORDS)} AS stop_words, substr(text, 1, 2000) AS content FROM documents")

@@ -12,12 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
+from ..functions import output as O
 from ..functions import text as T
 from ..operators import events as E
 from ..operators import files as FI
 from ..operators import graph as G
 from ..operators import index as I
+from ..operators import knowledge as K
 from ..operators import ranking as R
+from ..operators.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,16 +64,17 @@ def doc_lengths(spark, sf):
     return R.lengths(t(spark, sf, "documents"), "doc_id", "text")
 
 
-_P = f"""d AS (SELECT doc_id, {DT} AS tk FROM documents), tot AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM d),
-p AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM d) GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM p, tot GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+_P = f"""d AS MATERIALIZED (SELECT doc_id, {DT} AS tk FROM documents), tot AS MATERIALIZED (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM d),
+p AS MATERIALIZED (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(tk) AS dl, unnest(tk) AS term FROM d) GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM p, tot GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, (SELECT avg(r) AS mean FROM raw))"""
 
 
 @query(f"WITH {_P} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark, sf):
     d = t(spark, sf, "documents")
-    return R.idf(R.postings(d, "doc_id", "text"), R.corpus(d, "text")).withColumn("idf", F.round("idf", 6))
+    posted = written(R.postings(d, "doc_id", "text"), "postings")
+    return R.idf(posted, R.corpus(d, posted)).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"SELECT item_id, array_to_string({QT}, ' ') AS tokens FROM benchmark")
@@ -84,10 +89,10 @@ k AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER B
 SELECT query, doc_id, score, rank FROM k WHERE rank <= 10"""
 
 
-@query(_BM25.replace("@WHERE@", "WHERE item_id = 0"))
+@query(_BM25.replace("@WHERE@", "").replace("rank <= 10", "rank <= 3"))
 def bm25_topk(spark, sf):
-    q = t(spark, sf, "benchmark").where("item_id = 0")
-    return R.top(R.scores(t(spark, sf, "documents"), q, "doc_id", "text", "item_id", "text"), "doc_id").select("query", "doc_id", "score", "rank")
+    q = t(spark, sf, "benchmark")
+    return R.top(R.scores(t(spark, sf, "documents"), q, "doc_id", "text", "item_id", "text"), "doc_id", 3).select("query", "doc_id", "score", "rank")
 
 
 @query(_BM25.replace("@WHERE@", ""))
@@ -134,11 +139,10 @@ def read_range(spark, sf):
     return FI.read_range(t(spark, sf, "documents"), "doc_id", "text", 2, 4)
 
 
-@query("WITH p AS (SELECT unnest([0, 1, 2, 3, -1]) AS path) SELECT path, text IS NOT NULL AS found, coalesce(len(string_split(text, chr(10))), 0) AS n_lines FROM p LEFT JOIN documents ON path = doc_id")
+@query("WITH p AS (SELECT doc_id AS path FROM labels UNION ALL SELECT -1 - page_id FROM pages), r AS (SELECT path, text FROM p LEFT JOIN documents ON path = doc_id) SELECT path, text IS NOT NULL AS found, CASE WHEN text IS NULL THEN 'File not found' END AS error, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines FROM r")
 def batch_read(spark, sf):
-    paths = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, -1)], "path long")
-    d = t(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
-    return paths.join(d, "path", "left").select("path", F.col("text").isNotNull().alias("found"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    wanted = t(spark, sf, "labels").select(F.col("doc_id").alias("path")).unionAll(t(spark, sf, "pages").select(-1 - F.col("page_id")))
+    return FI.read_batch(wanted, t(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).select("path", "found", "error", F.col("lines").alias("n_lines"))
 
 
 @query(f"SELECT doc_id, CASE WHEN len({_S}) > 5 THEN array_to_string({_S}[1:5], chr(10)) || chr(10) || '... (truncated)' ELSE array_to_string({_S}, chr(10)) END AS content FROM documents")
@@ -151,11 +155,9 @@ def line_totals(spark, sf):
     return t(spark, sf, "documents").groupBy("source").agg(F.sum(F.size(T.lines(F.col("text")))).alias("total_lines"), F.count(F.lit(1)).alias("files"))
 
 
-@query("SELECT doc_id, text LIKE '%the%' AND text LIKE '%and%' AS valid, list_filter(['the', 'and', 'license'], lambda p: NOT contains(coalesce(text, ''), p)) AS missing FROM documents")
+@query("SELECT doc_id, text LIKE '%the%' AND text LIKE '%and%' AND text LIKE '%license%' AS valid, list_filter(['the', 'and', 'license'], lambda p: contains(coalesce(text, ''), p)) AS found, list_filter(['the', 'and', 'license'], lambda p: NOT contains(coalesce(text, ''), p)) AS missing FROM documents")
 def contains_all(spark, sf):
-    text = F.coalesce("text", F.lit(""))
-    pats = F.array(*map(F.lit, ("the", "and", "license")))
-    return t(spark, sf, "documents").select("doc_id", (text.contains("the") & text.contains("and")).alias("valid"), F.filter(pats, lambda p: ~F.contains(text, p)).alias("missing"))
+    return t(spark, sf, "documents").select("doc_id", T.contains_all(F.col("text"), ["the", "and", "license"]).alias("v")).select("doc_id", "v.*")
 
 
 _PATH = "regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1)"
@@ -196,11 +198,10 @@ def file_score(spark, sf):
     return t(spark, sf, "pages").select("page_id", score.cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "page_id").limit(15)
 
 
-@query("WITH e AS (SELECT unnest(range(0, 2000, 100)) AS path) SELECT path, path IN (SELECT doc_id FROM documents) AS found FROM e")
+@query("WITH e AS (SELECT doc_id AS path FROM labels UNION SELECT -1 - page_id FROM pages) SELECT path, path IN (SELECT doc_id FROM documents) AS found FROM e")
 def structure_check(spark, sf):
-    e = spark.range(0, 2000, 100).withColumnRenamed("id", "path")
-    d = t(spark, sf, "documents").select(F.col("doc_id").alias("path"))
-    return e.join(d, "path", "left_semi").withColumn("found", F.lit(True)).unionByName(e.join(d, "path", "left_anti").withColumn("found", F.lit(False)))
+    wanted = t(spark, sf, "labels").select(F.col("doc_id").alias("path")).unionAll(t(spark, sf, "pages").select(-1 - F.col("page_id")))
+    return FI.validate_structure(wanted, t(spark, sf, "documents").select(F.col("doc_id").alias("path")))
 
 
 # Graph: nation -> region, customer -> nation, supplier -> nation, orders aside
@@ -240,20 +241,44 @@ def neighbors_2hop(spark, sf):
     return _hops(spark, sf, 2)
 
 
-@query(f"WITH {_E} SELECT src AS id FROM e WHERE dst = 'nation:3' AND edge_type = 'calls'")
+def _nodes(edges):
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.upper("id").alias("name"), F.split("id", ":")[0].alias("type"))
+
+
+def _related(spark, sf, kind):
+    both = G.with_inverse(_edges(spark, sf), _INV)
+    known = _nodes(both)
+    return G.related(both, known, known.select("id"), kind).select("of", "id", "name")
+
+
+@query(f"WITH {_E} SELECT dst AS of, src AS id, upper(src) AS name FROM e WHERE edge_type = 'calls'")
 def callers(spark, sf):
-    return _edges(spark, sf).where("dst = 'nation:3' AND edge_type = 'calls'").select(F.col("src").alias("id"))
+    return _related(spark, sf, "called_by")
 
 
-@query(f"WITH {_E} SELECT dst AS id FROM e WHERE src = 'customer:7' AND edge_type = 'calls'")
+@query(f"WITH {_E} SELECT src AS of, dst AS id, upper(dst) AS name FROM e WHERE edge_type = 'calls'")
 def callees(spark, sf):
-    return _edges(spark, sf).where("src = 'customer:7' AND edge_type = 'calls'").select(F.col("dst").alias("id"))
+    return _related(spark, sf, "calls")
 
 
-@query(f"WITH {_B} SELECT src AS id, edge_type, string_agg(dst, ',' ORDER BY dst) AS names FROM b WHERE src IN ('nation:3', 'region:1') GROUP BY ALL")
+@query(f"WITH {_B} SELECT src AS id, edge_type, string_agg(upper(dst), ',' ORDER BY upper(dst)) AS names FROM b WHERE edge_type <> 'inherited_by' GROUP BY ALL")
 def graph_context(spark, sf):
-    b = G.with_inverse(_edges(spark, sf), _INV).where("src in ('nation:3', 'region:1')")
-    return b.groupBy(F.col("src").alias("id"), "edge_type").agg(F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("names"))
+    b = G.with_inverse(_edges(spark, sf), _INV)
+    known = _nodes(b)
+    return G.context(b, known, known.select("id")).select("id", "edge_type", F.array_join("names", ",").alias("names"))
+
+
+@query(f"WITH {_B}, k AS (SELECT DISTINCT src AS id, string_split(src, ':')[1] AS type FROM b) SELECT 'nodes' AS kind, 'all' AS item, count(*) AS n FROM k UNION ALL SELECT 'edges', 'forward', count(*) FROM e UNION ALL SELECT 'type', type, count(*) FROM k GROUP BY type")
+def graph_counts(spark, sf):
+    b = G.with_inverse(_edges(spark, sf), _INV)
+    return G.stats(b, _nodes(b))
+
+
+@query(f"WITH {_B} SELECT DISTINCT a.src AS start, c.dst AS id FROM b a JOIN b c ON a.dst = c.src WHERE a.edge_type = 'calls' AND c.edge_type = 'inherits'")
+def typed_paths(spark, sf):
+    b = G.with_inverse(_edges(spark, sf), _INV)
+    starts = t(spark, sf, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
+    return G.reachable(b, starts, 2, ["calls", "inherits"]).where("hop = 2").select("start", "id")
 
 
 @query(f"WITH {_E} SELECT edge_type, count(*) AS edges, count(DISTINCT src) AS sources FROM e GROUP BY edge_type")
@@ -330,23 +355,28 @@ def milestone_latest(spark, sf):
     return E.latest(t(spark, sf, "events"), ["user_id", "event_type"], _O, "event_id")
 
 
-_PAIR = """WITH a AS (SELECT user_id, event_id AS call_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click'),
-b AS (SELECT user_id, event_id AS done_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase')
-SELECT a.user_id, call_id, done_id FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.n = b.n"""
+# A call is a click, its id the user and the number in props; a purchase or an error with that id ends it
+
+_PAIR = """WITH e AS (SELECT user_id, props ->> '$.k' AS call_id, event_type, ts, epoch_us(ts) // 1000 AS ms FROM events),
+a AS (SELECT user_id, call_id, max(ms) AS called_ms FROM e WHERE event_type = 'click' GROUP BY ALL),
+b AS (SELECT user_id, call_id, max(ms) AS done_ms, arg_max(event_type, (ts, event_type)) = 'purchase' AS success FROM e WHERE event_type IN ('error', 'purchase') GROUP BY ALL)
+SELECT user_id, call_id, called_ms, done_ms, floor((done_ms - called_ms + 5) / 10.0) / 100.0 AS seconds, success FROM a LEFT JOIN b USING (user_id, call_id)"""
 
 
 def _pairs(spark, sf):
-    return E.pair_calls(t(spark, sf, "events"), "user_id", F.col("event_type") == "click", F.col("event_type") == "purchase", _O)
+    e = t(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").alias("call_id"), "event_type", "ts")
+    ends = e.where("event_type in ('error', 'purchase')").groupBy("user_id", "call_id").agg(F.max("ts").alias("at"), F.max_by(F.col("event_type") == "purchase", F.struct("ts", "event_type")).alias("success"))
+    return E.pair_calls(e.where("event_type = 'click'").select("user_id", "call_id", F.col("ts").alias("at")), ends, ["user_id", "call_id"])
 
 
 @query(_PAIR)
 def call_pairing(spark, sf):
-    return _pairs(spark, sf)
+    return _pairs(spark, sf).select("user_id", "call_id", D.epoch_ms(F.col("at")).alias("called_ms"), D.epoch_ms(F.col("done_at")).alias("done_ms"), "seconds", "success")
 
 
-@query(f"SELECT user_id, call_id FROM ({_PAIR}) WHERE done_id IS NULL")
+@query(f"SELECT user_id, call_id, called_ms FROM ({_PAIR}) WHERE done_ms IS NULL")
 def open_calls(spark, sf):
-    return _pairs(spark, sf).where("done_id is null").select("user_id", "call_id")
+    return E.open_calls(_pairs(spark, sf)).select("user_id", "call_id", D.epoch_ms(F.col("at")).alias("called_ms"))
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY seen_at) AS seen FROM (SELECT user_id, event_type, min((ts, event_id)) AS seen_at FROM events GROUP BY ALL) GROUP BY user_id")
@@ -380,23 +410,49 @@ def command_class(spark, sf):
     return c.select("command", T.command_class(F.col("command")).alias("class"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l) <> '' AND (regexp_matches(l, '(?i)error') OR NOT regexp_matches(l, '[*#]{3}'))), chr(10)) AS output FROM documents")
+_COMMANDS = {"en": "pip install x", "de": "python -m x", "fr": "pytest -q", "es": "tsc -p x"}
+_KIND = "CASE lang WHEN 'en' THEN 'install' WHEN 'de' THEN 'run' WHEN 'fr' THEN 'test' WHEN 'es' THEN 'build' ELSE 'default' END"
+
+
+def _output_sql() -> str:
+    by = " ".join(f"WHEN '{k}' THEN regexp_matches(l, '(?i){'|'.join(O.KEPT[k])}') OR NOT regexp_matches(l, '{'|'.join(f'(?:{p})' for p in O.NOISE[k])}')" for k in O.NOISE)
+    limit = "CASE kind " + " ".join(f"WHEN '{k}' THEN CASE WHEN ok THEN {a} ELSE {b} END" for k, (a, b) in O.LIMITS.items()) + " END"
+    head = "substr(j, 1, lim)"
+    last = f"lim - strpos(reverse({head}), chr(10))"
+    return f"""WITH d AS (SELECT doc_id, {_KIND} AS kind, doc_id % 2 = 0 AS ok, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS x FROM documents),
+l AS (SELECT *, CASE WHEN x = '' THEN [] ELSE string_split(CASE WHEN suffix(x, chr(10)) THEN left(x, length(x) - 1) ELSE x END, chr(10)) END AS l FROM d),
+k AS (SELECT *, list_filter(l, lambda l: trim(l, ' ') <> '' AND CASE kind {by} ELSE true END) AS k FROM l), j AS (SELECT *, array_to_string(k, chr(10)) AS j, {limit} AS lim FROM k)
+SELECT doc_id, CASE WHEN length(j) <= lim THEN j ELSE (CASE WHEN contains({head}, chr(10)) AND {last} > lim * 0.8 THEN substr(j, 1, {last}) ELSE {head} END) || chr(10) || '... (truncated)' END AS output,
+kind AS command_type, len(l) AS original_lines, len(k) AS filtered_lines, length(j) > lim AS truncated, lim AS limit_applied FROM j"""
+
+
+@query(_output_sql())
 def noise_filter(spark, sf):
-    keep = lambda x: (F.trim(x) != "") & (x.rlike("(?i)error") | ~x.rlike("[*#]{3}"))
-    return t(spark, sf, "documents").select("doc_id", F.array_join(F.filter(T.lines(F.col("text")), keep), "\n").alias("output"))
+    command = F.lit("ls")
+    for lang, c in _COMMANDS.items():
+        command = F.when(F.col("lang") == lang, c).otherwise(command)
+    return t(spark, sf, "documents").select("doc_id", O.shell_output(F.col("text"), command, F.col("doc_id") % 2 == 0).alias("o")).select("doc_id", "o.*")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE (CASE WHEN contains(substr(text, 1, 500), chr(10)) AND 500 - strpos(reverse(substr(text, 1, 500)), chr(10)) > 400
-THEN substr(text, 1, 500 - strpos(reverse(substr(text, 1, 500)), chr(10))) ELSE substr(text, 1, 500) END) || chr(10) || '... (output truncated)' END AS output FROM documents""")
+THEN substr(text, 1, 500 - strpos(reverse(substr(text, 1, 500)), chr(10))) ELSE substr(text, 1, 500) END) || chr(10) || '... (truncated)' END AS output FROM documents""")
 def smart_truncate(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.smart_truncate(F.col("text"), 500).alias("output"))
 
 
-@query("SELECT event_id, event_type <> 'error' AS success, CASE event_type WHEN 'view' THEN 80 WHEN 'click' THEN 75 WHEN 'signup' THEN 30 ELSE 50 END + CASE WHEN event_type = 'error' THEN 20 ELSE 0 END AS priority FROM events")
+@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'read_file' WHEN 'click' THEN 'search_code' WHEN 'signup' THEN 'write_file' WHEN 'purchase' THEN 'shell' ELSE 'other' END AS tool, event_type <> 'error' AND value <= 50 AS success FROM events)
+SELECT event_id, success, CASE tool WHEN 'shell' THEN 'shell_test' ELSE tool END AS output_type, CASE tool WHEN 'read_file' THEN 80 WHEN 'search_code' THEN 75 WHEN 'write_file' THEN 30 WHEN 'shell' THEN 70 ELSE 50 END + CASE WHEN success THEN 0 ELSE 20 END AS priority FROM e""")
 def output_tag(spark, sf):
-    base = F.expr("case event_type when 'view' then 80 when 'click' then 75 when 'signup' then 30 else 50 end")
-    bad = F.col("event_type") == "error"
-    return t(spark, sf, "events").select("event_id", (~bad).alias("success"), (base + F.when(bad, 20).otherwise(0)).alias("priority"))
+    tool = F.lit("other")
+    for kind, name in (("view", "read_file"), ("click", "search_code"), ("signup", "write_file"), ("purchase", "shell")):
+        tool = F.when(F.col("event_type") == kind, name).otherwise(tool)
+    tag = O.tag(tool, F.lit("pytest -q"), F.col("value") <= 50, F.when(F.col("event_type") == "error", "failed"))
+    return t(spark, sf, "events").select("event_id", tag.alias("t")).select("event_id", "t.success", "t.output_type", "t.priority")
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, 'the') THEN replace(text, 'the', 'an') ELSE text END AS content, CASE WHEN contains(text, 'the') THEN CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INT) ELSE 0 END AS replacements, CASE WHEN text IS NULL THEN 'File not found' WHEN NOT contains(text, 'the') THEN 'Search text not found' END AS error FROM documents")
+def edit_all(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.edited(F.col("text"), F.lit("the"), F.lit("an"), every=True).alias("e")).select("doc_id", "e.*")
 
 
 @query("SELECT doc_id, CASE WHEN strpos(text, 'the') = 0 THEN text ELSE substr(text, 1, strpos(text, 'the') - 1) || 'THE' || substr(text, strpos(text, 'the') + 3) END AS content FROM documents")
@@ -409,17 +465,23 @@ def replace_all(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("the"), F.lit("THE")).alias("content"), T.occurrences(F.col("text"), "the").alias("n"))
 
 
+@query(f"SELECT doc_id, line, substr(trim(content), 1, 200) AS content FROM {_LINES} WHERE regexp_matches(content, '(?i)^the .*[.]$')")
+def grep_anchored(spark, sf):
+    return FI.grep(t(spark, sf, "documents"), "doc_id", "text", "^the .*[.]$").select("doc_id", "line", F.substring("content", 1, 200).alias("content"))
+
+
 # Knowledge base: documents with the language as tag, the source as topic, the first line as title
 
 
-@query("""WITH d AS (SELECT doc_id, lower(string_split(coalesce(text, ''), chr(10))[1]) AS title, lang, source, lower(coalesce(text, '')) AS body FROM documents)
-SELECT doc_id, CASE WHEN contains(title, 'the') THEN 100 ELSE 0 END + CASE WHEN contains(source, 'src1') THEN 80 ELSE 0 END + CASE WHEN lang = 'en' THEN 60 ELSE 0 END + CASE WHEN contains(body, 'license') THEN 20 ELSE 0 END + 5 AS score
-FROM d ORDER BY score DESC, doc_id LIMIT 20""")
+@query("""WITH d AS (SELECT doc_id, lower(string_split(coalesce(text, ''), chr(10))[1]) AS title, lower(coalesce(source, '')) AS topic, coalesce(lang, '') AS tag, lower(coalesce(text, '')) AS body FROM documents)
+SELECT doc_id AS id, CASE WHEN contains(title, 'the src1 de') THEN 100 WHEN contains(title, 'the') OR contains(title, 'src1') OR contains(title, 'de') THEN 50 ELSE 0 END
+ + CASE WHEN contains(topic, 'the src1 de') THEN 80 WHEN contains(topic, 'the') OR contains(topic, 'src1') OR contains(topic, 'de') THEN 30 ELSE 0 END
+ + CASE WHEN tag = 'the src1 de' THEN 60 WHEN tag IN ('the', 'src1', 'de') THEN 40 ELSE 0 END + CASE WHEN contains(body, 'the src1 de') THEN 20 ELSE 0 END + (doc_id % 70) // 10 AS score
+FROM d WHERE score > 0 ORDER BY score DESC, id LIMIT 20""")
 def kb_score(spark, sf):
-    body = F.lower(F.coalesce("text", F.lit("")))
-    hit = lambda c, n: F.when(c, n).otherwise(0)
-    score = hit(F.split(body, "\n")[0].contains("the"), 100) + hit(F.col("source").contains("src1"), 80) + hit(F.col("lang") == "en", 60) + hit(body.contains("license"), 20) + 5
-    return t(spark, sf, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    first = F.split(F.coalesce("text", F.lit("")), "\n")[0]
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), first.alias("title"), F.array("source").alias("topics"), F.array("lang").alias("tags"), F.col("text").alias("full_content"), (F.col("doc_id") % 70).alias("priority"))
+    return K.search(d, "The src1 DE", limit=20).select("id", "score")
 
 
 @query("SELECT DISTINCT lang AS tag FROM documents WHERE lang IS NOT NULL")

@@ -1,7 +1,8 @@
 """Chunks and symbols of source files, one batch of files at a time.
 
 Python is parsed with the standard library's ast; a file that it rejects, or of another kind, becomes one module chunk
-with its first 200 lines. Decorated definitions count like bare ones, and text is cut by character.
+with its first 200 lines. Decorated definitions count like bare ones, and text is cut by character. A Python file's imports
+are a module row without content, which isn't text to be searched.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MAX_BYTES = 100_000
+MAX_BYTES = 100 * 1024
 MODULE_LINES = 200
 CHUNK = "id string, file string, type string, name string, signature string, content string, line_start int, line_end int, parent string, calls array<string>, imports array<string>"
 
@@ -30,6 +31,19 @@ def _calls(node: ast.AST) -> list[str]:
     return [getattr(n.func, "attr", None) or getattr(n.func, "id", "") for n in ast.walk(node) if isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute))]
 
 
+def module_imports(tree: ast.Module) -> list[str]:
+    """Names of imported modules outside function and class bodies; an import under another name isn't counted."""
+    todo, out = [tree], []
+    while todo:
+        n = todo.pop()
+        if isinstance(n, ast.Import):
+            out += [(n.lineno, a.name) for a in n.names if not a.asname]
+        elif isinstance(n, ast.ImportFrom):
+            out.append((n.lineno, "." * n.level + (n.module or "")))
+        todo += [c for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    return [name for _, name in sorted(out, key=lambda x: x[0])]
+
+
 def python_chunks(file: str, text: str) -> list[dict]:
     lines, out = text.split("\n"), []
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -49,7 +63,14 @@ def python_chunks(file: str, text: str) -> list[dict]:
                 out.append(_row(file, "class", n.name, lines[n.lineno - 1].strip(), summary, n.lineno, n.end_lineno, parent, imports=[b.id for b in n.bases if isinstance(b, ast.Name)]))
                 classes(n.body, n.name)
 
-    classes(ast.parse(text).body, None)
+    tree = ast.parse(text)
+    classes(tree.body, None)
+    if imports := module_imports(tree):
+        out = out or [module_chunk(file, text)]
+        if out[0]["type"] == "module":
+            out[0]["imports"] = imports
+        else:
+            out.append(_row(file, "module", PurePosixPath(file).stem, f"# {file}", None, 1, 1, imports=imports, key="module"))
     return out
 
 
@@ -65,16 +86,40 @@ def sql_chunks(file: str, text: str) -> list[dict]:
     return out
 
 
+_BODY = re.compile(r"\s*\{")
+_BRACE = re.compile(r"\{")
+
+
+def _closing(text: str, at: int) -> int:
+    """Behind the brace that closes the one at ``at``, or the text's end."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(text, at):
+        depth += 1 if m[0] == "{" else -1
+        if depth == 0:
+            return m.end()
+    return len(text)
+
+
+def _expression_end(text: str, at: int) -> int:
+    """Where an expression that begins after ``at`` ends: at a semicolon or line break outside brackets, or at a bracket
+    that closes one around it."""
+    depth, begun = 0, False
+    for m in re.compile(r"\S|\n").finditer(text, at):
+        c = m[0]
+        if depth == 0 and (c == ";" or c == "\n" and begun or c in ")]}"):
+            return m.start()
+        depth += (c in "([{") - (c in ")]}")
+        begun = begun or c != "\n"
+    return len(text)
+
+
 def script_chunks(file: str, text: str) -> list[dict]:
     out = []
     for m in _JS.finditer(text):
         name, kind = next((n, k) for n, k in zip(m.groups(), ("function", "class", "function"), strict=True) if n)
-        depth, end = 0, text.find("{", m.end() - 1)
-        for end in range(max(end, 0), len(text)):  # to the brace that closes the first
-            depth += (text[end] == "{") - (text[end] == "}")
-            if depth == 0:
-                break
-        body = text[m.start() : end + 1].strip()
+        opening = _BODY.match(text, m.end()) if m[3] else _BRACE.search(text, m.end() - 1)
+        end = _closing(text, opening.end() - 1) if opening else _expression_end(text, m.end())
+        body = text[m.start() : end].strip()
         start = text.count("\n", 0, m.end()) + 1
         out.append(_row(file, kind, name, body.split("{")[0].strip(), body, start, start + body.count("\n"), calls=re.findall(r"(\w+)\s*\(", body)))
     return out

@@ -21,7 +21,7 @@ class A(Base):
 def test_chunks(spark):
     files = [("a.py", PY), ("bad.py", "def ("), ("big.py", "x" * 200_000), ("q.sql", "CREATE TABLE t (a int);\nCREATE VIEW v AS SELECT * FROM t;"), ("s.js", "function go(a) { run(a); }\nconst k = (x) => { return x };\nclass C { }"), ("n.txt", None)]
     got = {r.id: r for r in code.chunk_files(spark.createDataFrame(files, "path string, content string")).collect()}
-    assert {"a.py:f", "a.py:A", "a.py:A.m", "a.py:B", "a.py:B.n", "bad.py:module", "q.sql:table:t", "q.sql:view:v", "s.js:go", "s.js:k", "s.js:C"} == set(got)
+    assert {"a.py:f", "a.py:A", "a.py:A.m", "a.py:B", "a.py:B.n", "a.py:module", "bad.py:module", "q.sql:table:t", "q.sql:view:v", "s.js:go", "s.js:k", "s.js:C"} == set(got)
     assert got["a.py:f"].calls == ["g", "join"] and got["a.py:A"].imports == ["Base"] and got["q.sql:view:v"].imports == ["t"]
     assert got["s.js:go"].content == "function go(a) { run(a); }" and "é" in got["a.py:A.m"].content
 
