@@ -82,6 +82,33 @@ def _log_ratio(k_p: np.ndarray, n_p: int, k_u: np.ndarray, n_u: int) -> np.ndarr
     return 2 * (part(k_p, n_p * rate) + part(n_p - k_p, n_p * (1 - rate)) + part(k_u, n_u * rate) + part(n_u - k_u, n_u * (1 - rate)))
 
 
+def _document_counts(docs: list[np.ndarray]) -> np.ndarray:
+    """In how many documents each feature occurs, counted one document after the other: no copy of all is made."""
+    out = np.zeros(1 << HASH_BITS, np.int32)
+    for d in docs:
+        out[np.unique(d)] += 1
+    return out
+
+
+def _slices(docs: list[np.ndarray], place: np.ndarray, entries: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The chosen features of the documents in slices of about ``entries``, so that a step's work arrays stay small: numbers
+    of the documents that have any, where each one's begin, how many they are, and their places."""
+    own: list[int] = []
+    cols: list[np.ndarray] = []
+    n = 0
+    for i, d in enumerate(docs):
+        c = place[d]
+        c = c[c >= 0].astype(np.int16 if MAX_FEATURES < 1 << 15 else np.int32)
+        if len(c):
+            own.append(i)
+            cols.append(c)
+            n += len(c)
+        if n >= entries or cols and i == len(docs) - 1:
+            sizes = np.fromiter(map(len, cols), np.int64, len(cols))
+            yield np.array(own), np.cumsum(sizes) - sizes, sizes, np.concatenate(cols)
+            own, cols, n = [], [], 0
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, l1: float = L1, least_ratio: float = LEAST_RATIO) -> Model:
     """positive, unlabelled: feature numbers of each document, repeats counted. Without positives the score is the prior
     everywhere."""
@@ -90,31 +117,27 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return Model({}, float(np.log(prior / (1 - prior))))
     docs = [*positive, *unlabelled]
     n_p, n_u = len(positive), len(unlabelled)
-    df_p = np.bincount(np.concatenate([np.unique(d) for d in positive]), minlength=1 << HASH_BITS)
-    df_u = np.bincount(np.concatenate([np.unique(d) for d in unlabelled]), minlength=1 << HASH_BITS)
+    df_p, df_u = _document_counts(positive), _document_counts(unlabelled)
     seen = np.flatnonzero((df_p >= 3) | (df_u >= 30))
-    worth = np.zeros(1 << HASH_BITS)
-    worth[seen] = _log_ratio(df_p[seen], n_p, df_u[seen], n_u)
-    chosen = np.sort(np.argsort(-worth, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[worth[chosen] > least_ratio]
+    worth = _log_ratio(df_p[seen].astype(float), n_p, df_u[seen].astype(float), n_u)
+    best = np.argsort(-worth, kind="stable")[:MAX_FEATURES]
+    chosen = np.sort(seen[best[worth[best] > least_ratio]])
     if not len(chosen):
         return Model({}, float(np.log(prior / (1 - prior))))
     place = np.full(1 << HASH_BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    rows, cols = [], []
-    for i, d in enumerate(docs):
-        c = place[d]
-        c = c[c >= 0]
-        rows.append(np.full(len(c), i, np.int32))
-        cols.append(c)
-    row, col = np.concatenate(rows), np.concatenate(cols)
+    parts = list(_slices(docs, place))
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col], len(docs)) + b
+        z = np.full(len(docs), b)
+        for own, starts, _, col in parts:
+            z[own] += np.add.reduceat(w[col], starts)
         g_p, g_u, _ = risk_gradient(z[:n_p], z[n_p:], prior)
         g = np.concatenate([g_p, g_u])
-        gw, gb = np.bincount(col, g[row], len(chosen)), g.sum()
+        gw, gb = np.zeros(len(chosen)), g.sum()
+        for own, _, sizes, col in parts:
+            gw += np.bincount(col, np.repeat(g[own], sizes), len(chosen))
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 / (1 + t / 200)
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
