@@ -20,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    """A new path below the folder that driver and executors share. ValueError on a cluster that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or LOCAL_SHARED_DIR
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

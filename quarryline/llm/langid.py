@@ -1,9 +1,10 @@
 """Language identification of mixtures.
 
-Each language has a model of hashed letter n-grams (1 to 4, word ends included) with add-one smoothing. A document is a
+Each language has a model of hashed letter n-grams (1 to 4, word ends included); 0.5 is added to each count. A document is a
 mixture: expectation-maximisation over its words estimates the proportion of each language from the words' n-gram
 likelihoods. The set of languages grows from the likeliest one in the order of the full mixture's proportions, as long
-as the likelihood gained exceeds the penalty (half the logarithm of the number of words for each language).
+as the likelihood gained exceeds the penalty: PENALTY times half the logarithm of the number of words for each further
+language. EM takes STEPS steps.
 """
 
 from __future__ import annotations

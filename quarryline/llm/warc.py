@@ -80,7 +80,10 @@ class _Stream:
         self.raw = b""
         if not data:
             raise ValueError("archive ends within a record")
-        self.out += self.zip.decompress(data, 1 << 20)
+        try:
+            self.out += self.zip.decompress(data, 1 << 20)
+        except zlib.error as e:
+            raise ValueError(f"damaged compression: {e}") from None
         self.raw = self.zip.unused_data if self.zip.eof else self.zip.unconsumed_tail
         return True
 
@@ -123,12 +126,17 @@ def read_records(file, verify: bool = True) -> Iterator[Record]:
         if not lines[0].startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         headers = dict(_fields(lines[1:]))
-        record = Record(headers, stream.take(int(headers["content-length"])))
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            raise ValueError("record without a valid Content-Length")
+        record = Record(headers, stream.take(int(length)))
         if stream.take(4) != b"\r\n\r\n":
             raise ValueError("record not closed")
         if verify:
             if "sha256:" + hashlib.sha256(record.block).hexdigest() != headers.get("warc-block-digest"):
                 raise ValueError("block digest differs")
+            if record.kind == "response" and record.http()[0].get("content-length") != str(len(record.http()[1])):
+                raise ValueError("payload length differs")
             if record.kind == "response" and "sha256:" + hashlib.sha256(record.http()[1]).hexdigest() != headers.get("warc-payload-digest"):
                 raise ValueError("payload digest differs")
         yield record

@@ -283,8 +283,14 @@ def test_warc_reader():
     data += warc.record_bytes("revisit", "urn:page:9", None, payloads[1], hashlib.sha256(payloads[1]).hexdigest(), "urn:page:1")
     got = list(warc.read_records(io.BytesIO(data)))
     assert [r.http()[1] for r in got[:3]] == payloads and got[3].kind == "revisit" and got[3].http()[0]["content-length"] == "200000"
-    with pytest.raises((ValueError, zlib.error)):
+    with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(data[:-30])))
+    one = warc.record_bytes("response", "urn:page:1", "u", b"some payload", hashlib.sha256(b"some payload").hexdigest())
+    for i in range(len(one)):
+        try:  # a byte of the gzip header may not matter; all other damage is a ValueError
+            assert [r.http()[1] for r in warc.read_records(io.BytesIO(one[:i] + bytes([one[i] ^ 1]) + one[i + 1 :]))] == [b"some payload"] and i < 10
+        except ValueError:
+            pass
     bad = warc.record_bytes("response", "urn:page:1", "u", b"abc", hashlib.sha256(b"abd").hexdigest())
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(bad)))
