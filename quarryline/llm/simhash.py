@@ -31,20 +31,24 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 CHUNK = 2048
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; of the whole sequence if it has fewer words; none without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: lowers A-Z, splits at space and \x09-\x0d
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size + 1) - 1
-        starts = ends - size
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    starts = ends - size
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -202,23 +206,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = written(with_fingerprint(docs, ["doc_id"]), "prints")
     return prints.join(fingerprint_components(prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component with all its columns: the one with the smallest doc_id (a null id comes last); of
-    rows that share that id, one. Components of null ids only keep one row each."""
-    return keeping(docs, ("doc_id", "text"), _first_of_each)
-
-
-def _first_of_each(docs: DataFrame, own: list[str]) -> DataFrame:
-    rows = written(with_fingerprint(docs, own).withColumn("__rid", F.monotonically_increasing_id()), "printed-docs")
-    small = rows.select("__rid", "doc_id", "fp")
-    fps = written(small.groupBy("fp").agg(F.min(_order()).alias("first")), "first-rows")
-    roots = written(components(links(fps.select("fp"))), "roots")
-    firsts = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    kept = firsts.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.c").alias("__rid"))
-    return rows.join(kept, "__rid", "left_semi").select(*own)
-
-
-def _order():
-    return F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("__rid").alias("c"))

@@ -15,7 +15,7 @@ import xxhash
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from oracle import SF, expected, rows  # noqa: E402
 
-from quarryline.llm import decontam, encoder, exactdedup, htmlmain, langid, mixing, queries, sharding, simhash, sstable, toxicity, warc  # noqa: E402
+from quarryline.llm import decontam, encoder, exactdedup, htmlmain, langid, mixing, nearset, queries, sharding, simhash, sstable, toxicity, warc  # noqa: E402
 
 LONG = "word salad " * 30000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, hits string, score string, u double, cell int"
@@ -52,7 +52,7 @@ def test_odd_inputs(spark, empty):
     assert langid.language_id(d).count() == n
     assert toxicity.toxicity(d, labels).count() == n
     assert sstable.token_shards(d).count() == n
-    for out in (simhash.without_near_duplicates(d), decontam.without_contaminated(d, bench), toxicity.without_toxic(d, labels), mixing.mixed(d)):
+    for out in (nearset.without_near_duplicates(d), decontam.without_contaminated(d, bench), toxicity.without_toxic(d, labels), mixing.mixed(d)):
         assert out.columns == d.columns and out.count() <= n
     pages = spark.createDataFrame([] if empty else [(1, "u", None, "x"), (None, None, "", "x"), (2, "u", "<p>a" * 200, "x"), (3, "u", "<p>a" * 200, "x")], "page_id long, url string, html string, text string")
     assert warc.archive_pages(pages).count() == htmlmain.main_text(pages).count() == pages.count()

@@ -37,6 +37,29 @@ def components(docs):
     return {i: find(i) for i in ids}
 
 
+def similar(docs):
+    """doc_id to the smallest id reached over pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    ids = sorted(docs)
+    sets = {}
+    for i in ids:
+        w = [x for x in re.split("[ \t\n\x0b\x0c\r]", lower(docs[i])) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            x, y = sets[a], sets[b]
+            if a < b and min(len(x), len(y)) * 5 >= max(len(x), len(y)) * 4 and len(x & y) * 5 >= len(x | y) * 4:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: find(i) for i in ids}
+
+
 def dirty(docs, items):
     """The documents in which a window of an item occurs."""
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
@@ -114,7 +137,7 @@ def test_each_stage_equals_plain_python(spark):
         return want
 
     was = want
-    near = components({i: rows[i].text for i in was})
+    near = similar({i: rows[i].text for i in was})
     was = step("near_duplicates", {i for i in was if near[i] == i})
     was = step("decontamination", was - dirty({i: rows[i].text for i in was}, items))
     was = step("mixing", draw([(i, rows[i].text, rows[i].lang, rows[i].source) for i in was]))
