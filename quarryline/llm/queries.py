@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exactdedup, htmlmain, langid, mixing, sharding, simhash, sstable, toxicity, warc
+from . import crosstoken, decontam, exactdedup, htmlmain, langid, mixing, packing, sharding, simhash, sstable, toxicity, warc, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align(table(spark, sf_dir, "documents"))[0]
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    ops = (op1_language_mixture, op2_token_shards, op3_exact_dedup, op4_warc, op5_sharding, op6_main_text, op7_simhash, op8_decontamination, op9_mixing, op10_toxicity)
+    ops = (
+        op1_language_mixture, op2_token_shards, op3_exact_dedup, op4_warc, op5_sharding, op6_main_text, op7_simhash, op8_decontamination,
+        op9_mixing, op10_toxicity, op11_packing, op12_cross_tokens, op13_whitening,
+    )
     return {f.__name__: f for f in ops}
 
 
