@@ -30,11 +30,11 @@ from .encoder import byte_characters
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: What is remembered is dropped beyond so many pieces (about 300 bytes each).
-ENTRIES = 700_000
+ENTRIES = 400_000
 #: Longer pieces are aligned anew each time.
 PIECE = 200
 #: A block of documents holds about so many characters of text.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 _META = "▁"
 
 
@@ -73,6 +73,8 @@ class Pair:
             self.a_bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(_META, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_sizes = np.array(list(map(len, self.b_bytes)))
         self.blank = self.b.piece_to_id(_META)
         #: No B token goes on into a blank or holds a line feed; of A that follows from its splitting.
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
@@ -95,9 +97,8 @@ class Pair:
     def joined(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
         return b"".join([self.a_bytes[i] for i in a]), b"".join([self.b_bytes[i] for i in b])
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        size_a, size_b = [len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b]
-        return np.cumsum(size_a, dtype=np.int64), np.cumsum(size_b, dtype=np.int64)
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
 
 
 def _splits_at_blanks(path: str) -> bool:
@@ -138,41 +139,52 @@ class Memory:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.figures = np.zeros((1024, 4), np.int64)  # A tokens, B tokens, groups, links; all -1: the bytes differ
+        self.figures = np.zeros((1024, 4), np.int32)  # A tokens, B tokens, groups, links; all -1: the bytes differ
         self.ends = np.zeros(1024, np.int64)
         self.links = np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def learn(self, keys: list[str]) -> None:
         """Aligns new pieces together: their tokens in a row are one long text."""
-        own = [(a, b) for a, b in self.pair.piece_tokens(list(map(piece_of, keys)))]
-        joined = [self.pair.joined(a, b) for a, b in own]
-        same = [x == y == piece_of(k).encode() for k, (x, y) in zip(keys, joined, strict=True)]
-        good = [x for x, s in zip(own, same, strict=True) if s]
-        a_ids, b_ids = (np.array([i for x in good for i in x[k]], np.int64) for k in (0, 1))
-        a_ends, b_ends = self.pair.ends(a_ids.tolist(), b_ids.tolist())
-        a_at, b_at, a_last, b_last = group_ends(a_ends, b_ends)
-        n_a, n_b = (np.cumsum([len(x[k]) for x in good], dtype=np.int64) for k in (0, 1))
+        pieces = list(map(piece_of, keys))
+        own = list(self.pair.piece_tokens(pieces))
+        a_all, b_all = [i for x, _ in own for i in x], [i for _, y in own for i in y]
+        want = "".join(pieces).encode()
+        fine = np.ones(len(keys), bool)
+        if self.pair.joined(a_all, b_all) != (want, want) or not self._fit(own, pieces):
+            fine = np.array([self.pair.joined(a, b) == ((p := x.encode()), p) for x, (a, b) in zip(pieces, own, strict=True)])
+            own = [x for x, s in zip(own, fine.tolist(), strict=True) if s]
+            a_all, b_all = [i for x, _ in own for i in x], [i for _, y in own for i in y]
+        a_ids, b_ids = np.array(a_all, np.int64), np.array(b_all, np.int64)
+        a_at, b_at, a_last, b_last = group_ends(*self.pair.ends(a_ids, b_ids))
+        n_a, n_b = (np.cumsum([len(x[k]) for x in own], dtype=np.int64) for k in (0, 1))
         link_ends, group_upto = np.searchsorted(a_at, n_a), np.searchsorted(a_last, n_a)
         codes = a_ids[a_at] << 32 | b_ids[b_at]
         self._reserve(len(keys), len(codes))
         base, n = self.used, len(self.groups)
-        figures = np.stack([np.diff(x, prepend=0) for x in (n_a, n_b, group_upto, link_ends)], axis=1)
-        fine = np.array(same, bool)
-        rows = np.full((len(keys), 4), -1, np.int64)
-        rows[fine] = figures
+        rows = np.full((len(keys), 4), -1, np.int32)
+        rows[fine] = np.stack([np.diff(x, prepend=0) for x in (n_a, n_b, group_upto, link_ends)], axis=1)
         self.figures[n : n + len(keys)] = rows
         self.links[base : base + len(codes)] = codes
         self.used += len(codes)
         self.ends[n : n + len(keys)] = base + np.cumsum(np.maximum(rows[:, 3], 0))
-        texts = iter(self._texts(a_ids, b_ids, a_last, b_last, group_upto))
-        for i, (key, s) in enumerate(zip(keys, same, strict=True)):
-            self.number[key] = n + i
-            self.groups.append(next(texts) if s else b"")
+        texts = self._texts(a_all, b_all, a_last, b_last, group_upto)
+        if not fine.all():
+            known = iter(texts)
+            texts = [next(known) if s else b"" for s in fine.tolist()]
+        self.groups += texts
+        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _fit(self, own: list[tuple[list[int], list[int]]], pieces: list[str]) -> bool:
+        """Whether the tokens of each piece have as many bytes as it."""
+        a, b = self.pair.ends(*(np.array([i for x in own for i in x[k]], np.int64) for k in (0, 1)))
+        size = np.cumsum([len(p.encode()) for p in pieces])
+        places = [np.cumsum([len(x[k]) for x in own]) - 1 for k in (0, 1)]
+        return all(min(map(len, (x[k] for x in own))) > 0 for k in (0, 1)) and (a[places[0]] == size).all() and (b[places[1]] == size).all()
 
     @staticmethod
-    def _texts(a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, upto: np.ndarray) -> list[bytes]:
-        a, b = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+    def _texts(a_ids: list[int], b_ids: list[int], a_last: np.ndarray, b_last: np.ndarray, upto: np.ndarray) -> list[bytes]:
+        a, b = list(map(str, a_ids)), list(map(str, b_ids))
         groups, i, j = [], 0, 0
         for x, y in zip(a_last.tolist(), b_last.tolist(), strict=True):
             groups.append(f"{a[i] if x == i else ','.join(a[i : x + 1])}|{b[j] if y == j else ','.join(b[j : y + 1])}")
@@ -188,7 +200,7 @@ class Memory:
 
     def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The links of pieces in a row, and how many each has."""
-        size = np.maximum(self.figures[numbers, 3], 0)
+        size = np.maximum(self.figures[numbers, 3], 0).astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.links[np.repeat(self.ends[numbers] - ends, size) + np.arange(total)], size
@@ -210,41 +222,34 @@ class Aligner:
         want = (" " + text).encode()
         if self.pair.joined(a, b) != (want, want):
             return _EMPTY, np.empty(0, np.int64)
-        a_at, b_at, a_last, b_last = group_ends(*self.pair.ends(a, b))
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_at, b_at, a_last, b_last = group_ends(*self.pair.ends(a_ids, b_ids))
         digest = hashlib.sha256(groups_text(a, b, a_last.tolist(), b_last.tolist()).encode()).hexdigest()
-        return (len(a), len(b), len(a_last), len(a_at), digest), np.array(a, np.int64)[a_at] << 32 | np.array(b, np.int64)[b_at]
-
-    def numbers(self, keys: list[str]) -> list[int]:
-        m = self.memory
-        get = m.number.get
-        found = list(map(get, keys))
-        if None in found:
-            new = list(dict.fromkeys(k for k, n in zip(keys, found, strict=True) if n is None))
-            for i in range(0, len(new), 20_000):
-                m.learn(new[i : i + 20_000])
-            found = list(map(get, keys))
-        return found
-
-    def document(self, text: str | None) -> tuple[tuple[int, int, int, int, str], np.ndarray | None, np.ndarray | None]:
-        """(figures, numbers of the pieces, None), or (figures, None, links) of a text that was aligned whole."""
-        if not text:
-            return _EMPTY, None, np.empty(0, np.int64)
-        if not self.pair.cuts:
-            return *self._whole(text),
-        keys = pieces_of(text)
-        if max(map(len, keys)) > PIECE:
-            return *self._whole(text),
-        numbers = self.numbers(keys)
-        at = np.array(numbers, np.int64)
-        figures = self.memory.figures[at]
-        if (figures[:, 0] < 0).any():
-            return *self._whole(text),
-        digest = hashlib.sha256(b";".join(map(self.memory.groups.__getitem__, numbers))).hexdigest()
-        return (*figures.sum(axis=0).tolist(), digest), at, None
-
-    def _whole(self, text: str) -> tuple[tuple[int, int, int, int, str], None, np.ndarray]:
-        figures, links = self.whole(text)
-        return figures, None, links
+        return (len(a), len(b), len(a_last), len(a_at), digest), a_ids[a_at] << 32 | b_ids[b_at]
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[tuple[int, int, int, int, str], np.ndarray | None, np.ndarray | None]]:
+        """For each text (figures, numbers of its pieces, None), or (figures, None, links) of one that is aligned whole."""
+        keys = [pieces_of(t) if t and self.pair.cuts else None for t in texts]
+        keys = [k if k is not None and max(map(len, k)) <= PIECE else None for k in keys]
+        number = self.memory.number
+        new = list(dict.fromkeys(x for k in keys if k is not None for x in k if x not in number))
+        for i in range(0, len(new), 20_000):
+            self.memory.learn(new[i : i + 20_000])
+        get, groups = number.__getitem__, self.memory.groups.__getitem__
+        for t, k in zip(texts, keys, strict=True):
+            if not t:
+                yield _EMPTY, None, np.empty(0, np.int64)
+                continue
+            if k is not None:
+                numbers = list(map(get, k))
+                at = np.array(numbers, np.int64)
+                figures = self.memory.figures[at]
+                if (figures[:, 0] >= 0).all():
+                    digest = hashlib.sha256(b";".join(map(groups, numbers))).hexdigest()
+                    yield (*figures.sum(axis=0, dtype=np.int64).tolist(), digest), at, None
+                    continue
+            figures, links = self.whole(t)
+            yield figures, None, links
 
 
 class _Block:
@@ -260,7 +265,7 @@ class _Block:
         self.own.append((*np.unique(numbers, return_counts=True), None) if numbers is not None else (None, None, np.unique(links, return_counts=True)))
         self.size += size
 
-    def rows(self, name: int) -> Iterator[dict]:
+    def batches(self, name: int, doc_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         used = [p for p, _, _ in self.own if p is not None]
         numbers = np.unique(np.concatenate(used)) if used else np.empty(0, np.int64)
         times = np.zeros(len(numbers), np.int64)
@@ -273,12 +278,34 @@ class _Block:
         times = np.concatenate([np.repeat(times, size), *[x[1] for x in loose]])
         pairs, at = np.unique(codes, return_inverse=True)
         total = np.bincount(at, times, len(pairs)).astype(np.int64)
-        yield {"block": name, "a": (pairs >> 32).tolist(), "b": (pairs & 0xFFFFFFFF).tolist(), "n": total.tolist(), "piece_links": size.tolist(), "link_pair": at[: len(links)].tolist()}
-        for doc, (p, c, x) in zip(self.docs, self.own, strict=True):
-            if p is not None:
-                yield {"block": name, "doc": doc, "piece": np.searchsorted(numbers, p).tolist(), "times": c.tolist(), "whole": False}
-            else:  # its pairs stand for pieces of one link
-                yield {"block": name, "doc": doc, "piece": np.searchsorted(pairs, x[0]).tolist(), "times": x[1].tolist(), "whole": True}
+        row = {"block": [name], "a": [pairs >> 32], "b": [pairs & 0xFFFFFFFF], "n": [total], "piece_links": [size], "link_pair": [at[: len(links)]]}
+        yield _batch(row, 1, doc_type)
+        for i in range(0, len(self.docs), 500):
+            docs, own = self.docs[i : i + 500], self.own[i : i + 500]
+            row = {c: list(v) for c, v in zip(_DOC_NAMES, zip(*docs, strict=True), strict=True)}
+            row |= {"block": [name] * len(docs), "whole": [p is None for p, _, _ in own]}  # its pairs stand for pieces of one link
+            row["piece"] = [np.searchsorted(numbers, p) if p is not None else np.searchsorted(pairs, x[0]) for p, _, x in own]
+            row["times"] = [c if p is not None else x[1] for p, c, x in own]
+            yield _batch(row, len(docs), doc_type)
+
+
+_DOC_NAMES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+_TYPES = {"block": pa.int64(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32()), "n": pa.list_(pa.int64()), "piece_links": pa.list_(pa.int32()), "link_pair": pa.list_(pa.int32())}
+_TYPES |= {c: pa.int64() for c in _DOC_NAMES[:-1]} | {"groups_sha256": pa.string(), "piece": pa.list_(pa.int32()), "times": pa.list_(pa.int32()), "whole": pa.bool_()}
+
+
+def _batch(columns: dict[str, list], n: int, doc_type: pa.DataType) -> pa.RecordBatch:
+    """n rows with these columns, of which lists are arrays, and nulls in the others."""
+    out = []
+    for name, kind in (_TYPES | {"doc_id": doc_type}).items():
+        if name not in columns:
+            out.append(pa.nulls(n, kind))
+        elif pa.types.is_list(kind):
+            ends = np.r_[0, np.cumsum(list(map(len, columns[name])))].astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[name]).astype(kind.value_type.to_pandas_dtype()))))
+        else:
+            out.append(pa.array(columns[name], kind))
+    return pa.RecordBatch.from_arrays(out, names=list(_TYPES))
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -300,39 +327,27 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK
     small_batches(docs.sparkSession, 500)
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = [x.split()[0] for x in _BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         aligner, task, made = _aligner(a_path, b_path), TaskContext.get().partitionId(), 0
-        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-        held: _Block | None = None
-        own_type: pa.DataType | None = None
-
-        def done(one: _Block, name: int) -> Iterator[pa.RecordBatch]:
-            rows = list(one.rows(name))
-            for i in range(0, len(rows), 200):
-                part = rows[i : i + 200]
-                col = lambda key, t: pa.array([r.get(key) for r in part], t)  # noqa: B023, E731
-                doc = lambda k, t: pa.array([r["doc"][k] if "doc" in r else None for r in part], t)  # noqa: B023, E731
-                cols = [col("block", pa.int64()), col("a", ints), col("b", ints), col("n", longs), col("piece_links", ints), col("link_pair", ints)]
-                cols += [doc(0, own_type), *(doc(k, pa.int64()) for k in range(1, 5)), doc(5, pa.string()), col("piece", ints), col("times", ints), col("whole", pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
+        held = kind = None
         for b in batches:
-            own_type = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if held is None or held.size >= block:
-                    if held is not None:
-                        yield from done(held, task << 32 | made)
-                        made += 1
-                    if len(aligner.memory.groups) > aligner.entries:  # between blocks: a block's numbers stay valid
-                        aligner.memory.clear()
-                    held = _Block(aligner.memory)
-                held.add(doc_id, *aligner.document(text), len(text or ""))
+            kind = b.schema.field(0).type
+            if held is not None and held.size >= block:
+                yield from held.batches(task << 32 | made, kind)
+                made += 1
+                held = None
+            if held is None:
+                if len(aligner.memory.groups) > aligner.entries:  # between blocks: a block's numbers stay valid
+                    aligner.memory.clear()
+                held = _Block(aligner.memory)
+            texts = b.column(1).to_pylist()
+            for doc_id, text, found in zip(b.column(0).to_pylist(), texts, aligner.documents(texts), strict=True):
+                held.add(doc_id, *found, len(text or ""))
         if held is not None:
-            yield from done(held, task << 32 | made)
+            yield from held.batches(task << 32 | made, kind)
 
     return written(rows.mapInArrow(run, _BLOCKS.format(kind=kind)), "aligned-blocks")
 
