@@ -41,7 +41,7 @@ def _by(key: Column, values: dict, otherwise) -> Column:
 
 def kept_lines(lines: Column, kind: Column) -> Column:
     """The lines of an output without blank ones and, by command class, without noise; what names an error stays."""
-    out = F.filter(lines, lambda x: F.trim(x) != "")
+    out = F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
     by = out
     for name in NOISE:
         noise, keep = "|".join(f"(?:{p})" for p in NOISE[name]), "(?i)" + "|".join(dict.fromkeys(k.lower() for k in KEPT[name]))

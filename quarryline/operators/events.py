@@ -27,14 +27,24 @@ def latest(events: DataFrame, keys: list[str], order: list[str], value: str) ->
     return events.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def pair_calls(calls: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
-    """calls (keys, at, and others) with their ends (keys, at, success): done_at, seconds (rounded to 2 digits; null while the
-    call is open) and success. A call's end is the one with its id; of several calls or ends with the same id the last."""
-    last = lambda df, cols: df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("at")).alias("r")).select(*keys, "r.*")
-    own = last(calls, [c for c in calls.columns if c not in keys])
-    done = last(ends, ["at", "success"]).withColumnRenamed("at", "done_at")
+def pair_calls(calls: DataFrame, ends: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """calls (keys, at, order, and others) with their ends (keys, at, order, success): done_at, seconds (rounded to 2 digits;
+    null while the call is open) and success, a row for each call.
+
+    An end closes the latest call with its id before it that is still open. So a call's end is what follows it among the
+    calls and ends of its id; one that another call follows stays open, and an end without an open call counts for none.
+    At the same time, and with equal order columns, a call comes first. No call is ever joined to other calls' ends: the
+    two are read in a row, in time, and only the one row ahead is looked at.
+    """
+    others = [c for c in calls.columns if c not in (*keys, "at", *order)]
+    place = [*[F.col(c) for c in keys], F.col("at"), *[F.col(c) for c in order]]
+    own = calls.select(*place, F.lit(0).alias("_kind"), F.struct(F.lit(0).alias("_"), *others).alias("_own"), F.lit(None).cast("boolean").alias("_success"))
+    done = ends.select(*place, F.lit(1).alias("_kind"), F.lit(None).cast(own.schema["_own"].dataType).alias("_own"), F.col("success").alias("_success"))
+    w = Window.partitionBy(*keys).orderBy("at", *order, "_kind")
+    closed = F.lead("_kind").over(w) == 1
+    both = own.unionByName(done).withColumns({"done_at": F.when(closed, F.lead("at").over(w)), "success": F.when(closed, F.lead("_success").over(w))})
     took = F.floor((epoch_ms(F.col("done_at")) - epoch_ms(F.col("at")) + 5) / 10) / 100
-    return own.join(done, keys, "left").withColumn("seconds", took)
+    return both.where("_kind = 0").select(*place, *[f"_own.{c}" for c in others], "done_at", "success").withColumn("seconds", took)
 
 
 def open_calls(paired: DataFrame) -> DataFrame:

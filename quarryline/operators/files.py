@@ -20,17 +20,22 @@ def _holding(files: DataFrame, text: str, hit: str) -> DataFrame:
     return files.where(F.exists(lines(F.col(text)), lambda x: x.rlike(hit)))
 
 
+def stripped(line: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
 def grep(files: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """Lines that match, whatever the case. Files without a match yield no lines."""
     hit = "(?i)" + pattern
-    return numbered(_holding(files, text, hit), key, text).where(F.col("content").rlike(hit)).withColumn("content", F.trim("content"))
+    return numbered(_holding(files, text, hit), key, text).where(F.col("content").rlike(hit)).withColumn("content", stripped(F.col("content")))
 
 
 def matches(text: Column, pattern: str, around: int = 2) -> Column:
     """The lines that match as array of struct(line, content, context): context has the lines around, joined by line breaks."""
     hit, own = "(?i)" + pattern, lines(text)
     near = lambda i: F.array_join(F.slice(own, F.greatest(i + 1 - around, F.lit(1)), F.least(i, F.lit(around)) + around + 1), "\n")
-    found = F.transform(own, lambda x, i: F.when(x.rlike(hit), F.struct((i + 1).alias("line"), F.trim(x).alias("content"), near(i).alias("context"))))
+    found = F.transform(own, lambda x, i: F.when(x.rlike(hit), F.struct((i + 1).alias("line"), stripped(x).alias("content"), near(i).alias("context"))))
     return F.filter(found, lambda x: x.isNotNull())
 
 

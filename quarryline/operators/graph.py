@@ -23,16 +23,15 @@ def with_inverse(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
 def resolve(calls: DataFrame, symbols: DataFrame, ordered: bool = True) -> DataFrame:
     """calls (src, file, seq, name) to symbols (id, file, seq, name): candidates of the same file if any, else all.
 
-    ordered: only symbols inserted by then count, as an incremental build would see them.
+    ordered: only symbols inserted by then count, as an incremental build would see them; seq may be any type that has an
+    order. A call meets its own file's symbols first, under file and name; only what is left meets the other files'.
     """
     s = symbols.select(F.col("id").alias("dst"), F.col("file").alias("dst_file"), F.col("seq").alias("dst_seq"), "name")
-    hit = calls.join(s, "name")
-    if ordered:
-        hit = hit.where("dst_seq <= seq")
-    # Partial maxima by call instead of a window: a common name's candidates don't meet in one task.
-    hit = hit.withColumn("same", (F.col("file") == F.col("dst_file")).cast("int"))
-    best = hit.groupBy("src", "name").agg(F.max("same").alias("best"))
-    return hit.join(best, ["src", "name"]).where("same = best").select("src", "dst", F.lit("calls").alias("edge_type")).distinct()
+    by_then = F.col("dst_seq") <= F.col("seq") if ordered else F.lit(True)
+    near = calls.join(s, (calls["file"] == s["dst_file"]) & (calls["name"] == s["name"]) & by_then).select("src", calls["name"], "dst")
+    left = calls.join(near.select("src", "name").distinct(), ["src", "name"], "left_anti")
+    far = left.join(s, "name").where(by_then).select("src", "name", "dst")
+    return near.unionByName(far).select("src", "dst", F.lit("calls").alias("edge_type")).distinct()
 
 
 def nodes(chunks: DataFrame) -> DataFrame:
@@ -41,28 +40,34 @@ def nodes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("id").agg(last.alias("n")).select("id", "n.*")
 
 
-def edges(chunks: DataFrame) -> DataFrame:
-    """(src, dst, edge_type) of chunks (id, file, type, name, parent, calls, imports), both ways.
+def edges(chunks: DataFrame, ordered: bool = False) -> DataFrame:
+    """(src, dst, edge_type) of chunks (id, file, type, name, parent, calls, imports, line_start), both ways.
 
     A call goes to the symbols that have its name, those of its own file if there are any; so do a class's bases
     (inherits) and the objects that SQL statements refer to (references). A member is defined by its parent. A module's
     imports are kept under the names that they import.
-    """
-    own = chunks.select("id", "file", "type", "name", "parent", "calls", "imports")
-    symbols = own.select("id", "file", "name", F.lit(0).alias("seq")).distinct()
 
-    def named(names: Column, kind: str) -> DataFrame:
-        wanted = own.select(F.col("id").alias("src"), "file", F.lit(0).alias("seq"), F.explode(names).alias("name")).distinct()
-        return resolve(wanted, symbols, ordered=False).withColumn("edge_type", F.lit(kind))
+    ordered: as if the chunks were inserted one by one, file by file and by line: a name means only symbols inserted by
+    then, the chunk itself included, and a parent has a member only if it came before it. Otherwise all chunks count.
 
+    The three relations by name are resolved in one pass: what is wanted differs in a label only.
+    """
+    own = chunks.select("id", "file", "type", "name", "parent", "calls", "imports", F.struct("file", "line_start", "id").alias("seq"))
+    symbols = own.groupBy("id", "file", "name").agg(F.min("seq").alias("seq"))
     none = F.array().cast("array<string>")
-    out = named(F.col("calls"), "calls")
-    out = out.unionByName(named(F.when(F.col("type") == "class", F.col("imports")).otherwise(none), "inherits"))
-    out = out.unionByName(named(F.when(F.col("type").isin(*REFERRING), F.col("imports")).otherwise(none), "references"))
-    member = own.where("parent is not null").select(F.concat("file", F.lit(":"), "parent").alias("src"), F.col("id").alias("dst"), F.lit("defines").alias("edge_type"))
-    out = out.unionByName(member.join(symbols.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
+    wanted = lambda kind, names: F.transform(F.coalesce(names, none), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    of_type = lambda types: F.when(F.col("type").isin(*types), F.col("imports"))
+    asked = F.concat(wanted("calls", F.col("calls")), wanted("inherits", of_type(("class",))), wanted("references", of_type(REFERRING)))
+    each = own.select(F.col("id").alias("src"), "file", "seq", F.explode(asked).alias("w")).select("src", "file", "seq", "w.name", "w.kind")
+    once = each.groupBy("src", "file", "name").agg(F.max("seq").alias("seq"), F.collect_set("kind").alias("kinds"))
+    found = resolve(once.drop("kinds"), symbols, ordered)
+    names = symbols.select(F.col("id").alias("dst"), "name")
+    out = found.select("src", "dst").join(names, "dst").join(once.select("src", "name", "kinds"), ["src", "name"]).select("src", "dst", F.explode("kinds").alias("edge_type"))
+    member = own.where("parent is not null").select(F.concat("file", F.lit(":"), "parent").alias("src"), F.col("id").alias("dst"), "seq")
+    parents = symbols.select(F.col("id").alias("src"), F.col("seq").alias("own_seq"))
+    defines = member.join(parents, "src").where(F.col("own_seq") <= F.col("seq") if ordered else F.lit(True)).select("src", "dst", F.lit("defines").alias("edge_type"))
     modules = own.where("type = 'module'").select(F.col("id").alias("src"), F.explode("imports").alias("dst"), F.lit("imports").alias("edge_type"))
-    return with_inverse(out, INVERSE).unionByName(modules.distinct())
+    return with_inverse(out.unionByName(defines).distinct(), INVERSE).unionByName(modules.distinct())
 
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int, edge_types: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, tokens
@@ -27,10 +27,18 @@ def corpus(docs: DataFrame, posted: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("n", (F.col("tokens") / F.nullif("n", F.lit(0))).alias("avgdl"))  # one row each
 
 
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
 def idf(posted: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, df, idf): negative values become EPSILON times the mean over all terms, taken before."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(totals.select("n")))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return idf_of(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+
+
+def idf_of(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """As idf, from the number of documents of each term (term, df)."""
+    raw = counts.select("term", "df").join(F.broadcast(totals.select("n"))).withColumn("raw", raw_idf(F.col("n"), F.col("df")))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
@@ -50,10 +58,15 @@ def scored(posted: DataFrame, totals: DataFrame, weights: DataFrame, terms: Data
 
 
 def scores(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str) -> DataFrame:
-    """(query, key, score) over 0 without an index: postings are written once and read for frequencies and scores."""
-    posted = written(postings(docs, key, text), "postings")
-    totals = written(corpus(docs, posted), "totals")
-    return scored(posted, totals, idf(posted, totals), query_terms(queries, query_key, query_text), key)
+    """(query, key, score) over 0 without an index. Texts are split once; from their terms come the frequencies of all
+    terms, and postings of the asked ones only."""
+    split = written(docs.select(key, tokens(F.col(text)).alias("t")), "terms")
+    totals = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+    counts = written(split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-counts")
+    terms = written(query_terms(queries, query_key, query_text), "query-terms")
+    each = split.select(key, F.explode("t").alias("term"), F.size("t").alias("dl")).join(terms.select("term").distinct(), "term", "left_semi")
+    posted = each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return scored(posted, totals, idf_of(counts, totals), terms, key)
 
 
 def top(scored: DataFrame, key: str, k: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import graph as G
 from . import knowledge as K
 from . import ranking as R
+from . import store
 
 #: What a search tool allows at most.
 TOOL_HOPS, TOOL_CHUNKS = 2, 20
@@ -58,14 +59,16 @@ def exact_hits(hits: DataFrame, queries: DataFrame, best: int = 5, fallback: int
     return own.withColumn("exact", exact).withColumn("found", found).where(F.when(F.col("found"), F.col("exact")).otherwise(F.col("rank") <= fallback)).drop("exact", "found", "wanted")
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query, id, rank, score): the best k chunks (id, content) of each of queries (query, text)."""
-    return R.top(R.scores(chunks, queries, "id", "content", "query", "text"), "id", k).select("query", "id", "rank", "score")
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10, index: str | None = None) -> DataFrame:
+    """(query, id, rank, score): the best k chunks (id, content) of each of queries (query, text). With the root of a stored
+    index its postings are read, of the asked terms only, instead of the chunks' texts."""
+    found = R.scores(chunks, queries, "id", "content", "query", "text") if index is None else store.scores(queries.sparkSession, index, queries)
+    return R.top(found, "id", k).select("query", "id", "rank", "score")
 
 
-def retrieve_symbol(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1) -> DataFrame:
+def retrieve_symbol(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1, index: str | None = None) -> DataFrame:
     """As :func:`retrieve`, of the best five chunks those that are named as the query says, or the first three; all around."""
-    hits = search(chunks, queries, 5).join(chunks.select("id", "name"), "id")
+    hits = search(chunks, queries, 5, index).join(chunks.select("id", "name"), "id")
     return retrieve(exact_hits(hits, queries).select("query", "id", "rank"), edges, nodes, hops, None)
 
 
@@ -76,9 +79,9 @@ def retrieve_for_file(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, fil
     return retrieve(own.withColumn("query", F.lit(file)).withColumn("rank", place).select("query", "id", "rank"), edges, nodes, hops, None)
 
 
-def search_code(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1, k: int = 10) -> DataFrame:
+def search_code(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1, k: int = 10, index: str | None = None) -> DataFrame:
     """The search tool: :func:`retrieve` of the best k chunks, with hops and k cut to what the tool allows."""
-    return retrieve(search(chunks, queries, min(k, TOOL_CHUNKS)).select("query", "id", "rank"), edges, nodes, min(hops, TOOL_HOPS))
+    return retrieve(search(chunks, queries, min(k, TOOL_CHUNKS), index).select("query", "id", "rank"), edges, nodes, min(hops, TOOL_HOPS))
 
 
 def knowledge(docs: DataFrame, query: str, limit: int = 3, max_chars: int = 2000) -> DataFrame:

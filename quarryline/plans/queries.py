@@ -21,7 +21,9 @@ from ..operators import graph as G
 from ..operators import index as I
 from ..operators import knowledge as K
 from ..operators import ranking as R
-from ..operators.shared import written
+from ..operators import retrieve as RT
+from ..operators import store
+from ..operators.shared import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,7 +72,9 @@ raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0
 idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, (SELECT avg(r) AS mean FROM raw))"""
 
 
-@query(f"WITH {_P} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"""WITH c AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({DT})) AS term FROM documents) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS r FROM c)
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS idf FROM raw""")
 def idf_table(spark, sf):
     d = t(spark, sf, "documents")
     posted = written(R.postings(d, "doc_id", "text"), "postings")
@@ -121,7 +125,7 @@ def keywords(spark, sf):
 _LINES = "(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents)"
 
 
-@query(f"SELECT doc_id, line, trim(content) AS content FROM {_LINES} WHERE regexp_matches(content, '(?i)licen[sc]e')")
+@query(f"SELECT doc_id, line, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content FROM {_LINES} WHERE regexp_matches(content, '(?i)licen[sc]e')")
 def grep_lines(spark, sf):
     return FI.grep(t(spark, sf, "documents"), "doc_id", "text", "licen[sc]e")
 
@@ -291,6 +295,31 @@ def remove_node_prefix(spark, sf):
     return G.remove_prefix(_edges(spark, sf), "supplier:")
 
 
+# Names: a document is a symbol of its source named by its first word, and calls its second; they are inserted by doc_id
+
+_W = "string_split(coalesce(text, ''), ' ')"
+_NAMES = f"s AS (SELECT doc_id, source, {_W}[1] AS name, {_W}[2] AS called FROM documents)"
+_RESOLVED = """WITH @NAMES@, h AS (SELECT c.doc_id AS src, s.doc_id AS dst, s.source IS NOT DISTINCT FROM c.source AS own FROM s c JOIN s ON s.name = c.called @BY@),
+k AS (SELECT *, bool_or(own) OVER (PARTITION BY src) AS has FROM h) SELECT src, dst FROM k WHERE own OR NOT has""".replace("@NAMES@", _NAMES)
+
+
+def _resolved(spark, sf, ordered):
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("doc_id").alias("seq"), F.get(words, F.lit(0)).alias("name"), F.get(words, F.lit(1)).alias("called"))
+    calls = d.select(F.col("id").alias("src"), "file", "seq", F.col("called").alias("name")).where("name is not null")
+    return G.resolve(calls, d.select("id", "file", "seq", "name"), ordered).select("src", "dst")
+
+
+@query(_RESOLVED.replace("@BY@", "AND s.doc_id <= c.doc_id"))
+def names_in_order(spark, sf):
+    return _resolved(spark, sf, True)
+
+
+@query(_RESOLVED.replace("@BY@", ""))
+def names_of_all(spark, sf):
+    return _resolved(spark, sf, False)
+
+
 # Index maintenance: labelled documents were indexed, those of poor quality with another text, and so were the pages,
 # which are gone
 
@@ -324,6 +353,34 @@ def merge_chunks(spark, sf):
     return I.merge(old, now.join(ch.where("change <> 'deleted'"), "path", "left_semi"), ch.where("change = 'deleted'"), "path")
 
 
+# A stored index of documents as text files, built from the labelled ones and updated to all; files over 100 KB have no chunk
+
+_CUT = "CASE WHEN len(string_split(text, chr(10))) > 200 THEN array_to_string(string_split(text, chr(10))[1:200], chr(10)) || chr(10) || '... (truncated)' ELSE text END"
+_KEPT = f"(SELECT doc_id, {_CUT} AS text FROM documents WHERE strlen(text) <= 102400)"
+
+
+def _stored(spark, sf):
+    root = shared_path(spark, "stored-index")
+    files = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    labels = t(spark, sf, "labels").select("doc_id", "quality")
+    old = files.join(labels, "doc_id").select("path", F.when(F.col("quality") == 1, F.col("content")).otherwise("an older text").alias("content"))
+    gone = t(spark, sf, "pages").select(F.concat(F.lit("p/"), "page_id", F.lit(".txt")).alias("path"), F.col("url").alias("content"))
+    store.build(old.unionByName(gone), root)
+    store.update(files.select("path", "content"), root)
+    return root
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({DT})) AS term FROM {_KEPT}) GROUP BY term")
+def stored_terms(spark, sf):
+    return store.term_counts(spark, _stored(spark, sf))[0]
+
+
+@query(_BM25.replace("@WHERE@", "").replace("FROM documents)", f"FROM {_KEPT})").replace("SELECT query, doc_id, score, rank", "SELECT query, 'd/' || doc_id || '.txt:module' AS id, score, rank").replace("ORDER BY score DESC, doc_id)", "ORDER BY score DESC, 'd/' || doc_id || '.txt:module')"))
+def stored_search(spark, sf):
+    queries = t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return RT.search(queries, queries, index=_stored(spark, sf)).select("query", "id", "score", "rank")
+
+
 # Events
 
 _O = ["ts", "event_id"]
@@ -355,28 +412,30 @@ def milestone_latest(spark, sf):
     return E.latest(t(spark, sf, "events"), ["user_id", "event_type"], _O, "event_id")
 
 
-# A call is a click, its id the user and the number in props; a purchase or an error with that id ends it
+# A call is a click, its id the user and the number in props; a purchase or an error with that id ends it. The SQL follows the
+# rule: each end looks for the latest call before it, and of the ends that look for one call the first has it.
 
-_PAIR = """WITH e AS (SELECT user_id, props ->> '$.k' AS call_id, event_type, ts, epoch_us(ts) // 1000 AS ms FROM events),
-a AS (SELECT user_id, call_id, max(ms) AS called_ms FROM e WHERE event_type = 'click' GROUP BY ALL),
-b AS (SELECT user_id, call_id, max(ms) AS done_ms, arg_max(event_type, (ts, event_type)) = 'purchase' AS success FROM e WHERE event_type IN ('error', 'purchase') GROUP BY ALL)
-SELECT user_id, call_id, called_ms, done_ms, floor((done_ms - called_ms + 5) / 10.0) / 100.0 AS seconds, success FROM a LEFT JOIN b USING (user_id, call_id)"""
+_PAIR = """WITH e AS (SELECT user_id, props ->> '$.k' AS call_id, event_id, event_type, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY ts, event_id) AS o FROM events),
+a AS (SELECT * FROM e WHERE event_type = 'click'), b AS (SELECT * FROM e WHERE event_type IN ('error', 'purchase')),
+m AS (SELECT a.event_id, b.ms AS done_ms, b.event_type = 'purchase' AS success, b.o FROM b ASOF JOIN a ON b.user_id = a.user_id AND b.call_id = a.call_id AND b.o >= a.o),
+f AS (SELECT event_id, min(done_ms) AS done_ms, arg_min(success, o) AS success FROM m GROUP BY event_id)
+SELECT event_id, user_id, call_id, ms AS called_ms, done_ms, floor((done_ms - ms + 5) / 10.0) / 100.0 AS seconds, success FROM a LEFT JOIN f USING (event_id)"""
 
 
 def _pairs(spark, sf):
-    e = t(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").alias("call_id"), "event_type", "ts")
-    ends = e.where("event_type in ('error', 'purchase')").groupBy("user_id", "call_id").agg(F.max("ts").alias("at"), F.max_by(F.col("event_type") == "purchase", F.struct("ts", "event_type")).alias("success"))
-    return E.pair_calls(e.where("event_type = 'click'").select("user_id", "call_id", F.col("ts").alias("at")), ends, ["user_id", "call_id"])
+    e = t(spark, sf, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("call_id"), "event_type", F.col("ts").alias("at"))
+    ends = e.where("event_type in ('error', 'purchase')").withColumn("success", F.col("event_type") == "purchase")
+    return E.pair_calls(e.where("event_type = 'click'").drop("event_type"), ends, ["user_id", "call_id"], ("event_id",))
 
 
 @query(_PAIR)
 def call_pairing(spark, sf):
-    return _pairs(spark, sf).select("user_id", "call_id", D.epoch_ms(F.col("at")).alias("called_ms"), D.epoch_ms(F.col("done_at")).alias("done_ms"), "seconds", "success")
+    return _pairs(spark, sf).select("event_id", "user_id", "call_id", D.epoch_ms(F.col("at")).alias("called_ms"), D.epoch_ms(F.col("done_at")).alias("done_ms"), "seconds", "success")
 
 
-@query(f"SELECT user_id, call_id, called_ms FROM ({_PAIR}) WHERE done_ms IS NULL")
+@query(f"SELECT event_id, user_id, call_id, called_ms FROM ({_PAIR}) WHERE done_ms IS NULL")
 def open_calls(spark, sf):
-    return E.open_calls(_pairs(spark, sf)).select("user_id", "call_id", D.epoch_ms(F.col("at")).alias("called_ms"))
+    return E.open_calls(_pairs(spark, sf)).select("event_id", "user_id", "call_id", D.epoch_ms(F.col("at")).alias("called_ms"))
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY seen_at) AS seen FROM (SELECT user_id, event_type, min((ts, event_id)) AS seen_at FROM events GROUP BY ALL) GROUP BY user_id")
@@ -421,7 +480,7 @@ def _output_sql() -> str:
     last = f"lim - strpos(reverse({head}), chr(10))"
     return f"""WITH d AS (SELECT doc_id, {_KIND} AS kind, doc_id % 2 = 0 AS ok, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS x FROM documents),
 l AS (SELECT *, CASE WHEN x = '' THEN [] ELSE string_split(CASE WHEN suffix(x, chr(10)) THEN left(x, length(x) - 1) ELSE x END, chr(10)) END AS l FROM d),
-k AS (SELECT *, list_filter(l, lambda l: trim(l, ' ') <> '' AND CASE kind {by} ELSE true END) AS k FROM l), j AS (SELECT *, array_to_string(k, chr(10)) AS j, {limit} AS lim FROM k)
+k AS (SELECT *, list_filter(l, lambda l: regexp_matches(l, '\\S') AND CASE kind {by} ELSE true END) AS k FROM l), j AS (SELECT *, array_to_string(k, chr(10)) AS j, {limit} AS lim FROM k)
 SELECT doc_id, CASE WHEN length(j) <= lim THEN j ELSE (CASE WHEN contains({head}, chr(10)) AND {last} > lim * 0.8 THEN substr(j, 1, {last}) ELSE {head} END) || chr(10) || '... (truncated)' END AS output,
 kind AS command_type, len(l) AS original_lines, len(k) AS filtered_lines, length(j) > lim AS truncated, lim AS limit_applied FROM j"""
 
@@ -465,7 +524,7 @@ def replace_all(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("the"), F.lit("THE")).alias("content"), T.occurrences(F.col("text"), "the").alias("n"))
 
 
-@query(f"SELECT doc_id, line, substr(trim(content), 1, 200) AS content FROM {_LINES} WHERE regexp_matches(content, '(?i)^the .*[.]$')")
+@query(f"SELECT doc_id, line, substr(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), 1, 200) AS content FROM {_LINES} WHERE regexp_matches(content, '(?i)^the .*[.]$')")
 def grep_anchored(spark, sf):
     return FI.grep(t(spark, sf, "documents"), "doc_id", "text", "^the .*[.]$").select("doc_id", "line", F.substring("content", 1, 200).alias("content"))
 
