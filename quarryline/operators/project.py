@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.text import KEYWORD_STOP_WORDS, lines
+from .diffs import unified_diff as unified_diff
 
 MAX_READ = 100 * 1024
 
@@ -179,18 +177,6 @@ def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     return done.select("path", F.col("r.text").alias("content"), "r.applied", "r.failed")
 
 
-def unified_diff(pairs: DataFrame) -> DataFrame:
-    """pairs (path, old, new) to (path, diff); null counts as empty."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = zip(b["path"], b["old"].fillna(""), b["new"].fillna(""), strict=True)
-            out = [(p, "".join(difflib.unified_diff(o.splitlines(True), n.splitlines(True), f"a/{p}", f"b/{p}"))) for p, o, n in rows]
-            yield pd.DataFrame(out, columns=["path", "diff"])
-
-    return pairs.select("path", "old", "new").mapInPandas(run, "path string, diff string")
-
-
 def tree_rows(files: DataFrame, per_dir: int = 30, depth: int = 4) -> DataFrame:
     """(parent, name, is_dir, position): entries of each directory, directories first, then by lower-case name."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
@@ -198,3 +184,62 @@ def tree_rows(files: DataFrame, per_dir: int = 30, depth: int = 4) -> DataFrame:
     entry = each.select(F.expr("array_join(slice(p, 1, d - 1), '/')").alias("parent"), F.expr("p[d - 1]").alias("name"), F.expr("d < size(p)").alias("is_dir")).distinct()
     w = Window.partitionBy("parent").orderBy(F.desc("is_dir"), F.lower("name"), "name")
     return entry.withColumn("position", F.row_number().over(w)).where(F.col("position") <= per_dir)
+
+
+# Parts of a path that a skeleton leaves out, and ends of names.
+SKELETON_PARTS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", "target", ".pytest_cache", ".mypy_cache", ".DS_Store")
+SKELETON_ENDS = (".pyc", ".pyo")
+SKELETON_LINES = 200
+
+
+def _in_skeleton(path: Column) -> Column:
+    out = F.lit(True)
+    for x in SKELETON_PARTS:
+        out = out & ~path.contains(x)
+    for x in SKELETON_ENDS:
+        out = out & ~path.endswith(x)
+    return out
+
+
+def skeleton_tree(files: DataFrame, root: str = "project", per_dir: int = 30, depth: int = 4, most: int = SKELETON_LINES) -> DataFrame:
+    """(position, line): the drawn tree of files (path), depth first, directories first and then by lower-case name, with the
+    first per_dir entries of a directory and ``most`` lines in all, the root's included.
+
+    An entry's place is the list of its ancestors' places, itself last; lists are compared from the left, so sorting by
+    them is the walk. An entry's line needs to know of each ancestor whether it is the last of its directory, so entries
+    meet their at most depth + 1 ancestors by path.
+    """
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    each = files.where(_in_skeleton(F.col("path"))).select(parts.alias("p")).where("size(p) > 0")
+    each = each.select("p", F.explode(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(depth + 1)))).alias("d"))
+    own = each.select(F.expr("array_join(slice(p, 1, d), '/')").alias("own"), F.expr("array_join(slice(p, 1, d - 1), '/')").alias("parent"), F.expr("p[d - 1]").alias("name"), F.expr("d < size(p)").alias("is_dir"), F.expr("slice(p, 1, d)").alias("p"))
+    own = own.groupBy("own", "parent", "name", "p").agg(F.max("is_dir").alias("is_dir"))
+    w = Window.partitionBy("parent")
+    place = F.row_number().over(w.orderBy(F.desc("is_dir"), F.lower("name"), "name"))
+    entries = own.withColumn("place", place).withColumn("last", F.col("place") == F.count(F.lit(1)).over(w)).where(F.col("place") <= per_dir)
+    above = entries.select("own", "name", "is_dir", F.size("p").alias("d"), F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", F.lit(1), i), "/"))).alias("up"))
+    known = entries.select(F.col("own").alias("up"), F.size("p").alias("level"), "place", "last")
+    met = above.join(known, "up").groupBy("own", "name", "is_dir", "d").agg(F.array_sort(F.collect_list(F.struct("level", "place", "last"))).alias("ups"))
+    shown = met.where(F.size("ups") == F.col("d")).withColumn("walk", F.transform("ups", lambda x: x["place"])).orderBy("walk").limit(most - 1)
+    bars = F.array_join(F.transform(F.slice("ups", F.lit(1), F.size("ups") - 1), lambda x: F.when(x["last"], "    ").otherwise("│   ")), "")
+    line = F.concat(bars, F.when(F.element_at("ups", -1)["last"], "└── ").otherwise("├── "), "name", F.when(F.col("is_dir"), "/").otherwise(""))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("walk"))  # of `most` rows at most
+    top = files.sparkSession.range(1).select(F.lit(0).alias("position"), F.lit(f"{root}/").alias("line"))
+    return top.unionByName(shown.select(number.alias("position"), line.alias("line")))
+
+
+def skeleton(files: DataFrame, symbols: DataFrame, root: str = "project", depth: int = 4) -> DataFrame:
+    """(kind, position, path, text): the parts of a project's outline, from files (path, content) and symbols (path, name, kind,
+    line, signature): 'tree' lines, the first 100 'symbol' rows of the 500 first by path and line, the imports of the
+    first 50 files that have any as 'dependency', and 'total' rows for files and lines."""
+    own = files.where(_in_skeleton(F.col("path")))
+    tree = skeleton_tree(files, root, depth=depth).select(F.lit("tree").alias("kind"), "position", F.lit(None).cast("string").alias("path"), F.col("line").alias("text"))
+    seen = symbols.where(_in_skeleton(F.col("path"))).orderBy("path", "line", "name").limit(100)
+    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path", "line", "name"))  # of 100 rows
+    named = seen.select(F.lit("symbol").alias("kind"), at.alias("position"), "path", F.concat(F.col("kind"), F.lit(" "), "name", F.coalesce("signature", F.lit("")), F.lit(":"), "line").alias("text"))
+    used = import_lines(own.where(F.col("path").endswith(".py") & F.col("content").isNotNull()))
+    used = used.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("text")).orderBy("path").limit(50)  # 20 lines of a file at most
+    needs = used.select(F.lit("dependency").alias("kind"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")).alias("position"), "path", "text")  # of 50 rows
+    sums = own.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.when(F.col("content").isNotNull(), F.size(F.split("content", "\n")))), F.lit(0)).alias("lines"))
+    totals = sums.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("path"), F.col(c).cast("string").alias("text")) for i, c in enumerate(("files", "lines"))])).alias("t")).select(F.lit("total").alias("kind"), "t.*")
+    return tree.unionByName(named).unionByName(needs).unionByName(totals)

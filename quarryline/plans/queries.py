@@ -20,10 +20,12 @@ from ..operators import files as FI
 from ..operators import graph as G
 from ..operators import index as I
 from ..operators import knowledge as K
+from ..operators import project as PJ
 from ..operators import ranking as R
 from ..operators import retrieve as RT
 from ..operators import store
 from ..operators.shared import shared_path, written
+from ..sources import markdown as MD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -462,11 +464,13 @@ def resume_context(spark, sf):
 # Output and edits
 
 
-@query("""WITH c AS (SELECT unnest(['pip install x', 'python -m pytest', 'pytest -q', 'tsc -p x', 'ls']) AS command)
-SELECT command, CASE WHEN command LIKE '%pip install%' THEN 'install' WHEN command LIKE '%python %' THEN 'run' WHEN command LIKE '%pytest%' THEN 'test' WHEN command LIKE '%tsc%' THEN 'build' ELSE 'default' END AS class FROM c""")
+_SAID = "CASE event_type WHEN 'click' THEN 'pip install x' WHEN 'view' THEN 'python -m pytest' WHEN 'signup' THEN 'pytest -q' WHEN 'purchase' THEN 'tsc -p x' ELSE 'ls' END || ' ' || user_id"
+
+
+@query(f"""WITH c AS (SELECT event_id, {_SAID} AS command FROM events)
+SELECT event_id, CASE WHEN command LIKE '%pip install%' THEN 'install' WHEN command LIKE '%python %' THEN 'run' WHEN command LIKE '%pytest%' THEN 'test' WHEN command LIKE '%tsc%' THEN 'build' ELSE 'default' END AS class FROM c""")
 def command_class(spark, sf):
-    c = spark.createDataFrame([(x,) for x in ("pip install x", "python -m pytest", "pytest -q", "tsc -p x", "ls")], "command string")
-    return c.select("command", T.command_class(F.col("command")).alias("class"))
+    return t(spark, sf, "events").select("event_id", T.command_class(F.expr(_SAID)).alias("class"))
 
 
 _COMMANDS = {"en": "pip install x", "de": "python -m x", "fr": "pytest -q", "es": "tsc -p x"}
@@ -560,3 +564,30 @@ def section_ids(spark, sf):
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     n = FI.numbered(t(spark, sf, "documents"), "doc_id", "text")
     return n.select("doc_id", "line", F.sum(F.col("content").rlike("[.]$").cast("int")).over(w).alias("section"))
+
+
+# Markdown: a line that begins with a capital D or T is a heading, one with an E or L a fence
+
+_MD = "regexp_replace(regexp_replace(coalesce(text, ''), '(^|\\n)([DT])', '\\1## \\2', 'g'), '(^|\\n)([EL])', '\\1```\\2', 'g')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split({_MD}, chr(10))) AS x, generate_subscripts(string_split({_MD}, chr(10)), 1) AS n, len(string_split({_MD}, chr(10))) AS total FROM documents),
+f AS (SELECT *, starts_with(x, '```') AS fence, coalesce(sum(CASE WHEN starts_with(x, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l),
+h AS (SELECT *, NOT fence AND NOT inside AND regexp_matches(x, '^#{{1,6}}[ \t]+.') AS head FROM f),
+s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS part FROM h)
+SELECT doc_id, CAST(min(n) AS INT) AS start_line, CAST(CASE WHEN part = max(any_value(part)) OVER (PARTITION BY doc_id) THEN any_value(total) ELSE max(n) END AS INT) AS end_line,
+ trim(regexp_replace(arg_min(x, n), '^#+', '')) AS heading, CAST(count(*) FILTER (fence AND inside) AS INT) AS blocks FROM s WHERE part > 0 GROUP BY doc_id, part""")
+def markdown_sections(spark, sf):
+    made = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(^|\n)([DT])", "$1## $2"), r"(^|\n)([EL])", "$1```$2")
+    each = t(spark, sf, "documents").select("doc_id", F.explode(MD.section_list(made)).alias("s"))
+    return each.select("doc_id", "s.start_line", "s.end_line", "s.heading", F.size("s.code_blocks").alias("blocks"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {_PARTS} AS p FROM pages WHERE len({_PARTS}) > 0), e AS (SELECT p[1:d] AS p, bool_or(d < len(p)) AS is_dir FROM (SELECT p, unnest(range(1, least(len(p), 5) + 1)) AS d FROM p) GROUP BY p[1:d]),
+r AS (SELECT *, row_number() OVER (PARTITION BY p[1:len(p) - 1] ORDER BY is_dir DESC, lower(p[len(p)]), p[len(p)]) AS place, count(*) OVER (PARTITION BY p[1:len(p) - 1]) AS n FROM e),
+k AS (SELECT * FROM r WHERE place <= 30), a AS (SELECT k.p, k.is_dir, list(u.place ORDER BY len(u.p)) AS walk, list(u.place = u.n ORDER BY len(u.p)) AS ends FROM k JOIN k u ON k.p[1:len(u.p)] = u.p AND len(u.p) <= len(k.p) GROUP BY ALL HAVING count(*) = len(k.p)),
+o AS (SELECT *, row_number() OVER (ORDER BY walk) AS position FROM a)
+SELECT 0 AS position, 'site/' AS line UNION ALL SELECT CAST(position AS INT), array_to_string(list_transform(ends[1:len(ends) - 1], lambda x: CASE WHEN x THEN '    ' ELSE '│   ' END), '') || CASE WHEN ends[len(ends)] THEN '└── ' ELSE '├── ' END || p[len(p)] || CASE WHEN is_dir THEN '/' ELSE '' END
+FROM o WHERE position < 200""")
+def drawn_tree(spark, sf):
+    return PJ.skeleton_tree(t(spark, sf, "pages").select(T.path_of(F.col("url")).alias("path")), "site")

@@ -15,6 +15,8 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .lexer import closing, script_code, split_top, sql_code, sql_statements
+
 MAX_BYTES = 100 * 1024
 MODULE_LINES = 200
 CHUNK = "id string, file string, type string, name string, signature string, content string, line_start int, line_end int, parent string, calls array<string>, imports array<string>"
@@ -60,7 +62,7 @@ def python_chunks(file: str, text: str) -> list[dict]:
                 doc = ast.get_docstring(n)
                 methods = [f"    {lines[m.lineno - 1].strip()}\n        ..." for m in n.body if isinstance(m, functions)]
                 summary = "\n".join([lines[n.lineno - 1], *([f'    """{doc}"""'] if doc else []), *methods])
-                out.append(_row(file, "class", n.name, lines[n.lineno - 1].strip(), summary, n.lineno, n.end_lineno, parent, imports=[b.id for b in n.bases if isinstance(b, ast.Name)]))
+                out.append(_row(file, "class", n.name, lines[n.lineno - 1].strip(), summary, n.lineno, n.end_lineno, parent, imports=[b.id if isinstance(b, ast.Name) else b.attr for b in n.bases if isinstance(b, (ast.Name, ast.Attribute))]))
                 classes(n.body, n.name)
 
     tree = ast.parse(text)
@@ -74,54 +76,88 @@ def python_chunks(file: str, text: str) -> list[dict]:
     return out
 
 
+#: What begins an entry of a table's list that isn't a column.
+_CONSTRAINT = re.compile(r"(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK|EXCLUDE|KEY|INDEX|LIKE)\b", re.I)
+_COLUMN = re.compile(r"\"[^\"]+\"|`[^`]+`|\w+")
+_REFERRED = re.compile(r"\b(?:FROM|JOIN|ON|REFERENCES|INTO|UPDATE)\s+([A-Za-z_\"][\w.\"]*)", re.I)
+#: Words that stand where a table's name could.
+_NOT_TABLES = {"select", "delete", "update", "insert", "conflict", "cascade", "commit", "set", "each", "lateral", "only"}
+SHOWN_COLUMNS = 5
+
+
+def table_columns(code: str, at: int) -> list[str]:
+    """The column names in the list that opens at the first bracket from ``at`` on."""
+    opening = code.find("(", at)
+    if opening < 0:
+        return []
+    parts = [code[x:y].strip() for x, y in split_top(code, opening + 1, closing(code, opening) - 1)]
+    return [_COLUMN.match(p)[0].strip('"`') for p in parts if _COLUMN.match(p) and not _CONSTRAINT.match(p)]
+
+
 def sql_chunks(file: str, text: str) -> list[dict]:
-    out = []
-    for statement in re.finditer(r"[^;]+;?", text):
-        if m := _DDL.search(statement[0]):
-            kind, name = m[1].lower(), m[2].strip('"')
-            start = text.count("\n", 0, statement.start() + m.start()) + 1
-            body = statement[0].strip()
-            refs = {r.strip('"') for r in re.findall(r"\b(?:FROM|JOIN|ON|REFERENCES)\s+([A-Za-z_][\w.\"]*)", body, re.I)} - {name}
-            out.append(_row(file, kind, name, body.split("\n")[0], body, start, start + body.count("\n"), imports=sorted(refs), key=f"{kind}:{name}"))
+    """A chunk for each CREATE statement. A table's signature shows its first columns; what a body in dollar quotes refers to
+    counts like what stands outside."""
+    code, out = sql_code(text), []
+    for begin, end in sql_statements(code):
+        m = _DDL.search(code, begin, end)
+        if not m:
+            continue
+        kind, name = m[1].lower(), m[2].replace('"', "")
+        body = text[m.start() : end].strip()
+        start = text.count("\n", 0, m.start()) + 1
+        signature = body.split("\n")[0]
+        if kind == "table":
+            columns = table_columns(code[:end], m.end())
+            signature = f"CREATE TABLE {name}" + (f" ({', '.join(columns[:SHOWN_COLUMNS])}{'...' if len(columns) > SHOWN_COLUMNS else ''})" if columns else "")
+        inside = "\n".join([code[m.end() : end], *(sql_code(x[2]) for x in re.finditer(r"\$(\w*)\$(.*?)\$\1\$", text[m.start() : end], re.S))])
+        refs = {r.replace('"', "") for r in _REFERRED.findall(inside)}
+        refs = {r for r in refs if r != name and r.lower() not in _NOT_TABLES}
+        out.append(_row(file, kind, name, signature, body, start, start + body.count("\n"), imports=sorted(refs), key=f"{kind}:{name}"))
     return out
 
 
 _BODY = re.compile(r"\s*\{")
-_BRACE = re.compile(r"\{")
-
-
-def _closing(text: str, at: int) -> int:
-    """Behind the brace that closes the one at ``at``, or the text's end."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(text)
+_CALL = re.compile(r"(\w+)\s*\(")
+_NOT_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "super"}
 
 
-def _expression_end(text: str, at: int) -> int:
+def _expression_end(code: str, at: int) -> int:
     """Where an expression that begins after ``at`` ends: at a semicolon or line break outside brackets, or at a bracket
     that closes one around it."""
     depth, begun = 0, False
-    for m in re.compile(r"\S|\n").finditer(text, at):
+    for m in re.compile(r"\S|\n").finditer(code, at):
         c = m[0]
         if depth == 0 and (c == ";" or c == "\n" and begun or c in ")]}"):
             return m.start()
         depth += (c in "([{") - (c in ")]}")
         begun = begun or c != "\n"
-    return len(text)
+    return len(code)
+
+
+def _body_at(code: str, m: re.Match) -> int:
+    """Where the brace of a function's or class's body stands, behind its parameters and their types; -1 without one."""
+    at = m.end()
+    if m[1]:
+        opening = code.find("(", at)
+        at = closing(code, opening) if opening >= 0 else at
+    return code.find("{", at)
 
 
 def script_chunks(file: str, text: str) -> list[dict]:
-    out = []
-    for m in _JS.finditer(text):
+    """A chunk for each function, class and arrow function that is named. Braces in strings, templates, patterns and comments
+    don't count, and no calls are found there but in what a template holds in ``${}``."""
+    code, out = script_code(text), []
+    for m in _JS.finditer(code):
         name, kind = next((n, k) for n, k in zip(m.groups(), ("function", "class", "function"), strict=True) if n)
-        opening = _BODY.match(text, m.end()) if m[3] else _BRACE.search(text, m.end() - 1)
-        end = _closing(text, opening.end() - 1) if opening else _expression_end(text, m.end())
+        braced = _BODY.match(code, m.end()) if m[3] else None
+        opening = braced.end() - 1 if braced else -1 if m[3] else _body_at(code, m)
+        end = closing(code, opening) if opening >= 0 else _expression_end(code, m.end())
         body = text[m.start() : end].strip()
         start = text.count("\n", 0, m.end()) + 1
-        out.append(_row(file, kind, name, body.split("{")[0].strip(), body, start, start + body.count("\n"), calls=re.findall(r"(\w+)\s*\(", body)))
+        head = text[m.start() : opening if opening >= 0 else m.end()].strip()
+        signature = head if opening >= 0 else body.split("{")[0].strip()
+        calls = [c for c in _CALL.findall(code[m.end() if m[1] or m[3] else opening : end]) if c not in _NOT_CALLS]
+        out.append(_row(file, kind, name, signature, body, start, start + body.count("\n"), calls=[] if kind == "class" else calls))
     return out
 
 

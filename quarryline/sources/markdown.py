@@ -7,14 +7,11 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-SECTION = "path string, heading string, level int, content string, code_blocks array<string>, start_line int, priority int, tags array<string>"
 BLOCK = "struct<language: string, code: string>"
-PARSED = (
-    "path string, title string, fallback string, summary string, tags array<string>, priority int, full_content string, "
-    f"sections array<struct<heading: string, level: int, content: string, code_blocks: array<{BLOCK}>, start_line: int, end_line: int>>"
-)
+HEAD = "path string, title string, fallback string, summary string, tags array<string>, priority int, full_content string"
 # Named priorities.
 PRIORITY = {"critical": 100, "high": 80, "medium": 50, "low": 20}
 
@@ -42,63 +39,80 @@ def front_matter(text: str) -> tuple[dict[str, str | list[str]], str]:
     return out, text[m.end() :].strip()
 
 
-def parse(path: str, text: str | None) -> dict:
-    """A document as in PARSED, before what is inferred for it.
+_TRIM = r"(?U)^\s+|\s+\z"
+#: Stand for a fenced block and for the line breaks in it; in a text these two characters become U+FFFD.
+_HELD, _BREAK = "\u0000", "\u0001"
+
+
+def section_list(body: Column) -> Column:
+    """The sections of Markdown text as array of struct(heading, level, content, code_blocks, start_line, end_line).
 
     Text before the first heading is dropped; fenced code belongs to its section, apart from the content; an open fence
-    takes all that follows. Lines count from 1 in the body.
+    takes all that follows. Lines count from 1. No line is looked at alone: the text is split at its fences, the parts
+    between two become marks of as many lines, and what is left is split before its headings.
     """
+    text = F.translate(body, _HELD + _BREAK, "\ufffd\ufffd")
+    parts = F.split(text, "(?dm)^```.*$", -1)
+    langs = F.regexp_extract_all(text, F.lit("(?dm)^```(.*)$"), F.lit(1))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    closed = lambda i: i < F.size(parts) - 1
+    mark = lambda x, i: F.concat(F.lit(_HELD), F.when(closed(i), F.floor(i / 2).cast("string")).otherwise("-"), F.lit(_HELD), F.repeat(F.lit(_BREAK), breaks(x)))
+    masked = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, mark(x, i)).otherwise(x)), "")
+    cut = F.split(F.concat(F.lit("\n"), masked), r"(?Udm)(?=^#{1,6}[^\S\n]+[^\n])", -1)
+
+    def code(k: Column) -> Column:
+        at = k.cast("int")
+        own = F.regexp_replace(F.regexp_replace(F.get(parts, 2 * at + 1), r"^\n", ""), r"\n\z", "")
+        return F.struct(F.regexp_replace(F.get(langs, 2 * at), _TRIM, "").alias("language"), own.alias("code"))
+
+    def one(x: Column) -> Column:
+        line = F.substring_index(x, "\n", 1)
+        rest = F.regexp_replace(F.substr(x, F.length(line) + 2), f"(?dm)^{_HELD}[^{_HELD}]*{_HELD}{_BREAK}*\n?", "")
+        blocks = F.transform(F.regexp_extract_all(x, F.lit(f"{_HELD}(\\d+){_HELD}"), F.lit(1)), code)
+        return F.struct(
+            F.regexp_replace(F.regexp_replace(line, "^#{1,6}", ""), _TRIM, "").alias("heading"), F.length(F.regexp_extract(line, "^#{1,6}", 0)).alias("level"),
+            F.regexp_replace(rest, _TRIM, "").alias("content"), blocks.alias("code_blocks"), (F.length(x) - F.length(F.translate(x, "\n" + _BREAK, ""))).alias("lines"),
+        )
+
+    def place(a: Column, s: Column) -> Column:
+        end = a["next"] + s["lines"]
+        own = F.struct(s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content"), s["code_blocks"].alias("code_blocks"), a["next"].alias("start_line"), (end - 1).alias("end_line"))
+        return F.struct(end.alias("next"), F.concat(a["done"], F.array(own)).alias("done"))
+
+    before = F.get(cut, F.lit(0))
+    first = F.length(before) - F.length(F.translate(before, "\n" + _BREAK, ""))
+    found = F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))), one)
+    kind = f"array<struct<heading: string, level: int, content: string, code_blocks: array<{BLOCK}>, start_line: int, end_line: int>>"
+    placed = F.aggregate(found, F.struct(first.alias("next"), F.array().cast(kind).alias("done")), place, lambda a: a["done"])
+    last = lambda s, i: F.when(i == F.size(found) - 1, s.withField("end_line", F.size(F.split(body, "\n", -1)))).otherwise(s)
+    return F.transform(placed, last)
+
+
+def head(path: str, text: str | None) -> dict:
+    """What a document's front matter says, and its body."""
     meta, body = front_matter(text or "")
     given = meta.get("priority", "")
     given = given if isinstance(given, str) else ""
-    priority = int(given) if re.fullmatch(r"-?\d{1,9}", given) else PRIORITY.get(_plain(given).lower(), 50)
     tags = meta.get("tags", [])
-    found, fence, lines = [], None, body.split("\n")
-    for i, line in enumerate(lines, 1):
-        if line.startswith("```"):
-            if fence is not None and found:
-                found[-1]["code_blocks"].append({"language": fence[0], "code": "\n".join(fence[1:])})
-            fence = [line[3:].strip()] if fence is None else None
-        elif fence is not None:
-            fence.append(line)
-        elif m := re.match(r"(#{1,6})\s+(.+)$", line):
-            if found:
-                found[-1]["end_line"] = i - 1
-            found.append({"heading": m[2].strip(), "level": len(m[1]), "content": [], "code_blocks": [], "start_line": i, "end_line": len(lines)})
-        elif found:
-            found[-1]["content"].append(line)
     text_of = lambda k: _plain(v) if isinstance(v := meta.get(k, ""), str) else ""
     return {
         "path": path, "title": text_of("title"), "fallback": PurePosixPath(path or "").stem.replace("_", " ").title(), "summary": text_of("summary"),
-        "tags": tags if isinstance(tags, list) else [], "priority": priority, "full_content": body,
-        "sections": [s | {"content": "\n".join(s["content"]).strip()} for s in found],
+        "tags": tags if isinstance(tags, list) else [], "priority": int(given) if re.fullmatch(r"-?\d{1,9}", given) else PRIORITY.get(_plain(given).lower(), 50), "full_content": body,
     }
 
 
-def sections_of(path: str, text: str | None) -> list[dict]:
-    """The sections of a document, each with the document's priority and tags."""
-    d = parse(path, text)
-    own = {"path": path, "priority": d["priority"], "tags": [t.lower() for t in d["tags"]]}
-    return [s | own | {"code_blocks": [c["code"] for c in s["code_blocks"]]} for s in d["sections"]]
-
-
 def parsed(files: DataFrame) -> DataFrame:
-    """files (path, content) to one row per document, as in PARSED."""
+    """files (path, content) to one row per document: what :func:`head` gives, and sections."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PARSED.split(" array<struct")[0].split(", ")]
+        names = [c.split()[0] for c in HEAD.split(", ")]
         for b in batches:
-            yield pd.DataFrame([parse(p, c) for p, c in zip(b["path"], b["content"], strict=True)], columns=names)
+            yield pd.DataFrame([head(p, c) for p, c in zip(b["path"], b["content"], strict=True)], columns=names)
 
-    return files.select("path", "content").mapInPandas(run, PARSED)
+    return files.select("path", "content").mapInPandas(run, HEAD).withColumn("sections", section_list(F.col("full_content")))
 
 
 def sections(files: DataFrame) -> DataFrame:
-    """files (path, content) to one row per section."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SECTION.split(", ")]
-        for b in batches:
-            yield pd.DataFrame([s for p, c in zip(b["path"], b["content"], strict=True) for s in sections_of(p, c)], columns=names)
-
-    return files.select("path", "content").mapInPandas(run, SECTION)
+    """files (path, content) to one row per section, each with its document's priority and tags in lower case."""
+    each = parsed(files).select("path", "priority", F.transform("tags", F.lower).alias("tags"), F.explode("sections").alias("s"))
+    return each.select("path", "s.heading", "s.level", "s.content", F.transform("s.code_blocks", lambda c: c["code"]).alias("code_blocks"), "s.start_line", "priority", "tags")
