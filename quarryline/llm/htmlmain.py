@@ -2,9 +2,10 @@
 
 A page is a sequence of text runs and tags. Words score positive and tags negative; the weights are log odds learned
 from pages whose markup labels the article (exactly one <article> element). One linear scan finds the contiguous
-region with the highest score. The blocks that it touches are the main text, each whole, and with them those that lie
-next to them in the same element and are not links only. Blocks in menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments are left out. Elements that claim the main text and hold at least half of the page's plain
+region with the highest score, another all maximal ones; those with at least SHARE of the best score count too, so a
+second article, or what follows a long table, stays. The blocks that the regions touch are the main text, each whole, and
+with them those that lie next to them in the same element, or between two regions, and are not lists of links. Blocks in
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out. Elements that claim the main text and hold at least half of the page's plain
 words change scores: words beside them count against the region.
 """
 
@@ -15,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex as re
@@ -25,6 +27,10 @@ from .common import small_batches
 
 #: Expected number of pages that weights are learned from, drawn by a hash of id and html.
 MAX_LABELLED = 1000
+#: The score, as a share of the best region's, from which another region counts.
+SHARE = 0.3
+#: Links, in blocks of links only one after the other between two regions, that are still text and not a list of links.
+LINKS = 2
 
 # Both patterns take each character in one way only, so a match or a failure costs the length of what is left at most once.
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
@@ -68,6 +74,10 @@ _NEUTRAL = set(
 )
 #: A name that begins so says what an element has or lacks, not what it is.
 _MODIFIERS = {"has", "no", "not", "non", "with", "without", "is"}
+#: Words of _OUT_NAMES that also name everyday things. Alone, they leave nothing out in an <article> but link lists.
+_EVERYDAY = {"banner", "menu", "share", "sharing", "side", "search", "header", "related", "recommended", "respond", "discussion"}
+#: Elements that stand in a line of text: what they hold is left out, but they don't end a block.
+_CONTROLS = {"button", "select", "input", "textarea", "svg", "math", "canvas", "object", "iframe", "noscript", "script", "style", "template", "label", "output", "meter", "progress", "audio", "video", "map", "datalist"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _MAIN_TAGS = {"article", "main"}
 _MAIN_NAMES = {"article", "main", "content", "post", "entry", "story", "body-text", "articlebody", "post-content", "entry-content", "article-body", "main-content"}
@@ -127,6 +137,8 @@ def _out_names(names: list[list[str]], article: bool) -> set[str]:
     """The words of _OUT_NAMES in names that as a whole say so; none if another name says main text."""
     if any("-".join(n) in _MAIN_NAMES for n in names):
         return set()
+    if article and all(len(n) == 1 and n[0] in _EVERYDAY or not any(w in _OUT_NAMES for w in n) for n in names):
+        return set()
     held = {w for n in names if all(w in _OUT_NAMES or w in _NEUTRAL or w[0].isdigit() or i and w in ("content", "body") for i, w in enumerate(n)) for w in n if w in _OUT_NAMES}
     return held - {"header"} if article else held
 
@@ -139,12 +151,15 @@ def _unseen(attrs: str) -> bool:
 class _Element:
     """own: why it is out itself, if it is: 'tag', 'wrapper', 'name', 'comment' or 'unseen'. settle() sets the rest."""
 
-    __slots__ = ("tag", "names", "parent", "own", "out", "main", "article", "marked", "named", "within")
+    __slots__ = ("tag", "names", "parent", "own", "out", "main", "article", "marked", "named", "within", "everyday")
 
     def __init__(self, tag: str, names: list[list[str]], parent: "_Element | None", attrs: str):
         self.tag, self.names, self.parent = tag, names, parent
         self.within = tag == "article" or parent is not None and parent.within  # in an <article>, out or not
+        inside = parent is not None and parent.within
         said = _out_names(names, self.within) if names and tag not in ("html", "body", "article", "main") else ()
+        #: Has an everyday name in an <article>: out if it turns out to be a list of links.
+        self.everyday = inside and not said and tag not in _LEAF and bool(_out_names(names, False))
         self.own = (
             "unseen" if _unseen(attrs)
             else "comment" if said and said & _COMMENT_NAMES or tag == "article" and any(n[0] in ("comment", "comments", "reply") for n in names)
@@ -169,6 +184,7 @@ def page_tokens(html: str) -> list[tuple[str, str, _Element, bool]]:
     those with more than half of the page's plain words, unless they are comments."""
     tokens = list(scan(html))
     elements = list({id(e): e for _, _, e, _ in tokens}.values())  # parents before children
+    _settle_everyday(tokens, elements)
     wraps = {id(e) for e in elements if e.own in ("wrapper", "name", "comment") and e.tag not in _LEAF and e.tag != "article"}
     if not wraps or any(e.tag in _MAIN_TAGS and not e.out for e in elements):
         return tokens
@@ -197,6 +213,24 @@ def page_tokens(html: str) -> list[tuple[str, str, _Element, bool]]:
     return tokens
 
 
+def _settle_everyday(tokens: list[tuple[str, str, _Element, bool]], elements: list[_Element]) -> None:
+    """Elements with an everyday name in an <article> are out where links hold more of their words than plain text does."""
+    if not any(e.everyday for e in elements):
+        return
+    plain: Counter = Counter()
+    for kind, value, e, link in tokens:
+        if kind == "text":
+            plain[id(e)] += len(value.split()) * (-1 if link else 1)
+    for e in reversed(elements):
+        if e.parent is not None:
+            plain[id(e.parent)] += plain[id(e)]
+    for e in elements:
+        if e.everyday and not e.own and plain[id(e)] < 0:
+            e.own = "tag"
+    for e in elements:
+        e.settle()
+
+
 def _end_of(page: _Page, at: int, tag: str, here: _Element) -> int:
     """Where the leaf block or raw element ``tag`` that begins before ``at`` ends: at its end tag, at a tag that closes it
     without one, or at its parent's end. One that must have an end tag but has none ends at the next block."""
@@ -348,9 +382,39 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def maximal_regions(scores: list[float]) -> list[tuple[int, int, float]]:
+    """(first, end, sum) of all maximal contiguous runs, in order: none can be made longer or shorter for a higher sum. One
+    scan: a positive score begins a run; a run swallows the runs back to the nearest that began lower, if that ended
+    lower too. Each run knows that nearest one."""
+    runs: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum behind, the nearest that began lower
+    total = 0.0
+    for i, s in enumerate(scores):
+        first, low, total = i, total, total + s
+        if s <= 0:
+            continue
+        while True:
+            j = len(runs) - 1
+            while j >= 0 and runs[j][2] >= low:
+                j = runs[j][4]
+            if j < 0 or runs[j][3] >= total:
+                runs.append((first, i + 1, low, total, j))
+                break
+            first, low = runs[j][0], runs[j][2]
+            del runs[j:]
+    return [(a, b, high - low) for a, b, low, high, _ in runs]
+
+
+def kept_regions(scores: list[float], share: float = SHARE) -> list[tuple[int, int]]:
+    """The best region and all maximal ones with at least a share of its sum, in order."""
+    first, end = best_region(scores)
+    least = share * sum(scores[first:end])
+    return sorted({(first, end), *((a, b) for a, b, s in maximal_regions(scores) if s >= least and (b <= first or a >= end))})
+
+
 def _claim(tokens: list[tuple[str, str, _Element, bool]]) -> str | None:
     """Which elements claim the main text: the first of article, marked, named that holds half of the plain words."""
-    plain = [(e, len(v.split())) for k, v, e, link in tokens if k == "text" and not e.out and not link]
+    # links count where an element says that it is the text: an article may be no more than a link
+    plain = [(e, len(v.split())) for k, v, e, link in tokens if k == "text" and not e.out and (not link or e.article or e.marked)]
     half = sum(n for _, n in plain) / 2
     for kind in ("article", "marked", "named"):
         held = sum(n for e, n in plain if getattr(e, kind))
@@ -382,32 +446,57 @@ def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text: blocks in page order, joined by two line breaks; empty where there is none."""
     weights = weights or default_weights()
     tokens = page_tokens(html or "")
-    first, end = best_region(token_scores(tokens, weights))
-    around = {id(e) for k, v, e, _ in tokens[first:end] if k == "text" and not e.out and not v.isspace() and e.tag not in ("html", "body")}
+    regions = kept_regions(token_scores(tokens, weights))
+    inside = np.zeros(len(tokens) + 1, np.int8)
+    for first, end in regions:
+        inside[first] += 1
+        inside[end] -= 1
+    inside = np.cumsum(inside).astype(bool).tolist()
+    low, high = regions[0][0], regions[-1][1]
+    around = {id(e) for (k, v, e, _), i in zip(tokens, inside, strict=False) if i and k == "text" and not e.out and not v.isspace() and e.tag not in ("html", "body")}
     blocks: list[str] = []
+    waiting: list[str] = []  # blocks of links only since the last block that counts
     parts: list[str] = []
-    touched = False
+    touched = plain = between = False
+    links = held = 0  # links in the open block, and in those that wait
 
     def close() -> None:
-        nonlocal touched
+        nonlocal touched, plain, between, links, held
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if text and touched:
+                if held <= LINKS:
+                    blocks.extend(waiting)
+                waiting.clear()
+                held = 0
                 blocks.append(text)
-        touched = False
+            elif text and between and not plain:
+                waiting.append(text)
+                held += links
+        touched = plain = between = False
+        links = 0
 
     for i, (kind, value, e, link) in enumerate(tokens):
         if kind == "tag":
-            if value.lstrip("/") == "br":
+            name = value.lstrip("/")
+            if name == "br":
                 parts.append(" ")
-            elif value.lstrip("/") not in _INLINE:
+            elif name not in _INLINE and name not in _CONTROLS:
                 close()
+            elif value == "a":
+                links += 1
         elif e.out:
-            close()
+            if e.tag in _CONTROLS:
+                parts.append(" ")
+            else:
+                close()
         else:
             parts.append(value)
-            touched = touched or not value.isspace() and (first <= i < end or not link and id(e) in around)
+            if not value.isspace():
+                touched = touched or inside[i] or not link and (low <= i < high or id(e) in around)
+                between = between or low <= i < high
+                plain = plain or not link
     close()
     return "\n\n".join(blocks)
 

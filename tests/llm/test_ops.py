@@ -364,6 +364,43 @@ def test_best_region_equals_all_pairs():
         assert sum(scores[first:end]) == max([0, *sums])
 
 
+def test_maximal_regions_equal_repeated_search():
+    def search(scores, at=0):
+        if not scores or max(scores) <= 0:
+            return []
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        most = max(sums.values())
+        i, j = min((k for k, v in sums.items() if v == most), key=lambda k: (k[1] - k[0], k))
+        return [*search(scores[:i], at), (at + i, at + j), *search(scores[j:], at + j)]
+
+    rng = random.Random(8)
+    for _ in range(300):
+        scores = [rng.choice([-5, -3, -2, -1, 1, 2, 4]) + rng.random() / 100 for _ in range(rng.randint(0, 14))]
+        assert [(a, b) for a, b, _ in htmlmain.maximal_regions(scores)] == search(scores)
+    began = time.process_time()
+    assert len(htmlmain.maximal_regions([1, -2] * 200_000)) == 200_000 and len(htmlmain.maximal_regions([2, -1] * 200_000)) == 1
+    assert time.process_time() - began < 5
+
+
+def test_main_text_goes_on_behind_what_is_not_text():
+    words = lambda x: f"{x} one two three four five six seven eight nine ten eleven"
+    a, b, links = words("A"), words("B"), "".join(f"<a href=x>Link {i}</a>" for i in range(9))
+    cells = "".join(f"<tr><td>{i}</td><td>{i * 3}</td><td>{i * 7}</td></tr>" for i in range(15))
+    rows = [str(x) for i in range(15) for x in (i, i * 3, i * 7)]
+    both = f"{a}\n\n{b}"
+    for page, want in (
+        (f"<div>{a}</div>{''.join(f'<div><a href=x>Link {i}</a></div>' for i in range(6))}<div>{b}</div>", both),
+        (f"<div><p>{a}</p><table>{cells}</table><p>{b}</p></div>", "\n\n".join([a, *rows, b])),
+        (f"<article><p>{a}</p></article><div>{links}</div><article><p>{b}</p></article>", both),
+        ("<body><article><p><a href=x>Only a link</a></p></article></body>", "Only a link"),
+        (f"<div><p>{a}</p><p><a href=x>A whole paragraph that is a link</a></p><p>{b}</p></div>", f"{a}\n\nA whole paragraph that is a link\n\n{b}"),
+        (f"<article><h1 class='banner'>Title of it</h1><p>{a}</p><div class='share price'>Prices went up again</div><div id='menu'>Soup and bread</div></article>", f"Title of it\n\n{a}\n\nPrices went up again\n\nSoup and bread"),
+        (f"<article><p>{a}</p><div class='share'><a href=x>One</a> <a href=y>Two</a></div><div class='related-posts'><p>Read on here</p></div><p>{b}</p></article>", both),
+        (f"<article><p>{a} <button>Copy</button> more <select><option>x</select> words</p></article>", f"{a} more words"),
+    ):
+        assert htmlmain.extract(page) == want, page
+
+
 def test_region_and_weights_decide_without_an_article(monkeypatch):
     menu, text = "<ul>" + "<li>Go here</li>" * 30 + "</ul>", "<p>One two three four five six seven eight nine ten eleven twelve.</p>" * 3
     page = f"<body><div>{menu}</div><div>{text}</div><div>{menu}</div></body>"
