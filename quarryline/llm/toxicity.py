@@ -31,8 +31,11 @@ MAX_UNLABELLED = 12000
 #: The same for each of the two samples in bytes of text.
 MAX_TEXT_BYTES = 1 << 26
 MAX_FEATURES = 8192
+#: A feature that fewer documents of P and fewer of U have isn't looked at.
+LEAST_P, LEAST_U = 2, 15
 HASH_BITS = 22
-#: ROUNDS, L1 and LEAST_RATIO have the least cross-validated error on the training rows of two tables, see the README.
+#: ROUNDS, L1, LEAST_RATIO, LEAST_P, LEAST_U, MAX_FEATURES and HASH_BITS have the least cross-validated error on the training
+#: rows of two tables, see the README.
 ROUNDS = 400
 L1 = 3e-4
 #: Twice the log likelihood ratio (P and U differ against don't) from which a feature is kept.
@@ -96,9 +99,10 @@ def _slices(docs: list[np.ndarray], place: np.ndarray, entries: int = 1 << 18) -
     own: list[int] = []
     cols: list[np.ndarray] = []
     n = 0
+    kind = np.int16 if place.max() < 1 << 15 else np.int32
     for i, d in enumerate(docs):
         c = place[d]
-        c = c[c >= 0].astype(np.int16 if MAX_FEATURES < 1 << 15 else np.int32)
+        c = c[c >= 0].astype(kind)
         if len(c):
             own.append(i)
             cols.append(c)
@@ -109,7 +113,7 @@ def _slices(docs: list[np.ndarray], place: np.ndarray, entries: int = 1 << 18) -
             own, cols, n = [], [], 0
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, l1: float = L1, least_ratio: float = LEAST_RATIO) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, l1: float = L1, least_ratio: float = LEAST_RATIO, most: int = MAX_FEATURES, least_p: int = LEAST_P, least_u: int = LEAST_U) -> Model:
     """positive, unlabelled: feature numbers of each document, repeats counted. Without positives the score is the prior
     everywhere."""
     prior = min(max(prior, 1e-4), 0.9)
@@ -118,9 +122,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     docs = [*positive, *unlabelled]
     n_p, n_u = len(positive), len(unlabelled)
     df_p, df_u = _document_counts(positive), _document_counts(unlabelled)
-    seen = np.flatnonzero((df_p >= 3) | (df_u >= 30))
+    seen = np.flatnonzero((df_p >= least_p) | (df_u >= least_u))
     worth = _log_ratio(df_p[seen].astype(float), n_p, df_u[seen].astype(float), n_u)
-    best = np.argsort(-worth, kind="stable")[:MAX_FEATURES]
+    best = np.argsort(-worth, kind="stable")[:most]
     chosen = np.sort(seen[best[worth[best] > least_ratio]])
     if not len(chosen):
         return Model({}, float(np.log(prior / (1 - prior))))
@@ -166,18 +170,11 @@ def cross_validated(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
 
 
 def drawn(docs: DataFrame, bound: int, text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """About ``bound`` rows of docs (doc_id, text) and ``text_bytes`` of text at most, drawn by a hash of both columns. Where
-    so many rows are equal that this draws more than twice the bound, their places in the table count too."""
+    """About ``bound`` distinct rows of docs (doc_id, text) and ``text_bytes`` of text at most, drawn by a hash of both columns.
+    Equal rows are drawn together and count once, so the sample depends on the rows alone, not on where they lie."""
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     share = min(1.0, bound / max(1, rows), text_bytes / max(1, size))
-
-    def draw(share: float, *more):
-        return docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text", *more), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-    own = draw(share)
-    if share < 1 and own.count() > 2 * bound:
-        own = draw(share, F.monotonically_increasing_id())
-    return own
+    return docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
 
 
 def _numbers(docs: DataFrame) -> list[np.ndarray]:

@@ -198,6 +198,31 @@ def test_training_sample_is_bounded(spark):
     assert 300 < toxicity.drawn(spread, 400).count() < 500 and 100 < toxicity.drawn(spread, 400, text_bytes=20_000).count() < 300
 
 
+def test_training_sample_does_not_depend_on_the_layout(spark):
+    d = spark.range(3000).selectExpr("id % 900 as doc_id", "concat('text ', id % 900) as text")
+    one, two = ({tuple(r) for r in toxicity.drawn(d.repartition(n), 200).collect()} for n in (1, 7))
+    assert one == two and 20 < len(one) < 200 and toxicity.drawn(d, 200).count() == len(one)
+
+
+def test_model_agrees_with_an_independent_learner():
+    """Gradient descent on the same estimate over a dense matrix, without slices, feature choice or Adam."""
+    rng = np.random.default_rng(9)
+    bad = [np.union1d(rng.integers(10, 60, 12), [1, 2]).astype(np.int32) for _ in range(80)]
+    rest = [np.unique(rng.integers(10, 60, 12)).astype(np.int32) for _ in range(240)] + [np.union1d(rng.integers(10, 60, 12), [1, 2]).astype(np.int32) for _ in range(40)]
+    x = np.zeros((len(bad) + len(rest), 60))
+    for i, d in enumerate([*bad, *rest]):
+        x[i, d] = 1
+    w, b, prior = np.zeros(60), 0.0, 40 / 280
+    for _ in range(4000):
+        z = x @ w + b
+        g_p, g_u, _ = toxicity.risk_gradient(z[:80], z[80:], prior)
+        g = np.concatenate([g_p, g_u])
+        w, b = w - 0.5 * (x.T @ g), b - 0.5 * g.sum()
+    own = toxicity.fit(bad, rest, prior)
+    z = np.array([own.bias + sum(own.weights.get(int(f), 0.0) for f in d) for d in [*bad, *rest]])
+    assert np.mean((z >= 0) == (x @ w + b >= 0)) > 0.97
+
+
 def test_risk_follows_only_the_overfitted_part():
     z_p, z_u = np.full(10, 5.0), np.full(10, -9.0)
     _, g_u, risk = toxicity.risk_gradient(z_p, z_u, 0.5)
