@@ -45,6 +45,29 @@ def retrieve(hits: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int = 1,
     return both.join(shown, "id", "left").select("query", "id", "kind", "position", "signature", "context")
 
 
+def with_documents(found: DataFrame, queries: DataFrame, docs: DataFrame, max_docs: int = 3) -> DataFrame:
+    """A result of :func:`retrieve` for queries (query, text), and as 'document' by rank the best documents of the knowledge base
+    (as operators.knowledge.documents) for each; their signature is the title, their context null."""
+    best = K.search_many(docs, queries, max_docs).join(docs.select("id", F.col("title").alias("signature")), "id")
+    own = best.select("query", "id", F.lit("document").alias("kind"), F.col("rank").alias("position"), "signature")
+    return found.unionByName(own, allowMissingColumns=True)
+
+
+def document_contexts(found: DataFrame, docs: DataFrame, max_chars: int = 2000) -> DataFrame:
+    """(query, context): the documents of a result of :func:`with_documents`, laid out; no row for a query without any."""
+    return K.contexts(found.where("kind = 'document'").select("query", "id", F.col("position").alias("rank")), docs, max_chars)
+
+
+# The counters of a result, and the kind of row that each counts.
+COUNTERS = {"bm25_hits": "chunk", "expanded_symbols": "signature", "total_chunks": "chunk", "total_signatures": "signature", "kb_docs_found": "document"}
+
+
+def counters(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, and each of COUNTERS) of a result of :func:`with_documents` for each of queries (query), 0 where nothing was found."""
+    n = found.groupBy("query").agg(*[F.count_if(F.col("kind") == kind).alias(c) for c, kind in COUNTERS.items()])
+    return queries.select("query").join(n, "query", "left").na.fill(0, list(COUNTERS))
+
+
 def counts(found: DataFrame) -> DataFrame:
     """(query, total_chunks, total_signatures) of a result of :func:`retrieve`."""
     return found.groupBy("query").agg(F.count_if(F.col("kind") == "chunk").alias("total_chunks"), F.count_if(F.col("kind") == "signature").alias("total_signatures"))
@@ -79,9 +102,13 @@ def retrieve_for_file(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, fil
     return retrieve(own.withColumn("query", F.lit(file)).withColumn("rank", place).select("query", "id", "rank"), edges, nodes, hops, None)
 
 
-def search_code(chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1, k: int = 10, index: str | None = None) -> DataFrame:
-    """The search tool: :func:`retrieve` of the best k chunks, with hops and k cut to what the tool allows."""
-    return retrieve(search(chunks, queries, min(k, TOOL_CHUNKS), index).select("query", "id", "rank"), edges, nodes, min(hops, TOOL_HOPS))
+def search_code(
+    chunks: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, hops: int = 1, k: int = 10, index: str | None = None, docs: DataFrame | None = None
+) -> DataFrame:
+    """The search tool: :func:`retrieve` of the best k chunks, with hops and k cut to what the tool allows, and
+    :func:`with_documents` where there is a knowledge base."""
+    found = retrieve(search(chunks, queries, min(k, TOOL_CHUNKS), index).select("query", "id", "rank"), edges, nodes, min(hops, TOOL_HOPS))
+    return found if docs is None else with_documents(found, queries, docs)
 
 
 def knowledge(docs: DataFrame, query: str, limit: int = 3, max_chars: int = 2000) -> DataFrame:

@@ -1,3 +1,3 @@
 """Queries with SQL; importing the package registers all of them."""
 
-from . import project, queries  # noqa: F401
+from . import project, queries, retrieval  # noqa: F401

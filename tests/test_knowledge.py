@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import events as E
 from quarryline.operators import knowledge as K
 from quarryline.operators import project as PR
+from quarryline.operators import retrieve as RT
 from quarryline.operators import sessions as S
 from quarryline.streaming import sessions as SS
 
@@ -103,3 +105,41 @@ def test_records_across_batches(spark, tmp_path):
         got += run(SS.sse_records(stream), "append", tmp_path / "check")
     batch = E.framed(spark.createDataFrame([("s", n, x) for n, x in enumerate(text)], schema), "stream", "seq", "line").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) == [("s", "a", "1\n2"), ("s", "b", "3"), ("s", "c", "4")]
+
+
+KB = [
+    ("a", "Loader guide", ["Read files"], ["io"], "how to load", 50), ("b", "Other", ["loader"], ["loader"], "the loader guide says", 0), ("c", None, None, None, None, None),
+    ("d", "Zebra", [], [], "", 90), ("e", "yak", ["x"], ["guide"], "nothing", 9), ("f", "Fox", [], [], "loader guide", 90),
+]
+
+
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_many_queries_find_what_one_finds(spark, block):
+    docs = spark.createDataFrame(KB, "id string, title string, topics array<string>, tags array<string>, full_content string, priority int").withColumn("extra", F.lit(1))
+    texts = ["loader guide", "LOADER", "zz", "", " guide  yak ", None, "load\u00a0x"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query int, text string")
+    for limit in (1, 3, 9):
+        got = {}
+        for r in K.search_many(docs, queries, limit, block).orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append((r.id, r.score, r["rank"]))
+        for i, q in enumerate(texts):
+            want = [(r.id, r.score, n) for n, r in enumerate(K.search(docs, q or "", limit=limit).collect(), 1)]
+            assert got.get(i, []) == want, (limit, q)
+    assert K.search_many(docs.where("false"), queries).count() == 0 and K.search_many(docs, queries.where("false")).count() == 0
+
+
+def test_retrieval_brings_documents_and_counters(spark):
+    docs = spark.createDataFrame(KB, "id string, title string, topics array<string>, tags array<string>, full_content string, priority int")
+    section = "cast(array(named_struct('heading', 'H', 'content', coalesce(full_content, ''), 'code_blocks', array())) as array<struct<heading:string,content:string,code_blocks:array<struct<language:string,code:string>>>>)"
+    docs = docs.where("id <> 'c'").withColumn("summary", F.lit("s")).withColumn("sections", F.expr(section))
+    chunks = spark.createDataFrame([("x", "loader reads"), ("y", "writer"), ("z", "nothing")], "id string, content string")
+    edges = spark.createDataFrame([("x", "y", "calls")], "src string, dst string, edge_type string")
+    nodes = spark.createDataFrame([("x", "sig x"), ("y", "sig y")], "id string, signature string")
+    queries = spark.createDataFrame([(1, "loader"), (2, "yak"), (3, "qq")], "query int, text string")
+    found = RT.search_code(chunks, edges, nodes, queries, docs=docs)
+    assert {(r.query, r.id) for r in found.collect() if r.kind != "document"} == {(1, "x"), (1, "y")}
+    got = {r.query: tuple(r)[1:] for r in RT.counters(found, queries).collect()}
+    assert got == {1: (1, 1, 1, 1, 3), 2: (0, 0, 0, 0, 3), 3: (0, 0, 0, 0, 3)}
+    laid = {r.query: r.context for r in RT.document_contexts(found, docs).collect()}
+    for i, text in ((1, "loader"), (2, "yak"), (3, "qq")):
+        assert laid[i] == RT.knowledge(docs, text).first()["context"]
