@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import lines
+from ..functions.text import lines, split_lines
 
 
 def numbered(files: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,6 +109,58 @@ def read_batch(wanted: DataFrame, files: DataFrame, missing: str = "File not fou
     )
 
 
+# The most bytes and lines of a read, by tool, and the most paths of a batch.
+TOOL_BYTES, TOOL_LINES = 10 * 1024 * 1024, 2000
+PLAIN_BYTES, PLAIN_LINES = 100 * 1024, 500
+MOST_PATHS = 10
+
+
+def read(wanted: DataFrame, files: DataFrame, max_bytes: int = TOOL_BYTES, max_lines: int = TOOL_LINES, marker: str | None = None) -> DataFrame:
+    """wanted (path, and start_line and end_line if lines are asked for: from 1, both included, null open) with content, total_lines, lines,
+    truncated, size and error. Lines over max_lines are cut, and the marker, if any, follows. A missing file (or null content)
+    and one over max_bytes have an error and its size, and null for the rest. Other columns of wanted stay."""
+    ends = [F.col(c) if c in wanted.columns else F.lit(None).cast("int") for c in ("start_line", "end_line")]
+    asked = wanted.select(*wanted.columns, *[c.alias(n) for c, n in zip(ends, ("_start", "_end"), strict=True)])
+    have = files.where("content is not null").select("path", F.col("content").alias("_text"), F.octet_length("content").alias("_size"))
+    both = asked.join(have, "path", "left")
+    fits = F.col("_size") <= max_bytes
+    both = both.withColumn("_all", F.when(fits, split_lines(F.col("_text")))).withColumn("_total", F.when(fits, F.size("_all")))
+    # a start or end of 0 is as none; negative ones count from the end, as slices of a list do
+    first = F.when(F.coalesce("_start", F.lit(0)) == 0, 1).otherwise(F.col("_start"))
+    last = F.when(F.coalesce("_end", F.lit(0)) == 0, F.col("_total")).otherwise(F.col("_end"))
+    low = F.when(first < 1, F.greatest(F.col("_total") + first - 1, F.lit(0))).otherwise(first - 1)
+    high = F.when(last < 0, F.greatest(F.col("_total") + last, F.lit(0))).otherwise(last)
+    both = both.withColumn("_part", F.when(fits, F.slice("_all", low + 1, F.greatest(high - low, F.lit(0)))))
+    cut = fits & (F.size("_part") > max_lines)
+    text = F.array_join(F.slice("_part", 1, max_lines), "\n")
+    text = text if marker is None else F.when(cut, F.concat(text, F.lit(marker))).otherwise(text)
+    error = F.when(F.col("_size").isNull(), F.concat(F.lit("File not found: "), F.coalesce("path", F.lit("")))).when(
+        ~fits, F.concat(F.lit("File too large: "), F.col("_size").cast("string"), F.lit(f" bytes (max: {max_bytes})"))
+    )
+    return both.select(
+        *wanted.columns, F.when(fits, text).alias("content"), F.col("_total").alias("total_lines"), F.when(fits, F.least(F.size("_part"), F.lit(max_lines))).alias("lines"),
+        F.when(fits, cut).alias("truncated"), F.col("_size").alias("size"), error.alias("error"),
+    )
+
+
+def read_plain(wanted: DataFrame, files: DataFrame, max_lines: int = PLAIN_LINES) -> DataFrame:
+    """As :func:`read`, with the smaller limits and a mark at a cut."""
+    return read(wanted, files, PLAIN_BYTES, max_lines, "\n... (truncated)")
+
+
+def read_batches(wanted: DataFrame, files: DataFrame, batch: str = "batch", most: int = MOST_PATHS) -> DataFrame:
+    """wanted (batch, path) to a row a batch: files (array of path, content, lines, error in order of path; content '' and 0 lines
+    with an error), count, successful, total_lines, error. A batch of more than ``most`` paths is not read: it has an error, its
+    count, and null for the rest; its texts are never gathered."""
+    n = wanted.groupBy(batch).agg(F.count(F.lit(1)).alias("count"))
+    small = wanted.join(n.where(F.col("count") <= most), batch, "left_semi")
+    each = read_plain(small.select(batch, "path"), files)
+    one = F.struct("path", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("lines", F.lit(0)).alias("lines"), "error")
+    done = each.groupBy(batch).agg(F.array_sort(F.collect_list(one)).alias("files"), F.count_if(F.col("error").isNull()).alias("successful"), F.sum(F.coalesce("lines", F.lit(0))).alias("total_lines"))
+    error = F.when(F.col("count") > most, f"Maximum {most} files per batch")
+    return n.join(done, batch, "left").select(batch, "files", "count", "successful", "total_lines", error.alias("error"))
+
+
 def validate_structure(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(path, found) of the expected paths, each once."""
     once, have = wanted.select("path").distinct(), files.select("path").distinct().withColumn("found", F.lit(True))

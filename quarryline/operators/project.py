@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import KEYWORD_STOP_WORDS, lines
+from ..functions.text import KEYWORD_STOP_WORDS, lines, split_lines
 from .diffs import unified_diff as unified_diff
 
 MAX_READ = 100 * 1024
@@ -33,12 +33,66 @@ def listing(files: DataFrame, pattern: str = "*", limit: int = 500, hidden: bool
     return first.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) >= limit)  # at most limit rows
 
 
+def directories(files: DataFrame) -> DataFrame:
+    """(path): every directory above a file, each once; the root isn't among them."""
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return files.where(F.contains("path", F.lit("/"))).select(F.explode(up).alias("path")).distinct()
+
+
+def list_entries(files: DataFrame, root: str = "", pattern: str | None = None, recursive: bool = True, hidden: bool = False, most: int = 500, most_dirs: int = 50) -> DataFrame:
+    """(path, kind, total_files, total_directories, truncated): what is below root (recursive) or right in it, by kind ('file'
+    before 'directory') and path: the first ``most`` files and ``most_dirs`` directories whose name matches. The totals count
+    what is listed up to ``most`` files and directories together, in that order; truncated: there were ``most`` files or more.
+    Only names are tested for a leading dot, so files in a hidden directory are listed.
+    """
+    both = files.select("path", F.lit(0).alias("k")).unionAll(directories(files).select("path", F.lit(1).alias("k")))
+    top = root.strip("/")
+    below = F.col("path").startswith(top + "/") if top else F.lit(True)
+    own = both.where("path is not null").where(below)
+    if not recursive:
+        own = own.where(~F.contains(F.substr("path", F.lit(len(top) + 2 if top else 1)), F.lit("/")))
+    if not hidden:
+        own = own.where(~P.name(F.col("path")).startswith("."))
+    if pattern:
+        own = own.where(P.matches_any(P.name(F.col("path")), [pattern]))
+    first = own.orderBy("k", "path").limit(most)
+    all_of = Window.partitionBy(F.lit(0))  # at most `most` rows
+    place = F.row_number().over(Window.partitionBy("k").orderBy("path"))
+    total = lambda k: F.count_if(F.col("k") == k).over(all_of)
+    out = first.select("path", F.when(F.col("k") == 0, "file").otherwise("directory").alias("kind"), place.alias("place"), total(0).alias("total_files"), total(1).alias("total_directories"))
+    return out.where((F.col("kind") == "file") | (F.col("place") <= most_dirs)).withColumn("truncated", F.col("total_files") >= most).drop("place")
+
+
+def list_plain(files: DataFrame, root: str = "", pattern: str | None = None, recursive: bool = True, most: int = 500) -> DataFrame:
+    """(path, count): the first ``most`` files below root (recursive) or right in it, in order, of whose parts below root none is
+    ignored and whose name matches; count: how many are listed."""
+    top = root.strip("/")
+    rest = F.substr("path", F.lit(len(top) + 2 if top else 1))
+    own = files.where("path is not null").where(F.col("path").startswith(top + "/") if top else F.lit(True)).where(~P.ignored_any(rest))
+    own = own if recursive else own.where(~F.contains(rest, F.lit("/")))
+    own = own.where(P.matches_any(P.name(F.col("path")), [pattern])) if pattern else own
+    first = own.select("path").orderBy("path").limit(most)
+    return first.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # at most `most` rows
+
+
 def stat(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """wanted (path) with exists and the size in bytes (null: missing)."""
     have = files.select("path", F.octet_length(F.coalesce("content", F.lit(""))).alias("size"))
     return wanted.join(have, "path", "left").select("path", F.col("size").isNotNull().alias("exists"), "size")
 
 
+def file_info(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """wanted (path) with exists, is_file, is_directory, size, modified, created and error, from entries (path, kind, size, modified,
+    created; as sources.tree.read_entries). A missing path has an error, and null but for exists; a null path is one."""
+    have = entries.select("path", "kind", "size", "modified", "created")
+    missing = F.col("kind").isNull()
+    return wanted.join(have, "path", "left").select(
+        "path", (~missing).alias("exists"), (F.col("kind") == "file").alias("is_file"), (F.col("kind") == "directory").alias("is_directory"),
+        "size", "modified", "created", F.when(missing, F.concat(F.lit("File not found: "), F.coalesce("path", F.lit("")))).alias("error"),
+    )
+
+
 def bounded_read(files: DataFrame, max_lines: int = 300, max_bytes: int = MAX_READ) -> DataFrame:
     """(path, content, lines) of readable files up to max_bytes; beyond max_lines a marker follows."""
     text = F.coalesce("content", F.lit(""))
@@ -134,12 +188,6 @@ def import_lines(files: DataFrame, starts: tuple[str, ...] = ("import ", "from "
     return files.select("path", F.posexplode(F.slice(F.filter(trimmed, hit), 1, most)).alias("position", "line"))
 
 
-def split_lines(text: Column) -> Column:
-    """Lines without the empty one after a final line break."""
-    own = lines(text)
-    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own)
-
-
 def write_counts(files: DataFrame) -> DataFrame:
     """(path, lines, bytes) as a writer reports them."""
     text = F.coalesce("content", F.lit(""))

@@ -55,6 +55,44 @@ def list_files(spark, sf):
     return PR.listing(files(spark, sf), "*.py")
 
 
+@query(f"""WITH {_F}, e AS (SELECT path, 0 AS k FROM f UNION ALL SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/'), 1 FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS i FROM f)),
+m AS (SELECT * FROM e ORDER BY k, path LIMIT 230), n AS (SELECT count(*) FILTER (k = 0) AS total_files, count(*) FILTER (k = 1) AS total_directories FROM m)
+SELECT path, CASE k WHEN 0 THEN 'file' ELSE 'directory' END AS kind, total_files, total_directories, total_files >= 230 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path) AS r FROM m), n WHERE k = 0 OR r <= 20""")
+def list_entries(spark, sf):
+    return PR.list_entries(files(spark, sf), most=230, most_dirs=20)
+
+
+@query(f"WITH {_F}, m AS (SELECT path FROM f WHERE starts_with(path, 'src3/src/') AND ends_with(path, '.py') ORDER BY path LIMIT 20) SELECT path, (SELECT count(*) FROM m) AS count FROM m")
+def list_plain(spark, sf):
+    return PR.list_plain(files(spark, sf), "src3/src", "*.py", recursive=False, most=20)
+
+
+_SPAN = "f.doc_id % 4 AS start_line, CASE WHEN f.doc_id % 3 > 0 THEN f.doc_id % 12 END AS end_line"
+
+
+@query(f"""WITH {_F}, w AS (SELECT path, {_SPAN} FROM f JOIN labels USING (doc_id) UNION ALL SELECT url, 1, 2 FROM pages),
+r AS (SELECT w.path, start_line, end_line, content, strlen(content) AS size, CASE WHEN strlen(content) <= 3000 THEN {_LINES} END AS total_lines, {_NL} AS nl FROM w LEFT JOIN f ON w.path = f.path),
+p AS (SELECT *, nl[CASE WHEN start_line = 0 THEN 1 ELSE start_line END : CASE WHEN coalesce(end_line, 0) = 0 THEN total_lines ELSE least(end_line, total_lines) END] AS part FROM r)
+SELECT path, start_line, end_line, CASE WHEN size <= 3000 THEN array_to_string(part[1:5], chr(10)) || CASE WHEN len(part) > 5 THEN chr(10) || '... (truncated)' ELSE '' END END AS content, total_lines,
+CASE WHEN size <= 3000 THEN least(len(part), 5) END AS lines, CASE WHEN size <= 3000 THEN len(part) > 5 END AS truncated, size,
+CASE WHEN content IS NULL THEN 'File not found: ' || path WHEN size > 3000 THEN 'File too large: ' || size || ' bytes (max: 3000)' END AS error FROM p""")
+def read_lines(spark, sf):
+    span = F.expr("doc_id % 4 as start_line"), F.expr("case when doc_id % 3 > 0 then doc_id % 12 end as end_line")
+    wanted = files(spark, sf).join(t(spark, sf, "labels").select("doc_id"), "doc_id").select("path", *span).unionAll(t(spark, sf, "pages").select("url", F.lit(1), F.lit(2)))
+    return FI.read(wanted, files(spark, sf), 3000, 5, "\n... (truncated)")
+
+
+@query(f"""WITH {_F}, w AS (SELECT doc_id // 16 AS batch, f.* FROM f JOIN labels USING (doc_id)), ok AS (SELECT *, content IS NOT NULL AND strlen({_CONTENT}) <= 102400 AS ok FROM w),
+n AS (SELECT batch, count(*) AS count, count(*) FILTER (ok) AS successful, CAST(sum(CASE WHEN ok THEN least({_LINES}, 500) ELSE 0 END) AS BIGINT) AS total_lines,
+ CAST(sum(CASE WHEN ok THEN CASE WHEN {_LINES} > 500 THEN length(array_to_string({_NL}[1:500], chr(10))) + 16 ELSE length(array_to_string({_NL}[1:{_LINES}], chr(10))) END ELSE 0 END) AS BIGINT) AS chars FROM ok GROUP BY batch)
+SELECT batch, count, CASE WHEN count <= 10 THEN successful END AS successful, CASE WHEN count <= 10 THEN total_lines END AS total_lines, CASE WHEN count <= 10 THEN chars END AS chars, CASE WHEN count > 10 THEN 'Maximum 10 files per batch' END AS error FROM n""")
+def read_batches(spark, sf):
+    own = files(spark, sf)
+    wanted = own.join(t(spark, sf, "labels").select("doc_id"), "doc_id").select(F.expr("doc_id div 16").alias("batch"), "path")
+    chars = F.aggregate("files", F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"]))
+    return FI.read_batches(wanted, own).select("batch", "count", "successful", "total_lines", chars.alias("chars"), "error")
+
+
 @query(f"WITH {_F}, w AS (SELECT path FROM f JOIN labels USING (doc_id) UNION ALL SELECT url FROM pages) SELECT w.path, f.path IS NOT NULL AS exists, strlen(CASE WHEN f.path IS NOT NULL THEN {_CONTENT} END) AS size FROM w LEFT JOIN f ON w.path = f.path")
 def file_stat(spark, sf):
     own = files(spark, sf)

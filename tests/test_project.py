@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import paths as P
 from quarryline.functions import records as RC
+from quarryline.operators import files as FI
 from quarryline.operators import project as PR
 from quarryline.operators import sessions as S
 from quarryline.operators import store
@@ -123,3 +124,55 @@ def test_events_without_a_session_are_kept(spark):
     e = spark.createDataFrame([("s", 1, "go"), ("s", 2, "x"), (None, 1, "x"), (None, 2, "go"), (None, 3, "y"), ("t", 1, "x")], "s string, seq int, k string")
     got = S.since_last(e, "s", ["seq"], F.col("k") == "go").collect()
     assert {(r.s, r.seq) for r in got} == {("s", 2), (None, 3), ("t", 1)}
+
+
+def test_entries_and_what_they_are(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "d" / "e" / "a.txt").write_bytes(b"four")
+    (tmp_path / "_b").write_bytes(b"")
+    (tmp_path / "d" / "back").symlink_to(tmp_path)
+    entries = tree.read_entries(spark, str(tmp_path))
+    assert sorted((r.path, r.kind, r.linked, r.size) for r in entries.collect()) == [("_b", "file", False, 0), ("d", "directory", False, None), ("d/back", "directory", True, None), ("d/e", "directory", False, None), ("d/e/a.txt", "file", False, 4)]
+    wanted = spark.createDataFrame([("d/e/a.txt",), ("d",), ("none",), (None,)], "path string")
+    got = {r.path: r for r in PR.file_info(wanted, entries).collect()}
+    one = got["d/e/a.txt"]
+    assert one.exists and one.is_file and not one.is_directory and one.size == 4 and one.modified and one.created and one.error is None
+    assert got["d"].is_directory and not got["none"].exists and got["none"].error == "File not found: none" and not got[None].exists
+
+
+def test_listings(spark):
+    paths = ["a.py", ".env", "src/b.py", "src/sub/c.txt", "src/.hid/d.py", "node_modules/x.py", None]
+    f = spark.createDataFrame([(p,) for p in paths], "path string")
+    every = PR.list_entries(f)
+    assert {(r.path, r.kind) for r in every.collect()} == {(p, "file") for p in ("a.py", "node_modules/x.py", "src/.hid/d.py", "src/b.py", "src/sub/c.txt")} | {("node_modules", "directory"), ("src", "directory"), ("src/sub", "directory")}
+    assert {(r.total_files, r.total_directories, r.truncated) for r in every.collect()} == {(5, 3, False)}
+    assert {r.path for r in PR.list_entries(f, recursive=False).collect()} == {"a.py", "src", "node_modules"}
+    assert {r.path for r in PR.list_entries(f, "src", "*.py", recursive=False, hidden=True).collect()} == {"src/b.py"}
+    assert {r.path for r in PR.list_entries(f, "src/", recursive=False, hidden=True).collect()} == {"src/b.py", "src/sub", "src/.hid"}
+    cut = PR.list_entries(f, most=2).collect()
+    assert [r.path for r in cut] == ["a.py", "node_modules/x.py"] and all(r.truncated for r in cut)
+    assert [(r.path, r["count"]) for r in PR.list_plain(f, pattern="*.py").collect()] == [("a.py", 3), ("src/.hid/d.py", 3), ("src/b.py", 3)]
+    assert [r.path for r in PR.list_plain(f, "src", recursive=False).collect()] == ["src/b.py"]
+
+
+def test_reads_keep_their_limits(spark):
+    text = "".join(f"l{i}\n" for i in range(1, 8))
+    f = spark.createDataFrame([("a", text), ("big", "x" * 50), ("none", None), ("empty", "")], "path string, content string")
+    spans = [(None, None), (2, 3), (3, None), (0, 0), (9, 12), (-2, None), (None, -5), (5, 2)]
+    wanted = spark.createDataFrame([("a", i, s, e) for i, (s, e) in enumerate(spans)] + [(p, 99, None, None) for p in ("big", "none", "empty", "gone", None)], "path string, n int, start_line int, end_line int")
+    got = {(r.path, r.n): r for r in FI.read(wanted, f, max_bytes=40, max_lines=4).collect()}
+    for i, (s, e) in enumerate(spans):
+        want = text.splitlines()
+        want = want if s is None and e is None else want[(s or 1) - 1 : e or 7]
+        r = got["a", i]
+        assert (r.content, r.total_lines, r.lines, r.truncated, r.error) == ("\n".join(want[:4]), 7, min(len(want), 4), len(want) > 4, None), (s, e)
+    assert got["big", 99].error == "File too large: 50 bytes (max: 40)" and got["big", 99].content is None
+    assert got["none", 99].error == "File not found: none" and got["gone", 99].size is None and got[None, 99].error
+    assert (got["empty", 99].content, got["empty", 99].total_lines) == ("", 0)
+    assert FI.read_plain(wanted.where("n = 0"), f, 2).first()["content"] == "l1\nl2\n... (truncated)"
+    batches = spark.createDataFrame([(1, "a"), (1, "gone")] + [(2, "a")] * 11, "batch int, path string")
+    rows = {r.batch: r for r in FI.read_batches(batches, f).collect()}
+    assert [(x.path, x.lines, x.error) for x in rows[1].files] == [("a", 7, None), ("gone", 0, "File not found: gone")]
+    assert (rows[1]["count"], rows[1].successful, rows[1].total_lines) == (2, 1, 7)
+    assert (rows[2]["count"], rows[2].files, rows[2].error) == (11, None, "Maximum 10 files per batch")
