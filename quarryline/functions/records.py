@@ -23,6 +23,12 @@ def message(raw: Column, types: list[str]) -> Column:
     )
 
 
+def typed(event: Column, data: Column, known: list[str]) -> Column:
+    """struct(type, data) of a record: an unknown event, or none, is 'error'; data that isn't JSON becomes {"message": data}."""
+    kind = F.when(event.isin(*known), event).otherwise("error")
+    return F.struct(kind.alias("type"), F.when(F.try_parse_json(data).isNull(), F.to_json(F.struct(data.alias("message")))).otherwise(data).alias("data"))
+
+
 def change(raw: Column) -> Column:
     """A file change; type, path and description are empty where they are missing."""
     c = F.from_json(raw, CHANGE)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import output as O
+from ..functions import records
 from ..functions import text as T
 from ..operators import events as E
 from ..operators import files as FI
@@ -26,6 +27,7 @@ from ..operators import retrieve as RT
 from ..operators import store
 from ..operators.shared import shared_path, written
 from ..sources import markdown as MD
+from ..sources import records as RC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -399,6 +401,22 @@ def event_parse(spark, sf):
     return t(spark, sf, "events").select("event_id", F.when(known, F.col("event_type")).otherwise("error").alias("type"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+# Sign-ups are of no known type, and their data isn't JSON.
+
+
+@query("""WITH e AS (SELECT *, event_type = 'signup' AS odd FROM events)
+SELECT CASE WHEN odd THEN 'error' ELSE event_type END AS type, CASE WHEN NOT odd THEN event_id END AS event_id, CASE WHEN NOT odd THEN CAST(props ->> '$.k' AS BIGINT) END AS k, CASE WHEN odd THEN 'user ' || user_id || ' by "' || event_id || '"' END AS message FROM e""")
+def event_source(spark, sf):
+    message = F.concat(F.lit("user "), "user_id", F.lit(' by "'), "event_id", F.lit('"'))
+    data = F.when(F.col("event_type") == "signup", message).otherwise(F.to_json(F.struct("event_id", "props")))
+    path = shared_path(spark, "records")
+    t(spark, sf, "events").select(F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), data, F.lit("\n"))).write.text(path)
+    RC.register(spark)
+    r = spark.read.format("records").load(path).select(records.typed(F.col("event"), F.col("data"), ["click", "error", "purchase", "view"]).alias("r"))
+    part = lambda *at: F.get_json_object("r.data", "$." + ".".join(at))
+    return r.select("r.type", part("event_id").cast("long").alias("event_id"), F.get_json_object(part("props"), "$.k").cast("long").alias("k"), part("message").alias("message"))
+
+
 @query("SELECT event_id, user_id FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM events) WHERE n = 0")
 def terminal_cut(spark, sf):
     return E.until_terminal(t(spark, sf, "events"), "user_id", _O, F.col("event_type") == "purchase").select("event_id", "user_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,3 +52,26 @@ def sse_records(lines: DataFrame) -> DataFrame:
 
     own = lines.selectExpr("cast(stream as string) as stream", "seq", "line")
     return own.groupBy("stream").applyInPandasWithState(fold, RECORD, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def until_terminal(records: DataFrame, terminal: Sequence[str]) -> DataFrame:
+    """records (job, position, type, and others) up to the first terminal one of their job, that one included, as
+    operators.events.until_terminal; what comes after it, in whichever micro-batch, is dropped.
+
+    A job's records of one micro-batch are one group; they must come in order of position from batch to batch. State is
+    the position of the end, or nothing. A null type isn't terminal.
+    """
+    schema = records.schema
+
+    def cut(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        own = list(parts)
+        ends = [p["position"][p["type"].isin(terminal)].min() for p in own]
+        end = min((int(e) for e in ends if pd.notna(e)), default=None)
+        if end is not None:
+            state.update((end,))
+        for p in own:
+            yield p if end is None else p[p["position"] <= end]
+
+    return records.groupBy("job").applyInPandasWithState(cut, schema, "end long", "append", GroupStateTimeout.NoTimeout)
