@@ -56,6 +56,9 @@ LANGUAGES = {
     ".rb": "ruby", ".php": "php", ".sql": "sql", ".toml": "toml", ".xml": "xml", ".vue": "vue", ".svelte": "svelte",
 }
 
+# Names for what is shown before it is approved.
+SHOWN_LANGUAGES = {k: v for k, v in LANGUAGES.items() if k not in (".php", ".toml", ".xml", ".vue", ".svelte")} | {".kt": "kotlin", ".swift": "swift"}
+
 
 def glob(pattern: str) -> str:
     """A shell pattern as an anchored regular expression that the JVM understands."""
@@ -109,8 +112,8 @@ def ignored_substring(path: Column, patterns: list[str] = IGNORE_ANY) -> Column:
     return out
 
 
-def language(path: Column) -> Column:
-    ext, known = F.lower(suffix(path)), F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+def language(path: Column, names: dict[str, str] = LANGUAGES) -> Column:
+    ext, known = F.lower(suffix(path)), F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     return F.coalesce(F.try_element_at(known, ext), F.lit("text"))
 
 

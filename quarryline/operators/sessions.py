@@ -70,6 +70,63 @@ def project_sessions(sessions: DataFrame, project: str, limit: int = 10, order:
     return sessions.where(F.col("project") == project).orderBy(F.desc(order), "session").limit(limit)
 
 
+# What a status is shown as.
+STATUS = {"done": "✓ done", "completed": "✓ done", "failed": "✗ failed", "cancelled": "⊘ cancel", "thinking": "◌ active", "running": "◌ active"}
+
+
+def cut(text: Column, n: int) -> Column:
+    """The first n characters, with dots if there are more; null as an empty text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def newest(sessions: DataFrame, limit: int) -> DataFrame:
+    """sessions (session, project, created_at as text, and others), of each project the newest and their place from 1; those
+    without a time come last, ties go by session. Spark cuts at the limit before it shuffles, so a large project is no hot one."""
+    w = Window.partitionBy("project").orderBy(F.col("created_at").desc_nulls_last(), "session")
+    return sessions.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
+def listed_sessions(sessions: DataFrame, limit: int = 10) -> DataFrame:
+    """(project, place, session, date, instruction, status) of the newest sessions of every project, as shown in a list.
+
+    created_at is a time in ISO form, shown in its own zone; of other text the first ten characters are shown, and for none
+    'Unknown'. A status without a label is shown as it is, null as 'unknown'.
+    """
+    at = F.col("created_at")
+    # a time keeps its zone's hours: what names the zone is cut off
+    own = F.when(at.rlike(r"^\d{4}-\d\d-\d\d"), F.regexp_replace(at, r"(Z|[+-]\d\d:?\d\d)$", "")).try_cast("timestamp_ntz")
+    date = F.when(F.coalesce(at, F.lit("")) == "", "Unknown").otherwise(F.coalesce(F.date_format(own, "MMM dd HH:mm"), F.substring(at, 1, 10)))
+    status = F.coalesce("status", F.lit("unknown"))
+    label = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
+    return newest(sessions, limit).select("project", "place", "session", date.alias("date"), cut(F.col("instruction"), 45).alias("instruction"), F.coalesce(F.try_element_at(label, status), status).alias("status"))
+
+
+def session_hints(sessions: DataFrame, limit: int = 3) -> DataFrame:
+    """(project, found, last): how many sessions a project has, limit at most, and the newest one's instruction."""
+    last = F.min_by(cut(F.col("instruction"), 40), "place")
+    return newest(sessions, limit).groupBy("project").agg(F.count(F.lit(1)).alias("found"), last.alias("last"))
+
+
+def run_summary(events: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """events (session, order, type, value) to (session, files_changed, phases_completed, milestones_completed, error).
+
+    type phase_start: value is the phase's number, and the milestones completed so far no longer count; milestone: one is
+    completed; change: a file's path (an empty one is none); error: its message. Files and milestones count once, the last
+    phase (0 if none) and the last error decide; null values don't count. The files themselves: operators.events.changed_files.
+    """
+    own = events.where(F.col("type").isin("phase_start", "milestone", "change", "error") & F.col("value").isNotNull())
+    of = lambda kind: F.when(F.col("type") == kind, F.struct(*order))
+    path = F.when((F.col("type") == "change") & (F.col("value") != ""), F.col("value"))
+    total = own.groupBy(session).agg(
+        F.countDistinct(path).alias("files_changed"), F.coalesce(F.max_by("value", of("phase_start")).try_cast("int"), F.lit(0)).alias("phases_completed"), F.max_by("value", of("error")).alias("error"),
+    )
+    left = since_last(own.where("type in ('phase_start', 'milestone')"), session, order, F.col("type") == "phase_start").where("type = 'milestone'")
+    done = left.groupBy(F.col(session).alias("_session")).agg(F.countDistinct("value").alias("_n"))
+    out = total.join(done, F.col(session).eqNullSafe(F.col("_session")), "left")
+    return out.select(session, "files_changed", "phases_completed", F.coalesce("_n", F.lit(0).cast("long")).alias("milestones_completed"), "error")
+
+
 def session_events(events: DataFrame, session: str, value, order: list[str], limit: int = 100) -> DataFrame:
     """The first events of a session, in order."""
     return events.where(F.col(session) == F.lit(value)).orderBy(*order).limit(limit)

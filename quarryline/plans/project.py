@@ -135,6 +135,11 @@ def file_language(spark, sf):
     return files(spark, sf).select("path", P.language(F.col("path")).alias("language"))
 
 
+@query(f"WITH {_F} SELECT path, CASE lower({_SUFFIX}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.SHOWN_LANGUAGES.items()) + " ELSE 'text' END AS language FROM f")
+def shown_language(spark, sf):
+    return files(spark, sf).select("path", P.language(F.col("path"), P.SHOWN_LANGUAGES).alias("language"))
+
+
 @query(f"WITH {_F}, e AS (SELECT DISTINCT '' AS parent, string_split(path, '/')[1] AS name, true AS is_dir FROM f UNION SELECT string_split(path, '/')[1], 'src', true FROM f UNION SELECT string_split(path, '/')[1] || '/src', string_split(path, '/')[3], false FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY is_dir DESC, lower(name), name) AS position FROM e) SELECT * FROM r WHERE position <= 30")
 def tree_rows(spark, sf):
     return PR.tree_rows(files(spark, sf).where("path is not null"))
@@ -267,6 +272,44 @@ def recent_sessions(spark, sf):
     return S.recent(t(spark, sf, "conversations"), "conv_id", ["turn", "text"], "role", "text")
 
 
+# Sessions are orders, of their customer's project. Some parked ones have no time, or one in words.
+
+_SESSIONS = """SELECT o_orderkey AS session, o_custkey AS project, o_orderpriority || ' order ' || o_orderkey || ' of customer ' || o_custkey || ', to be shipped' AS instruction,
+CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'parked' END AS status,
+CASE WHEN o_orderstatus <> 'P' OR o_orderpriority NOT IN ('1-URGENT', '5-LOW') THEN @TIME@ WHEN o_orderpriority = '5-LOW' THEN 'around noon' END AS created_at FROM orders"""
+_NEWEST = f"""SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC NULLS LAST, session) AS place FROM ({_SESSIONS.replace("@TIME@", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')")})"""
+
+
+def _sessions(spark, sf):
+    shown = "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    own = t(spark, sf, "orders").selectExpr("*", f"{shown} AS created")
+    return spark.sql(_SESSIONS.replace("@TIME@", "created").replace("FROM orders", "FROM {orders}"), orders=own)
+
+
+@query(f"""SELECT project, place, session, CASE WHEN created_at IS NULL THEN 'Unknown' WHEN created_at LIKE 'around%' THEN 'around noo' ELSE strftime(CAST(substr(created_at, 1, 19) AS TIMESTAMP), '%b %d %H:%M') END AS date,
+CASE WHEN length(instruction) > 45 THEN substr(instruction, 1, 45) || '...' ELSE instruction END AS instruction, CASE status WHEN 'done' THEN '✓ done' WHEN 'running' THEN '◌ active' ELSE status END AS status FROM ({_NEWEST}) WHERE place <= 10""")
+def listed_sessions(spark, sf):
+    return S.listed_sessions(_sessions(spark, sf))
+
+
+@query(f"SELECT project, count(*) AS found, arg_min(CASE WHEN length(instruction) > 40 THEN substr(instruction, 1, 40) || '...' ELSE instruction END, place) AS last FROM ({_NEWEST}) WHERE place <= 3 GROUP BY project")
+def session_hints(spark, sf):
+    return S.session_hints(_sessions(spark, sf))
+
+
+# Views start a phase, clicks complete a milestone, purchases change a file, each named by the number in props.
+
+
+@query("""WITH e AS (SELECT *, props ->> '$.k' AS k FROM events), s AS (SELECT *, max(CASE WHEN event_type = 'view' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS began FROM e)
+SELECT user_id, count(DISTINCT k) FILTER (event_type = 'purchase') AS files_changed, coalesce(CAST(arg_max(k, (ts, event_id)) FILTER (event_type = 'view') AS INTEGER), 0) AS phases_completed,
+count(DISTINCT k) FILTER (event_type = 'click' AND (began IS NULL OR (ts, event_id) > began)) AS milestones_completed, arg_max(CAST(event_id AS VARCHAR), (ts, event_id)) FILTER (event_type = 'error') AS error
+FROM s WHERE event_type <> 'signup' GROUP BY user_id""")
+def run_summary(spark, sf):
+    kind = F.expr("case event_type when 'view' then 'phase_start' when 'click' then 'milestone' when 'purchase' then 'change' when 'error' then 'error' end")
+    value = F.when(F.col("event_type") == "error", F.col("event_id").cast("string")).otherwise(F.get_json_object("props", "$.k"))
+    return S.run_summary(t(spark, sf, "events").select("user_id", "ts", "event_id", kind.alias("type"), value.alias("value")), "user_id", ["ts", "event_id"])
+
+
 # Retrieval: hits are the best documents of each benchmark item, an exact hit is an English one; a document refers to
 # its source and language
 

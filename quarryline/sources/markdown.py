@@ -112,6 +112,19 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, HEAD).withColumn("sections", section_list(F.col("full_content")))
 
 
+def refreshed(files: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """As :func:`parsed`, and hash (12 digits of the content's MD5). Of earlier, a former result, a row is taken over where path
+    and hash are the same; only other files are parsed. Files that are gone drop out; null content counts as empty."""
+    now = files.select("path", "content", F.substring(F.md5(F.coalesce("content", F.lit("")).cast("binary")), 1, 12).alias("hash"))
+    if earlier is None:
+        fresh, kept = now, None
+    else:
+        fresh = now.join(earlier.select("path", "hash"), ["path", "hash"], "left_anti")
+        kept = earlier.join(now.select("path", "hash"), ["path", "hash"], "left_semi")
+    out = parsed(fresh).join(fresh.select("path", "hash"), "path")
+    return out if kept is None else out.unionByName(kept)
+
+
 def sections(files: DataFrame) -> DataFrame:
     """files (path, content) to one row per section, each with its document's priority and tags in lower case."""
     each = parsed(files).select("path", "priority", F.transform("tags", F.lower).alias("tags"), F.explode("sections").alias("s"))
