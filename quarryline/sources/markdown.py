@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -40,52 +40,57 @@ def front_matter(text: str) -> tuple[dict[str, str | list[str]], str]:
 
 
 _TRIM = r"(?U)^\s+|\s+\z"
-#: Stand for a fenced block and for the line breaks in it; in a text these two characters become U+FFFD.
-_HELD, _BREAK = "\u0000", "\u0001"
+#: Stand for a fenced block and for each further line of it; in a text these two characters become U+FFFD.
+_HELD, _MORE = "\u0000", "\u0001"
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once. What a lambda uses from outside is evaluated anew for each element, unless it is
+    itself a variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def section_list(body: Column) -> Column:
     """The sections of Markdown text as array of struct(heading, level, content, code_blocks, start_line, end_line).
 
     Text before the first heading is dropped; fenced code belongs to its section, apart from the content; an open fence
-    takes all that follows. Lines count from 1. No line is looked at alone: the text is split at its fences, the parts
-    between two become marks of as many lines, and what is left is split before its headings.
+    takes all that follows. Lines count from 1. The text is split at its fences, the parts between two become marks of as many
+    lines, and what is left is split into lines, among which the headings stand. Each step is evaluated once a text.
     """
-    text = F.translate(body, _HELD + _BREAK, "\ufffd\ufffd")
-    parts = F.split(text, "(?dm)^```.*$", -1)
-    langs = F.regexp_extract_all(text, F.lit("(?dm)^```(.*)$"), F.lit(1))
+    text = lambda b: F.translate(b, _HELD + _MORE, "\ufffd\ufffd")
+    split = lambda x: F.struct(F.split(x, "(?dm)^```.*$", -1).alias("parts"), F.regexp_extract_all(x, F.lit("(?dm)^```(.*)$"), F.lit(1)).alias("langs"))
+    return _bound(text(body), lambda x: _bound(split(x), _sections))
+
+
+def _sections(v: Column) -> Column:
+    """The sections of a text of which v holds the parts around fence lines and what follows each fence."""
+    n = F.size(v["parts"])
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    closed = lambda i: i < F.size(parts) - 1
-    mark = lambda x, i: F.concat(F.lit(_HELD), F.when(closed(i), F.floor(i / 2).cast("string")).otherwise("-"), F.lit(_HELD), F.repeat(F.lit(_BREAK), breaks(x)))
-    masked = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, mark(x, i)).otherwise(x)), "")
-    cut = F.split(F.concat(F.lit("\n"), masked), r"(?Udm)(?=^#{1,6}[^\S\n]+[^\n])", -1)
-
-    def code(k: Column) -> Column:
-        at = k.cast("int")
-        own = F.regexp_replace(F.regexp_replace(F.get(parts, 2 * at + 1), r"^\n", ""), r"\n\z", "")
-        return F.struct(F.regexp_replace(F.get(langs, 2 * at), _TRIM, "").alias("language"), own.alias("code"))
-
-    def one(x: Column) -> Column:
-        line = F.substring_index(x, "\n", 1)
-        rest = F.regexp_replace(F.substr(x, F.length(line) + 2), f"(?dm)^{_HELD}[^{_HELD}]*{_HELD}{_BREAK}*\n?", "")
-        blocks = F.transform(F.regexp_extract_all(x, F.lit(f"{_HELD}(\\d+){_HELD}"), F.lit(1)), code)
+    mark = lambda x, i: F.concat(F.lit(_HELD), F.when(i < n - 1, F.floor(i / 2).cast("string")).otherwise("-"), F.repeat(F.lit("\n" + _MORE), breaks(x)))
+    masked = F.array_join(F.transform(v["parts"], lambda x, i: F.when(i % 2 == 1, mark(x, i)).otherwise(x)), "")
+
+    def code(mark: Column) -> Column:
+        at = F.substr(mark, F.lit(2)).cast("int")
+        own = F.regexp_replace(F.regexp_replace(F.get(v["parts"], 2 * at + 1), r"^\n", ""), r"\n\z", "")
+        return F.struct(F.regexp_replace(F.get(v["langs"], 2 * at), _TRIM, "").alias("language"), own.alias("code"))
+
+    def one(lines: Column, start: Column, end: Column) -> Column:
+        line = F.get(lines, start - 1)
+        own = F.slice(lines, start + 1, end - start)
+        content = F.array_join(F.filter(own, lambda x: ~x.startswith(_HELD) & ~x.startswith(_MORE)), "\n")
+        blocks = F.transform(F.filter(own, lambda x: x.startswith(_HELD) & (x != _HELD + "-")), code)
         return F.struct(
             F.regexp_replace(F.regexp_replace(line, "^#{1,6}", ""), _TRIM, "").alias("heading"), F.length(F.regexp_extract(line, "^#{1,6}", 0)).alias("level"),
-            F.regexp_replace(rest, _TRIM, "").alias("content"), blocks.alias("code_blocks"), (F.length(x) - F.length(F.translate(x, "\n" + _BREAK, ""))).alias("lines"),
+            F.regexp_replace(content, _TRIM, "").alias("content"), blocks.alias("code_blocks"), start.alias("start_line"), end.alias("end_line"),
         )
 
-    def place(a: Column, s: Column) -> Column:
-        end = a["next"] + s["lines"]
-        own = F.struct(s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content"), s["code_blocks"].alias("code_blocks"), a["next"].alias("start_line"), (end - 1).alias("end_line"))
-        return F.struct(end.alias("next"), F.concat(a["done"], F.array(own)).alias("done"))
-
-    before = F.get(cut, F.lit(0))
-    first = F.length(before) - F.length(F.translate(before, "\n" + _BREAK, ""))
-    found = F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))), one)
-    kind = f"array<struct<heading: string, level: int, content: string, code_blocks: array<{BLOCK}>, start_line: int, end_line: int>>"
-    placed = F.aggregate(found, F.struct(first.alias("next"), F.array().cast(kind).alias("done")), place, lambda a: a["done"])
-    last = lambda s, i: F.when(i == F.size(found) - 1, s.withField("end_line", F.size(F.split(body, "\n", -1)))).otherwise(s)
-    return F.transform(placed, last)
+    def placed(w: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(w["starts"], i + 1) - 1, F.size(w["lines"]))
+        return F.transform(w["starts"], lambda at, i: one(w["lines"], at, end(i)))
+
+    headed = lambda x: x.rlike(r"(?U)^#{1,6}[^\S\n]+[^\n]")
+    starts = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(headed(x), i + 1)), lambda at: at.isNotNull())
+    return _bound(F.split(masked, "\n", -1), lambda lines: _bound(F.struct(lines.alias("lines"), starts(lines).alias("starts")), placed))
 
 
 def head(path: str, text: str | None) -> dict:

@@ -105,6 +105,18 @@ def test_sections_equal_a_walk(spark):
         assert [(s.heading, s.level, s.content, [(b.language, b.code) for b in s.code_blocks], s.start_line, s.end_line) for s in r.s] == walked(rows[r.i][1]), repr(rows[r.i][1])
 
 
+def test_sections_take_linear_time(spark):
+    took = []
+    for n in (500, 8000):
+        body = "".join(f"# h{i}\n```py\nx = {i}\n```\ntext {i}\n" for i in range(n))
+        df = spark.createDataFrame([(body,)], "body string").select(markdown.section_list(F.col("body")).alias("s"))
+        began = time.time()
+        last = df.select(F.size("s").alias("n"), F.element_at("s", -1).alias("s")).first()
+        took.append(time.time() - began)
+        assert (last.n, last.s.heading, last.s.content, last.s.code_blocks[0].code, last.s.start_line) == (n, f"h{n - 1}", f"text {n - 1}", f"x = {n - 1}", 5 * n - 4)
+    assert took[1] < 16 * took[0] + 3, took
+
+
 # --- diffs
 
 
