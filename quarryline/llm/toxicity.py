@@ -8,15 +8,16 @@ toxic as that on U less pi times that on P, kept from falling below zero:
 
 Features are hashed words and word beginnings (4 to 6 letters), each counted by a document's distinct words, in training
 as in scoring. Those that documents of P have clearly more or less often than those of U, by a likelihood-ratio test that
-also holds for few documents, are kept. Training reads a bounded sample (MAX_POSITIVE, MAX_UNLABELLED rows); scoring
-reads every text.
+also holds for few documents, are kept. Training reads a bounded sample (MAX_POSITIVE, MAX_UNLABELLED rows), whose
+features are counted and chosen in tasks: the driver gets the chosen ones only. Scoring reads every text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,48 +94,69 @@ def _document_counts(docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _slices(docs: list[np.ndarray], place: np.ndarray, entries: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The chosen features of the documents in slices of about ``entries``, so that a step's work arrays stay small: numbers
-    of the documents that have any, where each one's begin, how many they are, and their places."""
+def _slices(docs: Iterable[np.ndarray], entries: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The documents' places in slices of about ``entries``, so that a step's work arrays stay small: numbers of the documents
+    that have any, where each one's begin, how many they are, and the places."""
     own: list[int] = []
     cols: list[np.ndarray] = []
+
+    def slice_():
+        sizes = np.fromiter(map(len, cols), np.int64, len(cols))
+        return np.array(own), np.cumsum(sizes) - sizes, sizes, np.concatenate(cols)
+
     n = 0
-    kind = np.int16 if place.max() < 1 << 15 else np.int32
-    for i, d in enumerate(docs):
-        c = place[d]
-        c = c[c >= 0].astype(kind)
+    for i, c in enumerate(docs):
         if len(c):
             own.append(i)
             cols.append(c)
             n += len(c)
-        if n >= entries or cols and i == len(docs) - 1:
-            sizes = np.fromiter(map(len, cols), np.int64, len(cols))
-            yield np.array(own), np.cumsum(sizes) - sizes, sizes, np.concatenate(cols)
+        if n >= entries:
+            yield slice_()
             own, cols, n = [], [], 0
+    if cols:
+        yield slice_()
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, l1: float = L1, least_ratio: float = LEAST_RATIO, most: int = MAX_FEATURES, least_p: int = LEAST_P, least_u: int = LEAST_U) -> Model:
     """positive, unlabelled: feature numbers of each document, repeats counted. Without positives the score is the prior
     everywhere."""
-    prior = min(max(prior, 1e-4), 0.9)
     if not positive or not unlabelled:
-        return Model({}, float(np.log(prior / (1 - prior))))
-    docs = [*positive, *unlabelled]
-    n_p, n_u = len(positive), len(unlabelled)
+        return _prior_only(prior)
     df_p, df_u = _document_counts(positive), _document_counts(unlabelled)
     seen = np.flatnonzero((df_p >= least_p) | (df_u >= least_u))
-    worth = _log_ratio(df_p[seen].astype(float), n_p, df_u[seen].astype(float), n_u)
+    worth = _log_ratio(df_p[seen].astype(float), len(positive), df_u[seen].astype(float), len(unlabelled))
     best = np.argsort(-worth, kind="stable")[:most]
     chosen = np.sort(seen[best[worth[best] > least_ratio]])
-    if not len(chosen):
-        return Model({}, float(np.log(prior / (1 - prior))))
-    place = np.full(1 << HASH_BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    parts = list(_slices(docs, place))
+    return fit_places([_places(d, chosen) for d in positive], [_places(d, chosen) for d in unlabelled], chosen, prior, rounds, l1)
+
+
+def _prior_only(prior: float) -> Model:
+    prior = min(max(prior, 1e-4), 0.9)
+    return Model({}, float(np.log(prior / (1 - prior))))
+
+
+def _kind(chosen: np.ndarray) -> type:
+    """The integers that hold a place in chosen."""
+    return np.int16 if len(chosen) <= 1 << 15 else np.int32
+
+
+def _places(d: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Where in chosen (ascending) the features of a document stand, repeats counted; the others are left out."""
+    at = np.searchsorted(chosen, d)
+    return (at[chosen[np.minimum(at, len(chosen) - 1)] == d] if len(chosen) else at[:0]).astype(_kind(chosen))
+
+
+def fit_places(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, rounds: int = ROUNDS, l1: float = L1) -> Model:
+    """As :func:`fit`, from the places of each document's features in the chosen ones; a document may have none."""
+    if not positive or not unlabelled or not len(chosen):
+        return _prior_only(prior)
+    prior = min(max(prior, 1e-4), 0.9)
+    n_p, n = len(positive), len(positive) + len(unlabelled)
+    parts = list(_slices(chain(positive, unlabelled)))
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.full(len(docs), b)
+        z = np.full(n, b)
         for own, starts, _, col in parts:
             z[own] += np.add.reduceat(w[col], starts)
         g_p, g_u, _ = risk_gradient(z[:n_p], z[n_p:], prior)
@@ -177,16 +199,39 @@ def drawn(docs: DataFrame, bound: int, text_bytes: int = MAX_TEXT_BYTES) -> Data
     return docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
 
 
-def _numbers(docs: DataFrame) -> list[np.ndarray]:
-    """The feature numbers of a bounded set of documents; a feature counts once for each distinct word that has it."""
+def _numbers(docs: DataFrame) -> DataFrame:
+    """(f): the feature numbers of each document that has any; a feature counts once for each distinct word that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = [[f for w in words_of(t.as_py()) for f in features(w)] for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in numbers if n], pa.list_(pa.int32()))], names=["f"])
+
+    return docs.select("text").mapInArrow(run, "f array<int>")
+
+
+def _chosen(p: DataFrame, u: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The features that :func:`fit` chooses, ascending. They are counted and ranked in tasks; MAX_FEATURES at most are collected."""
+    each = [d.select(F.explode(F.array_distinct("f")).alias("f"), F.lit(own).alias("p")) for d, own in ((p, 1), (u, 0))]
+    counts = each[0].unionByName(each[1]).groupBy("f").agg(F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("u"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            worth = _log_ratio(b.column(1).to_numpy().astype(float), n_p, b.column(2).to_numpy().astype(float), n_u)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(worth)], names=["f", "worth"])
+
+    ranked = counts.where((F.col("p") >= LEAST_P) | (F.col("u") >= LEAST_U)).mapInArrow(run, "f int, worth double").where(F.col("worth") > LEAST_RATIO)
+    return np.array(sorted(r["f"] for r in ranked.orderBy(F.desc("worth"), "f").limit(MAX_FEATURES).collect()), np.int32)
+
+
+def _collected(numbers: DataFrame, chosen: np.ndarray) -> list[np.ndarray]:
+    """The places of each document's features in the chosen ones; what isn't chosen stays in the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            numbers = [np.fromiter((f for w in words_of(t.as_py()) for f in features(w)), np.int32) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([n.tobytes() for n in numbers], pa.binary())], names=["f"])
+            yield pa.RecordBatch.from_arrays([pa.array([_places(d.values.to_numpy(), chosen).tobytes() for d in b.column(0)], pa.binary())], names=["c"])
 
-    numbers = [np.frombuffer(r["f"], np.int32) for r in docs.select("text").mapInArrow(run, "f binary").collect()]
-    return [n for n in numbers if len(n)]
+    return [np.frombuffer(r["c"], _kind(chosen)) for r in numbers.mapInArrow(run, "c binary").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out=None, positives: int = MAX_POSITIVE, unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -208,7 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, positives: int = MA
     own = docs.select("doc_id", "text")
     p = drawn(own.join(F.broadcast(ids), "doc_id", "left_semi"), positives)
     u = drawn(own.where(~out), unlabelled)
-    return fit(_numbers(p), _numbers(u), toxic / n)
+    p, u = written(_numbers(p), "positive"), written(_numbers(u), "unlabelled")
+    n_p, n_u = p.count(), u.count()
+    if not n_p or not n_u:
+        return _prior_only(toxic / n)
+    chosen = _chosen(p, u, n_p, n_u)
+    return fit_places(_collected(p, chosen), _collected(u, chosen), chosen, toxic / n)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -204,6 +204,24 @@ def test_training_sample_does_not_depend_on_the_layout(spark):
     assert one == two and 20 < len(one) < 200 and toxicity.drawn(d, 200).count() == len(one)
 
 
+def test_driver_gets_chosen_features_only(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = lambda i, own: " ".join([own, f"common{i % 3}", *(f"w{x}" for x in rng.integers(0, 10**9, 80))])
+    rows = [(i, text(i, "vile" if i % 5 == 1 else "kind")) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (600, None), (601, "12")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(0, 600, 2)], "doc_id long, toxic int")
+    got, frame = [], type(docs)
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: got.append(f(self)) or got[-1])
+    model = toxicity.train(docs, labels)
+    assert sum(len(v) for rows in got for r in rows for v in r if isinstance(v, (bytes, bytearray))) < 20_000  # of 600 * 80 words' numbers
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    numbers = lambda ids: [np.array([f for w in toxicity.words_of(rows[i][1]) for f in toxicity.features(w)], np.int32) for i in ids]
+    known = [i for i in range(0, 600, 2) if not out(i)]
+    bad = [i for i in known if i % 5 == 1]
+    want = toxicity.fit(numbers(bad), numbers([i for i in range(600) if not out(i)]), len(bad) / len(known))
+    assert want.weights and model.weights == pytest.approx(want.weights, abs=1e-9) and model.bias == pytest.approx(want.bias, abs=1e-9)
+
+
 def test_model_agrees_with_an_independent_learner():
     """Gradient descent on the same estimate over a dense matrix, without slices, feature choice or Adam."""
     rng = np.random.default_rng(9)
