@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarryline.operators import events as E
 from quarryline.operators import files as FI
 from quarryline.operators import graph as G
+from quarryline.operators import postings as P
+from quarryline.operators import ranking as R
 from quarryline.operators import retrieve as RT
 from quarryline.operators import store
 from quarryline.functions import output as O
@@ -199,3 +201,23 @@ def test_lines_lose_all_white_space(spark):
     assert [x.content for x in d.select(FI.matches(F.col("text"), "the").alias("m")).first().m] == ["if the thing", "the\xa0end"]
     o = spark.createDataFrame([("x\n\t\t\n  \ny",)], "o string")
     assert tuple(o.select(O.shell_output(F.col("o"), F.lit("ls"), F.lit(True)).alias("x")).first().x)[:4] == ("x\ny", "default", 4, 2)
+
+
+def test_postings_are_dealt_once_and_same_keys_add_up(spark, tmp_path):
+    text = "alpha beta alpha gamma\nbeta alpha"
+    twice = "class A:\n    def size():\n        return alpha + alpha + beta\n\n    def size():\n        return alpha + gamma + beta\n\n    def size():\n        return alpha\n"
+    files = [("a.txt", text), ("none.txt", "of a to"), ("c.py", twice), *((f"f{i}.txt", f"alpha own{i} 12345 ÄÖÜ") for i in range(40))]
+    root = str(tmp_path / "p")
+    store.build(frame(spark, files), root)
+    chunks, posted = (store.load(spark, root)[x] for x in ("chunks", "postings"))
+    # As counted by joining and grouping: rows with the same id and dl add up.
+    want = R.postings(store.searchable(chunks), "id", "content").join(chunks.select("id", "file").distinct(), "id")
+    cols = ["id", "file", "term", "dl", "tf"]
+    assert sorted(map(tuple, posted.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    got = {(r.id, r.term): r.tf for r in posted.collect()}
+    assert got["a.txt:module", "alpha"] == 3 and got["f7.txt:module", "äöü"] == 1 and not [k for k in got if k[0].startswith("none")]
+    df = {r.term: r.df for r in posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    store.update(frame(spark, files[:2]), root)  # what is gone is taken off just as it was added
+    left = {r.term: r.df for r in store.term_counts(spark, root)[0].collect()}
+    assert left == {"alpha": 1, "beta": 1, "gamma": 1} and df["alpha"] > 40
+    assert "Exchange" not in P.counted(frame(spark, files), ["path"], "content")._jdf.queryExecution().executedPlan().toString()
